@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusloom.llm import curriculum_mix, language_mixture, quality_fm
+import public_tokenizers
+
+from corpusloom.llm import curriculum_mix, language_mixture, neardup_hamming, piece_viterbi, quality_fm
 from corpusloom.llm._store import kept
 
 
@@ -18,12 +20,28 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_fm.accepted(docs, quality_fm.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate group."""
+    return neardup_hamming.deduplicated(docs)
+
+
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents of the training mix, in curriculum order; a repeated document is repeated rows."""
     return curriculum_mix.curriculum(docs).select(*docs.columns)
 
 
-STAGES = [("language ID", language), ("quality classifier", quality), ("mixing sources to target weights", mix)]
+def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The SentencePiece ids of each row of the mix."""
+    return piece_viterbi.encoded(docs.select("doc_id", "lang", "source", "text"), public_tokenizers.path("piece_bpe_32k.model")).drop("text")
+
+
+STAGES = [
+    ("language ID", language),
+    ("quality classifier", quality),
+    ("MinHash near-dedup", near_copies),
+    ("mixing sources to target weights", mix),
+    ("SentencePiece encoding and decoding", pieces),
+]
 
 #: The classifiers' scores can't be expressed in SQL; tests/llm holds the stages against brute force.
 ORACLE_SQL = None

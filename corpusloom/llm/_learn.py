@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import BinaryType, DoubleType, IntegerType, LongType, StringType, StructField, StructType
 
 from corpusloom.llm._store import modest_batches
 
@@ -16,6 +16,14 @@ from corpusloom.llm._store import modest_batches
 FOLDS = 5
 
 
+_KINDS = {"long": LongType(), "int": IntegerType(), "double": DoubleType(), "string": StringType(), "binary": BinaryType()}
+
+
+def columns(**kinds: str) -> StructType:
+    """Nullable columns by name and kind; unlike parsing DDL, it needs no session."""
+    return StructType([StructField(name, _KINDS[kind]) for name, kind in kinds.items()])
+
+
 def held_out(doc_id: Column) -> Column:
     """Whether a row is kept from learning; a null id counts as held out."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % FOLDS == 0, F.lit(True))

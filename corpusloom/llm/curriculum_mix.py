@@ -96,9 +96,10 @@ def _placed(sized: DataFrame, weights, share, most) -> DataFrame:
     goals = targets(sizes, weights, share, most).withColumnRenamed("source", "goal_source")
     # sources are names: their number doesn't follow that of documents, but no bound is proven, so no broadcast is forced
     placed = sized.join(goals, F.col("source").eqNullSafe(F.col("goal_source")), "left").drop("goal_source")
-    draw = F.xxhash64("doc_id", "size", F.lit("order"))
+    # a source's order is that of its documents' md5; slots are ranges of it, so that their number doesn't change the order
+    draw = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
     slots = F.greatest(F.lit(1), F.ceil(F.col("source_rows") / SLOT_ROWS))
-    placed = placed.withColumn("draw", draw).withColumn("slot", F.pmod(F.shiftrightunsigned("draw", 20), slots))
+    placed = placed.withColumn("draw", draw).withColumn("slot", F.floor(F.conv(F.substring("draw", 1, 8), 16, 10).cast("double") / F.lit(float(1 << 32)) * slots))
     inside = Window.partitionBy("source", "slot").orderBy("draw", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     before = Window.partitionBy("source").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
     totals = placed.groupBy("source", "slot").agg(F.sum("size").alias("slot_size"))
