@@ -19,6 +19,7 @@ are replaced, all others kept.
 from __future__ import annotations
 
 import re
+from array import array
 
 import ahocorasick
 import numpy as np
@@ -30,7 +31,7 @@ from sentencepiece import sentencepiece_model_pb2
 from corpusloom.llm._learn import columns, with_columns
 
 #: Words whose ids a worker remembers.
-REMEMBERED = 400_000
+REMEMBERED = 600_000
 _SIGN = "▁"
 _UNIGRAM, _BPE = 1, 2
 _NORMAL, _UNKNOWN, _BYTE, _USER = 1, 2, 6, 4
@@ -60,9 +61,20 @@ class Pieces:
         for text, k in self.ids.items():
             self.automaton.add_word(text, (k, len(text)))
         self.automaton.make_automaton()
+        # a run of space signs with the word after it, up to a character that no piece has: nothing merges across these borders
+        never = "".join(map(re.escape, sorted(set(map(chr, range(128))) - set("".join(self.ids)))))
+        self.cut = re.compile(f"{_SIGN}*[^{_SIGN}{never}]+|{_SIGN}+" + (f"|[{never}]" if never else ""))
+        self.words = _Remembered(self)
         self.least = min(self.scores, default=0.0) - 10.0
+        self.sizes = [len(t) for t in self.texts]
         self._parts: dict[str, tuple[str, str] | None] = {}
         self._apart: dict[int, bool] = {}
+        self.merged = ahocorasick.Automaton()
+        if self.kind == _BPE:
+            for text, k in self.ids.items():
+                if self._whole(text):
+                    self.merged.add_word(text, (k, len(text)))
+            self.merged.make_automaton()
 
     # BPE: which two symbols make a piece, and whether two pieces stay apart next to each other
 
@@ -153,7 +165,40 @@ class Pieces:
             at = begin
         return path[::-1]
 
+    def merge_path(self, text: str) -> list[int] | None:
+        """The only admissible path of a BPE model over a text; None if a character isn't a piece.
+
+        The matches that end at a position come from the longest to the shortest, as the output links lead; the first admissible
+        one settles the position.
+        """
+        at, settled, apart, last = len(text), 0, self._apart, [-1] * (len(text) + 1)
+        for end, (k, size) in self.merged.iter(text):
+            if end < settled:
+                continue
+            begin = end + 1 - size
+            if begin:
+                before = last[begin]
+                if before < 0:
+                    continue
+                stay = apart.get(before << 20 | k)
+                if not (self.apart(before, k) if stay is None else stay):
+                    continue
+            last[end + 1] = k
+            settled = end + 1
+        out = []
+        while at:
+            k = last[at]
+            if k < 0:
+                return None
+            out.append(k)
+            at -= self.sizes[k]
+        out.reverse()
+        return out
+
     def word_ids(self, word: str) -> list[int]:
+        quick = self.merge_path(word) if self.kind == _BPE else None
+        if quick is not None:
+            return quick
         out: list[int] = []
         unknown = False
         for begin, end, k in self.segment(word):
@@ -169,32 +214,37 @@ class Pieces:
     def normal(self, text: str) -> str:
         return ((" " if self.prefix and text else "") + text).replace(" ", _SIGN)
 
-    def encode(self, text: str, memory: dict[str, list[int]]) -> list[int]:
-        out: list[int] = []
-        for word in _WORD.findall(self.normal(text)):
-            ids = memory.get(word)
-            if ids is None:
-                ids = self.word_ids(word)
-                if len(memory) < REMEMBERED and len(word) <= 64:
-                    memory[word] = ids
-            out += ids
-        return out
+    def encode(self, text: str) -> bytes:
+        """The ids of a text as little-endian 32-bit integers."""
+        return b"".join(map(self.words.__getitem__, self.cut.findall(self.normal(text))))
 
     def decode(self, ids: list[int]) -> str:
         text = b"".join([self.spelled[k] for k in ids]).decode("utf-8", "replace").replace(_SIGN, " ")
         return text[1:] if self.prefix and text.startswith(" ") else text
 
 
-#: A run of space signs with the word after it; what can merge is never cut, as a space sign only follows space signs in a piece.
-_WORD = re.compile(f"{_SIGN}*[^{_SIGN}]+|{_SIGN}+")
-_workers: dict[bytes, tuple[Pieces, dict[str, list[int]]]] = {}
+class _Remembered(dict):
+    """The ids of the words that a model has met."""
+
+    def __init__(self, pieces: Pieces):
+        super().__init__()
+        self.pieces = pieces
+
+    def __missing__(self, word: str) -> bytes:
+        ids = array("i", self.pieces.word_ids(word)).tobytes()
+        if len(self) < REMEMBERED and len(word) <= 64:
+            self[word] = ids
+        return ids
+
+
+_workers: dict[bytes, Pieces] = {}
 
 
-def loaded(model: bytes) -> tuple[Pieces, dict[str, list[int]]]:
-    """The model and the words met, once in a worker."""
+def loaded(model: bytes) -> Pieces:
+    """The model, once in a worker."""
     if model not in _workers:
         _workers.clear()
-        _workers[model] = (Pieces(model), {})
+        _workers[model] = Pieces(model)
     return _workers[model]
 
 
@@ -207,11 +257,11 @@ def encoded(documents: DataFrame, model_path: str) -> DataFrame:
         model = f.read()
 
     def compute(batch):
-        pieces, memory = loaded(model)
-        lists = [np.array(pieces.encode(t, memory), np.int32) if t else np.zeros(0, np.int32) for t in batch.column("text").to_pylist()]
-        sizes = np.array([len(x) for x in lists], np.int64)
+        pieces = loaded(model)
+        lists = [pieces.encode(t) if t else b"" for t in batch.column("text").to_pylist()]
+        sizes = np.array([len(x) // 4 for x in lists], np.int64)
         offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-        flat = np.concatenate(lists) if lists else np.zeros(0, np.int32)
+        flat = np.frombuffer(b"".join(lists), np.int32)
         kind = pa.list_(pa.field("element", pa.int32(), nullable=False))
         return [pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat), type=kind), pa.array(sizes)]
 
@@ -224,7 +274,7 @@ def decoded(rows: DataFrame, model_path: str) -> DataFrame:
         model = f.read()
 
     def compute(batch):
-        pieces, _ = loaded(model)
+        pieces = loaded(model)
         return [pa.array([None if x is None else pieces.decode(x) for x in batch.column("ids").to_pylist()], pa.string())]
 
     return with_columns(rows, columns(decoded="string"), compute)

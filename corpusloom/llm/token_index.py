@@ -24,6 +24,7 @@ from array import array
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -38,68 +39,69 @@ SHARD_BYTES, BUCKET_KEYS = 256 << 20, 1 << 15
 #: Bits of a level for each of its keys, and levels before what is left is listed.
 SPREAD, LEVELS = 2, 24
 #: Text units whose ids a worker remembers.
-REMEMBERED = 400_000
+REMEMBERED = 700_000
 #: The id that ends a document.
 END_ID = 2
 
 _HEAD, _HEAD_BYTES = "<4sIII", 16
 _SLOT = np.dtype([("mark", "<u4"), ("shard", "<u4"), ("offset", "<u8"), ("n", "<u8")])
+# The pattern of the byte-level pre-tokenizer, a fixed value, once as it is and once for ASCII.
+_LATIN_WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 _WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+", re.ASCII)
+#: What isn't printable ASCII, tab, line end or Latin script. On its classes engines may differ, so it goes through the library.
+_STRANGE = re.compile("[^\t\n\x20-\x7e\u00a1-\u024f]")
 
 
-class Encoder:
-    """A byte-level BPE tokenizer of the tokenizers library that remembers the units it has met.
+class Encoder(dict):
+    """A byte-level BPE tokenizer of the tokenizers library that remembers the units it has met, as {unit: ids}.
 
-    A unit is a space and what follows up to the next space. No pre-token reaches over a single space from before it, so units
-    are encoded alone; texts with two spaces in a row are encoded whole. ASCII units are cut to pre-tokens here, for which the
-    library's model is called directly; all others go through the whole library.
+    A unit is a space and what follows up to the next space; its key leaves the space out. No pre-token reaches over a single
+    space from before it, so units are encoded alone; texts with two spaces in a row are encoded whole. Units in
+    Latin script are cut to pre-tokens here, for which the library's model is called directly; others go through the whole library.
     """
 
     def __init__(self, model: str):
+        super().__init__()
         self.whole = Tokenizer.from_str(model)
-        self.known: dict[str, bytes] = {}
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         rest = [b for b in range(256) if b not in plain]
         self.letters = {b: b for b in plain} | {b: 256 + k for k, b in enumerate(rest)}
         self.specials = [t.content for t in self.whole.get_added_tokens_decoder().values()]
 
-    def _unit(self, unit: str) -> bytes:
-        ids = array("I")
-        for word in _WORDS.findall(unit):
-            ids.extend([t.id for t in self.whole.model.tokenize(word.translate(self.letters))])
+    def __missing__(self, unit: str) -> bytes:
+        ids = self.alone(" " + unit)
+        if len(self) < REMEMBERED and len(unit) <= 64:
+            self[unit] = ids
+        return ids
+
+    def alone(self, text: str) -> bytes:
+        """The ids of a text that isn't remembered."""
+        if _STRANGE.search(text) or any(s in text for s in self.specials):
+            return array("I", self.whole.encode_batch_fast([text], add_special_tokens=False)[0].ids).tobytes()
+        ids, tokenize, letters = array("I"), self.whole.model.tokenize, self.letters
+        if text.isascii():
+            words = [w.translate(letters) for w in _WORDS.findall(text)]
+        else:
+            words = [w.encode().decode("latin-1").translate(letters) for w in _LATIN_WORDS.findall(text)]
+        for word in words:
+            ids.extend([t.id for t in tokenize(word)])
         return ids.tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        known, units, odd, new = self.known, [], [], set()
+        out, ids_of, odd = [], self.__getitem__, []
         for k, text in enumerate(texts):
             if "  " in text or any(s in text for s in self.specials):
-                units.append(None)
                 odd.append(k)
+                out.append(b"")
                 continue
-            parts = text.split(" ")
-            parts[1:] = [" " + p for p in parts[1:]]
-            units.append(parts)
-            new.update(parts)
-        wide = []
-        for unit in new:
-            if unit not in known:
-                if unit.isascii() and not _CONTROL.search(unit):
-                    known[unit] = self._unit(unit)
-                else:
-                    wide.append(unit)
-        for unit, got in zip(wide, self.whole.encode_batch_fast(wide, add_special_tokens=False)):
-            known[unit] = array("I", got.ids).tobytes()
-        out = [b"" if parts is None else b"".join([known[p] for p in parts]) for parts in units]
+            first, *units = text.split(" ")
+            out.append(self.alone(first) + b"".join(map(ids_of, units)))
         for k, got in zip(odd, self.whole.encode_batch_fast([texts[k] for k in odd], add_special_tokens=False)):
             out[k] = array("I", got.ids).tobytes()
         return out
 
 
-#: Control characters, on whose classes regex engines differ; units with one go through the library.
-_CONTROL = re.compile(r"[\x00-\x08\x0b-\x1f\x7f]")
 _encoders: dict[str, Encoder] = {}
 
 
