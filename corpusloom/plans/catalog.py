@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+from corpusloom.plans import evaluation, retrieval, rules, store, streams, structure, text, windows  # noqa: F401  they register
+from corpusloom.plans.registry import ORACLES, QUERIES  # noqa: F401
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").groupBy("lang").count()
+    """Evaluation of a rule classifier against labelled documents."""
+    return QUERIES["eval_rates"](spark, sf_dir)
