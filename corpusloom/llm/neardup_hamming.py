@@ -11,9 +11,12 @@ when 100 x intersection >= 75 x union of their full sets, and a group is what li
 3. Hot keys are not joined with themselves. First, each class is held only against the least class of its keys, the one with
    which it shares the most keys, and confirmed links give first groups. What is left are pairs of one key in different first
    groups: they are compared by signature in blocks of at most ``BLOCK`` rows (a larger key is dealt to block pairs, so nothing
-   is capped), each pair only at its first shared key.
-4. Pairs whose signatures agree enough are confirmed on full sets, recomputed from the texts of the classes concerned. Which
-   texts those are reaches the scan as a Bloom filter of fixed size, so texts aren't shuffled; an exact join follows.
+   is capped), each pair only at its first shared key. A block emits a spanning forest of its agreeing pairs, not the pairs.
+4. What those forests connect are families. A family's full sets meet in pairs of blocks of about ``CELL`` sets (block pairs
+   inside one first group are left out), where intersections are counted with an inverted index and links emit a spanning
+   forest of the first groups they connect. So no step has more rows than keys or blocks have members, whatever is alike.
+   Full sets are recomputed from the texts concerned. Which texts those are reaches the scan as a Bloom filter of fixed size,
+   so texts aren't shuffled; an exact join follows.
 5. Groups are found by alternating large-star and small-star steps, each written to the shared folder.
 
 Defined results: null or blank text has n_shingles 0 and is a group of its own; equal sets are one group; rows that repeat a
@@ -43,6 +46,8 @@ LEAST_AGREEING = 117
 FIRST_TRY = 5
 #: Rows that are compared with each other at once.
 BLOCK = 4096
+#: Full sets in a block of a family.
+CELL = 512
 #: Bits of the filter of documents whose sets are needed: 8 MB, whatever the size of the corpus.
 FILTER_BITS = 1 << 26
 
@@ -157,42 +162,114 @@ def compare(slot: int, part: np.ndarray | None, label: np.ndarray, size: np.ndar
     return (np.concatenate(left), np.concatenate(right)) if left else (none, none)
 
 
-def _open_pairs(rows: DataFrame) -> DataFrame:
-    """Pairs (a, b) to confirm, of rows (key, members, node, label, n_shingles, signature)."""
+def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What edges connect, as edges from each node to the least node of its tree."""
+    if not len(a):
+        return a, b
+    names, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = at[: len(a)], at[len(a) :]
+    root = np.arange(len(names))
+    while True:
+        low = np.minimum(root[x], root[y])
+        np.minimum.at(root, root[x], low)
+        np.minimum.at(root, root[y], low)
+        while (jump := root[root]).tolist() != root.tolist():
+            root = jump
+        if (root[x] == root[y]).all():
+            break
+    inner = root != np.arange(len(names))
+    return names[inner], names[root[inner]]
+
+
+def _cells(batches, names: tuple[str, ...]):
+    """Tables of the rows of equal ``names`` from sorted batches, several whole cells in each."""
+    held = None
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        held = table if held is None else pa.concat_tables([held, table])
+        last = [held.column(c)[held.num_rows - 1].as_py() for c in names]
+        tail = np.logical_and.reduce([held.column(c).to_numpy() == v for c, v in zip(names, last)])
+        cut = int(np.argmax(tail))
+        if cut:
+            yield held.slice(0, cut).combine_chunks()
+            held = held.slice(cut)
+    if held is not None and held.num_rows:
+        yield held.combine_chunks()
+
+
+def _borders(table: pa.Table, names: tuple[str, ...]) -> np.ndarray:
+    change = np.logical_or.reduce([(c := table.column(n).to_numpy())[1:] != c[:-1] for n in names])
+    return np.concatenate([[0], 1 + np.flatnonzero(change), [table.num_rows]])
+
+
+def _edges(found: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    a, b = (np.concatenate([f[k] for f in found] or [np.zeros(0, np.int64)]) for k in (0, 1))
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+
+def _alike(rows: DataFrame) -> DataFrame:
+    """Forests (a, b) of the classes whose signatures agree, of rows (key, members, node, label, n_shingles, signature)."""
     blocks = F.ceil(F.col("members") / BLOCK).cast("int")
     rows = rows.withColumn("block", F.pmod(F.xxhash64("node"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     rows = rows.select("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "node", "label", "n_shingles", "signature")
 
     def run(batches):
-        held = None
-
-        def found(t):
-            n = t.num_rows
-            cell = np.stack([t.column(c).to_numpy() for c in ("key", "lo", "hi")])
-            at = np.concatenate([[0], 1 + np.flatnonzero((cell[:, 1:] != cell[:, :-1]).any(axis=0)), [n]])
-            node, label, size, block = (t.column(c).to_numpy() for c in ("node", "label", "n_shingles", "block"))
+        for t in _cells(batches, ("key", "lo", "hi")):
+            at = _borders(t, ("key", "lo", "hi"))
+            key, lo, hi, node, label, size, block = (t.column(c).to_numpy() for c in ("key", "lo", "hi", "node", "label", "n_shingles", "block"))
             wide, narrow = symbols(t.column("signature").to_pylist())
-            a, b = [], []
+            found = []
             for s, e in zip(at, at[1:]):
-                x, y = compare(int(cell[0, s]) & 63, block[s:e] if cell[1, s] != cell[2, s] else None, label[s:e], size[s:e], wide[s:e], narrow[s:e])
-                a.append(node[s:e][x])
-                b.append(node[s:e][y])
-            a, b = np.concatenate(a), np.concatenate(b)
-            return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+                x, y = compare(int(key[s]) & 63, block[s:e] if lo[s] != hi[s] else None, label[s:e], size[s:e], wide[s:e], narrow[s:e])
+                found.append(forest(node[s:e][x], node[s:e][y]))
+            yield _edges(found)
+
+    return rows.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi").mapInArrow(run, "a long, b long")
+
+
+def linked_labels(label: np.ndarray, first: np.ndarray, names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Forest of the labels that links of full sets connect; set k is names[first[k]:first[k + 1]]."""
+    size = np.diff(first)
+    owner = np.repeat(np.arange(len(size)), size)
+    _, word = np.unique(names, return_inverse=True)
+    order = np.argsort(word, kind="stable")
+    posting, begin = owner[order], np.concatenate([[0], np.cumsum(np.bincount(word))])
+    a, b = [], []
+    for k in range(len(size)):
+        w = word[first[k] : first[k + 1]]
+        n = begin[w + 1] - begin[w]
+        at = np.arange(n.sum()) + np.repeat(begin[w] - np.concatenate([[0], np.cumsum(n)[:-1]]), n)
+        both = np.bincount(posting[at], minlength=len(size))
+        hit = np.flatnonzero((100 * both >= 75 * (size[k] + size - both)) & (label != label[k]))
+        a.append(np.full(len(hit), label[k]))
+        b.append(label[hit])
+    return forest(np.concatenate(a), np.concatenate(b))
+
+
+def _late_links(documents: DataFrame, classes: DataFrame, families: DataFrame) -> DataFrame:
+    """Links (a, b) between labels of families (node, family, label), by the full sets of all members."""
+    counts = families.groupBy("family", "label").agg(F.count(F.lit(1)).alias("n"))
+    pooled = counts.filter(F.col("n") < CELL).groupBy("family").agg(F.sum("n").alias("pool"))
+    counts = counts.join(pooled, "family", "left")
+    own = F.col("n") >= CELL
+    placed = families.join(counts, ["family", "label"])
+    # a label of CELL members or more has blocks of its own; smaller labels share blocks
+    placed = placed.select("family", "node", "label", F.when(own, F.col("label")).alias("single"), F.when(own, F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / CELL))).otherwise(F.pmod(F.xxhash64("label"), F.ceil(F.col("pool") / CELL))).alias("part"))
+    placed = kept(placed.withColumn("block", F.xxhash64("single", "part")), "placed")
+    blocks = placed.select("family", "block", "single").distinct()
+    pairs = blocks.join(blocks.select("family", F.col("block").alias("block2"), F.col("single").alias("single2")), "family")
+    pairs = pairs.filter((F.col("block") <= F.col("block2")) & ~(F.coalesce(F.col("single") == F.col("single2"), F.lit(False))))
+    seats = pairs.select("family", F.col("block").alias("x"), F.col("block2").alias("y"), F.explode(F.array_distinct(F.array("block", "block2"))).alias("block"))
+    rows = placed.select("family", "block", "node", "label").join(seats, ["family", "block"]).join(full_sets(documents, classes, placed.select("node")), "node")
 
-        for batch in batches:
-            table = pa.Table.from_batches([batch])
-            held = table if held is None else pa.concat_tables([held, table])
-            last = [held.column(c)[held.num_rows - 1].as_py() for c in ("key", "lo", "hi")]
-            tail = [held.column(c).to_numpy() == v for c, v in zip(("key", "lo", "hi"), last)]
-            cut = int(np.argmax(tail[0] & tail[1] & tail[2]))
-            if cut:
-                yield found(held.slice(0, cut).combine_chunks())
-                held = held.slice(cut)
-        if held is not None and held.num_rows:
-            yield found(held.combine_chunks())
+    def run(batches):
+        for t in _cells(batches, ("family", "x", "y")):
+            at = _borders(t, ("family", "x", "y"))
+            label, column = t.column("label").to_numpy(), t.column("names").combine_chunks()
+            first, names = column.offsets.to_numpy().astype(np.int64), column.values.to_numpy()
+            yield _edges([linked_labels(label[s:e], first[s : e + 1] - first[s], names[first[s] : first[e]]) for s, e in zip(at, at[1:])])
 
-    return rows.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi").mapInArrow(run, "a long, b long").distinct()
+    return rows.select("family", "x", "y", "label", "names").repartition("family", "x", "y").sortWithinPartitions("family", "x", "y").mapInArrow(run, "a long, b long")
 
 
 def _bit(column: str):
@@ -212,26 +289,32 @@ def _filter_bits(ids: DataFrame) -> np.ndarray:
     return out
 
 
-def confirmed(documents: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs (a, b) of classes that are linked by their full sets."""
-    spark = documents.sparkSession
-    wanted = kept(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(classes.select("node", "first_doc"), "node"), "wanted")
+def full_sets(documents: DataFrame, classes: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, names) of the wanted nodes: their sets of shingle names, from one document of each class."""
+    wanted = kept(nodes.distinct().join(classes.select("node", "first_doc"), "node"), "wanted")
     bits = _filter_bits(wanted.select(F.col("first_doc").alias("id")))
-    modest_batches(spark)
+    modest_batches(documents.sparkSession)
 
     def run(batches):
         for batch in batches:
             at = batch.column("bit").to_numpy()
             batch = batch.filter(pa.array((bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1))
-            nodes, sets = [], []
+            ids, sets = [], []
             for names in _sets(batch.column("text")):
-                nodes.append(set_id(names) if len(names) else None)
+                ids.append(set_id(names) if len(names) else None)
                 sets.append(names.astype(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(nodes, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["first_doc", "node", "names"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["first_doc", "node", "names"])
 
-    ids = documents.schema["doc_id"].dataType.simpleString()
+    kind = documents.schema["doc_id"].dataType.simpleString()
     hashed = documents.select(_bit("doc_id").alias("bit"), "doc_id", "text").filter(F.col("doc_id").isNotNull())
-    sets = hashed.mapInArrow(run, f"first_doc {ids}, node long, names array<long>").join(wanted, ["first_doc", "node"], "left_semi").select("node", "names")
+    found = hashed.mapInArrow(run, f"first_doc {kind}, node long, names array<long>")
+    # a repeated row would give its class's set twice, which is harmless: it has the same label
+    return found.join(wanted, ["first_doc", "node"], "left_semi").select("node", "names")
+
+
+def confirmed(documents: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs (a, b) of classes that are linked by their full sets."""
+    sets = full_sets(documents, classes, pairs.select(F.col("a").alias("node")).union(pairs.select("b")))
     left = pairs.join(sets.select(F.col("node").alias("a"), F.col("names").alias("names_a")), "a")
     both = left.join(sets.select(F.col("node").alias("b"), F.col("names").alias("names_b")), "b")
     shared = F.size(F.array_intersect("names_a", "names_b"))
@@ -277,9 +360,9 @@ def _groups(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     labelled = kept(shared.join(first, "node", "left").select("key", "members", "node", F.coalesce("root", "node").alias("label")), "labelled")
     open_keys = labelled.groupBy("key").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).filter("l0 != l1").select("key")
     rows = labelled.join(open_keys, "key").join(classes.select("node", "n_shingles", "signature"), "node")
-    late = confirmed(documents, classes, kept(_open_pairs(rows), "pairs"))
-    step = late.join(first.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a", "left").join(first.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b", "left")
-    second = components(step.select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b")))
+    families = components(_alike(rows)).select("node", F.col("root").alias("family"))
+    families = kept(families.join(first, "node", "left").select("node", "family", F.coalesce("root", "node").alias("label")), "families")
+    second = components(_late_links(documents, classes, families))
     second = second.select(F.col("node").alias("root1"), F.col("root").alias("root2"))
     rooted = classes.select("node", "first_doc").join(first, "node", "left").withColumn("root1", F.coalesce("root", "node")).drop("root")
     rooted = rooted.join(second, "root1", "left").select("node", "first_doc", F.coalesce("root2", "root1").alias("root"))
