@@ -143,7 +143,9 @@ def fingerprint_table(documents: DataFrame) -> DataFrame:
     kind = documents.schema["doc_id"].dataType.simpleString()
     place = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))
     rows = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), place.alias("place"))
-    ranges = documents.select(place.alias("place")).repartitionByRange("place").groupBy(F.spark_partition_id().alias("p")).agg(F.min("place").alias("low"))
+    # a number is given, so that adaptive execution doesn't make one range of the small ids
+    parts_wanted = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranges = documents.select(place.alias("place")).repartitionByRange(parts_wanted, "place").groupBy(F.spark_partition_id().alias("p")).agg(F.min("place").alias("low"))
     lows = np.array(sorted(r["low"] for r in ranges.collect()), np.int64)  # one for each range
 
     @F.pandas_udf("array<int>")
