@@ -1,7 +1,7 @@
 """Token-id shards with a minimal perfect hash index.
 
-Documents are range-sorted by doc_id; each task encodes its range and writes raw id payloads, little-endian unsigned 32-bit
-integers and nothing else, to shard files of about ``SHARD_BYTES``. The index is dealt to buckets of about ``BUCKET_KEYS`` keys
+Documents are range-sorted by doc_id; each task encodes its range and writes raw id payloads, little-endian unsigned integers of
+16 bits (of 32, if the vocabulary has more ids) and nothing else, to shard files of about ``SHARD_BYTES``. The index is dealt to buckets of about ``BUCKET_KEYS`` keys
 by hash, one file each: a minimal perfect hash over the bucket's keys (levels of bit arrays, in which a key takes the first
 level where no other key hits its bit; its slot is the number of bits set before) and, by slot, the key's fingerprint, shard,
 offset and length. A lookup reads one bucket, probes a constant expected number of levels, compares the fingerprint, and reads
@@ -29,6 +29,7 @@ from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 from tokenizers import Tokenizer
 
 from corpusloom.llm._store import kept, modest_batches, new_path
@@ -52,6 +53,11 @@ _WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0
 _STRANGE = re.compile("[^\t\n\x20-\x7e\u00a1-\u024f]")
 
 
+def code_of(tokenizer: Tokenizer) -> str:
+    """The array code of its ids: H for 16 bits, I for 32."""
+    return "H" if tokenizer.get_vocab_size() <= 1 << 16 else "I"
+
+
 class Encoder(dict):
     """A byte-level BPE tokenizer of the tokenizers library that remembers the units it has met, as {unit: ids}.
 
@@ -66,6 +72,7 @@ class Encoder(dict):
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         rest = [b for b in range(256) if b not in plain]
         self.letters = {b: b for b in plain} | {b: 256 + k for k, b in enumerate(rest)}
+        self.code = code_of(self.whole)
         self.specials = [t.content for t in self.whole.get_added_tokens_decoder().values()]
 
     def __missing__(self, unit: str) -> bytes:
@@ -77,8 +84,8 @@ class Encoder(dict):
     def alone(self, text: str) -> bytes:
         """The ids of a text that isn't remembered."""
         if _STRANGE.search(text) or any(s in text for s in self.specials):
-            return array("I", self.whole.encode_batch_fast([text], add_special_tokens=False)[0].ids).tobytes()
-        ids, tokenize, letters = array("I"), self.whole.model.tokenize, self.letters
+            return array(self.code, self.whole.encode_batch_fast([text], add_special_tokens=False)[0].ids).tobytes()
+        ids, tokenize, letters = array(self.code), self.whole.model.tokenize, self.letters
         if text.isascii():
             words = [w.translate(letters) for w in _WORDS.findall(text)]
         else:
@@ -88,7 +95,7 @@ class Encoder(dict):
         return ids.tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as little-endian unsigned 32-bit integers."""
+        """The ids of each text as little-endian unsigned integers of the width of ``code``."""
         out, ids_of, odd = [], self.__getitem__, []
         for k, text in enumerate(texts):
             if "  " in text or any(s in text for s in self.specials):
@@ -98,7 +105,7 @@ class Encoder(dict):
             first, *units = text.split(" ")
             out.append(self.alone(first) + b"".join(map(ids_of, units)))
         for k, got in zip(odd, self.whole.encode_batch_fast([texts[k] for k in odd], add_special_tokens=False)):
-            out[k] = array("I", got.ids).tobytes()
+            out[k] = array(self.code, got.ids).tobytes()
         return out
 
 
@@ -143,10 +150,10 @@ def write_shards(documents: DataFrame, folder: str, tokenizer_path: str, end_id:
     with open(tokenizer_path, encoding="utf-8") as f:
         model = f.read()
     modest_batches(documents.sparkSession)
-    end = array("I", [end_id]).tobytes()
 
     def run(batches):
         encoder, part, seq = _encoder(model), TaskContext.get().partitionId(), 0
+        end = array(encoder.code, [end_id]).tobytes()
         shard, last, nth = None, None, 0
         for batch in batches:
             ids = batch.column("doc_id").to_pylist()
@@ -162,8 +169,8 @@ def write_shards(documents: DataFrame, folder: str, tokenizer_path: str, end_id:
                     shard = _Shard(folder, shard_name(part << 12 | seq))
                 nths.append(nth)
                 shards.append(part << 12 | seq)
-                offsets.append(shard.bytes // 4)
-                sizes.append(len(payload) // 4 + 1)
+                offsets.append(shard.bytes // len(end))
+                sizes.append(len(payload) // len(end) + 1)
                 shard.write(payload + end)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(x, pa.int64()) for x in (nths, shards, offsets, sizes))], names=["doc_id", "nth", "shard", "offset", "n"])
         if shard is not None:
@@ -303,10 +310,14 @@ def lookup(keys: DataFrame, folder: str, buckets: int) -> DataFrame:
     return dealt.select("bucket", "h1", "h2", "doc_id", "nth").mapInArrow(run, f"doc_id {kind}, nth long, shard long, offset long, n long")
 
 
-def fetch(places: DataFrame, folder: str) -> DataFrame:
-    """places (doc_id, nth, shard, offset, n) with payload, the bytes read at each; a shard's reads follow each other in a task."""
-    kind = places.schema["doc_id"].dataType.simpleString()
+def fetch(places: DataFrame, folder: str, code: str) -> DataFrame:
+    """places (shard, offset, n, ...) with payload, the ids read at each as little-endian unsigned 32-bit integers.
+
+    code: the width of the stored ids. A shard's reads follow each other in a task.
+    """
     modest_batches(places.sparkSession)
+    kind = np.dtype({"H": "<u2", "I": "<u4"}[code])
+    places = places.drop("payload")
 
     def run(batches):
         files, base = fs.FileSystem.from_uri(folder)
@@ -321,22 +332,25 @@ def fetch(places: DataFrame, folder: str) -> DataFrame:
                     if file is not None:
                         file.close()
                     opened, file = shard, files.open_input_file(f"{base}/{shard_name(shard)}")
-                payloads.append(file.read_at(4 * n, 4 * offset))
+                stored_ids = np.frombuffer(file.read_at(kind.itemsize * n, kind.itemsize * offset), kind)
+                payloads.append(stored_ids.astype("<u4").tobytes())
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(payloads, pa.binary())], names=[*batch.schema.names, "payload"])
         if file is not None:
             file.close()
 
-    near = places.select("doc_id", "nth", "shard", "offset", "n").repartitionByRange("shard", "offset").sortWithinPartitions("shard", "offset")
-    return near.mapInArrow(run, f"doc_id {kind}, nth long, shard long, offset long, n long, payload binary")
+    near = places.repartitionByRange("shard", "offset").sortWithinPartitions("shard", "offset")
+    return near.mapInArrow(run, StructType([*places.schema.fields, StructField("payload", BinaryType())]))
 
 
 def stored(spark: SparkSession, documents: DataFrame, tokenizer_path: str, folder: str | None = None) -> DataFrame:
-    """Writes shards and index of documents, then reads every document back by its key: (doc_id, nth, start, n, payload)."""
+    """Writes shards and index of documents, then reads every document back by its key: (doc_id, nth, shard, offset, n, start, payload)."""
     folder = folder or new_path(spark, "tokens")
     rows = kept(write_shards(documents, folder, tokenizer_path), "placed")
     buckets = write_index(rows, folder)
     numbered = Window.partitionBy("doc_id").orderBy(F.lit(0))
     keys = documents.select("doc_id").withColumn("nth", F.row_number().over(numbered).cast("long") - 1)
-    read = fetch(lookup(keys, folder, buckets), folder)
     bases = rows.groupBy("shard").agg(F.min(F.col("start") - F.col("offset")).alias("base"))
-    return read.join(bases, "shard", "left").select("doc_id", "nth", (F.col("base") + F.col("offset")).alias("start"), "n", "payload")
+    # the payloads come last, so that no shuffle carries them
+    places = lookup(keys, folder, buckets).join(bases, "shard", "left")
+    places = places.select("doc_id", "nth", "shard", "offset", "n", (F.col("base") + F.col("offset")).alias("start"))
+    return fetch(places, folder, code_of(Tokenizer.from_file(tokenizer_path)))
