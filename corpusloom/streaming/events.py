@@ -10,7 +10,7 @@ from collections.abc import Iterator, Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
 
 
@@ -76,34 +76,29 @@ def sink_once(path: str, key: str):
     return lambda batch, _: append_new(batch, path, key)
 
 
-class UntilTerminal(StatefulProcessor):
-    """Numbers a key's events and passes them on until a terminal one; what follows goes. State is two numbers, and expires."""
+def until_terminal_stream(stream: DataFrame, key: str, order: str, kind: str, terminal: Sequence[str], keep_ms: int = 30 * 60 * 1000) -> DataFrame:
+    """Streaming form of :func:`sequenced` with :func:`until_terminal`: adds seq; what follows a terminal event goes.
 
-    def __init__(self, order: str, kind: str, terminal: Sequence[str], ttl_ms: int = 30 * 60 * 1000):
-        self.order, self.kind, self.terminal, self.ttl = order, kind, tuple(terminal), ttl_ms
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("state", "seq long, closed boolean", self.ttl)
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
-        seq, closed = self.state.get() or (0, False)
-        for frame in rows:
-            if closed:
-                continue
-            frame = frame.sort_values(self.order, kind="stable").reset_index(drop=True)
-            ends = frame.index[frame[self.kind].isin(self.terminal)]
+    State is two values a key, dropped ``keep_ms`` after its last event. With the availableNow trigger, set
+    spark.sql.streaming.noDataMicroBatches.enabled to false: timeouts ask for further batches without end.
+    """
+    schema = StructType([*stream.schema.fields]).add("seq", "long")
+    names = stream.columns
+
+    def run(_, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        seq, closed = state.get if state.exists else (0, False)
+        parts = [f for f in frames if len(f)]
+        if parts and not closed:
+            frame = pd.concat(parts).sort_values(order, kind="stable").reset_index(drop=True)
+            ends = frame.index[frame[kind].isin(tuple(terminal))]
             if len(ends):
                 frame, closed = frame.iloc[: ends[0] + 1], True
-            frame = frame.assign(seq=range(seq + 1, seq + 1 + len(frame)))
+            yield frame.assign(seq=range(seq + 1, seq + 1 + len(frame)))[[*names, "seq"]]
             seq += len(frame)
-            yield frame
-        self.state.update((seq, closed))
+        state.update((seq, closed))
+        state.setTimeoutDuration(keep_ms)
 
-    def close(self) -> None:
-        pass
-
-
-def until_terminal_stream(stream: DataFrame, key: str, order: str, kind: str, terminal: Sequence[str]) -> DataFrame:
-    """Streaming form of :func:`sequenced` with :func:`until_terminal`."""
-    schema = StructType([*stream.schema.fields]).add("seq", "long")
-    return stream.groupBy(key).transformWithStateInPandas(UntilTerminal(order, kind, terminal), outputStructType=schema, outputMode="Append", timeMode="ProcessingTime")
+    return stream.groupBy(key).applyInPandasWithState(run, schema, "seq long, closed boolean", "append", GroupStateTimeout.ProcessingTimeTimeout)
