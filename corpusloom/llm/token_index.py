@@ -58,6 +58,10 @@ def code_of(tokenizer: Tokenizer) -> str:
     return "H" if tokenizer.get_vocab_size() <= 1 << 16 else "I"
 
 
+#: A word in Latin script, with a mark after it or not.
+_PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([.,]?)")
+
+
 class Encoder(dict):
     """A byte-level BPE tokenizer of the tokenizers library that remembers the units it has met, as {unit: ids}.
 
@@ -73,10 +77,20 @@ class Encoder(dict):
         rest = [b for b in range(256) if b not in plain]
         self.letters = {b: b for b in plain} | {b: 256 + k for k, b in enumerate(rest)}
         self.code = code_of(self.whole)
+        self.tokenize = self.whole.model.tokenize
+        self.letters_space = chr(self.letters[0x20])
+        self.marks = {m: array(self.code, [t.id for t in self.tokenize(m)]).tobytes() for m in ".,"}
         self.specials = [t.content for t in self.whole.get_added_tokens_decoder().values()]
 
     def __missing__(self, unit: str) -> bytes:
-        ids = self.alone(" " + unit)
+        plain = _PLAIN.fullmatch(unit)
+        if plain is None:
+            ids = self.alone(" " + unit)
+        elif plain[2]:  # a mark is a pre-token of its own, and the word may be known
+            ids = self[plain[1]] + self.marks[plain[2]]
+        else:
+            word = unit if unit.isascii() else unit.encode().decode("latin-1").translate(self.letters)
+            ids = array(self.code, [t.id for t in self.tokenize(self.letters_space + word)]).tobytes()
         if len(self) < REMEMBERED and len(unit) <= 64:
             self[unit] = ids
         return ids
@@ -85,7 +99,7 @@ class Encoder(dict):
         """The ids of a text that isn't remembered."""
         if _STRANGE.search(text) or any(s in text for s in self.specials):
             return array(self.code, self.whole.encode_batch_fast([text], add_special_tokens=False)[0].ids).tobytes()
-        ids, tokenize, letters = array(self.code), self.whole.model.tokenize, self.letters
+        ids, tokenize, letters = array(self.code), self.tokenize, self.letters
         if text.isascii():
             words = [w.translate(letters) for w in _WORDS.findall(text)]
         else:
