@@ -68,6 +68,7 @@ def _phrases(symbol: np.ndarray, offsets: np.ndarray, salt: np.uint64) -> tuple[
         higher = np.ones(n, bool)
         higher[1:] = label[1:] > label[:-1]
         higher[:-1] &= label[:-1] > label[1:]
+        higher[offsets[1:][np.diff(offsets) > 0] - 1] = False  # what follows a document's last symbol is another document's
         higher[begin] = True
         inner = begin + 1
         higher[inner[inner < n]] &= np.isin(inner[inner < n], begin)  # a document's first phrase has two symbols at least
