@@ -96,7 +96,7 @@ def infer(model: Model, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarr
     letter = plain != 0x20
     start = np.flatnonzero(letter & ~np.concatenate([[False], letter[:-1]]))
     share, best = np.zeros((n, langs)), np.zeros(n, np.int64)
-    if not len(start):
+    if not len(start) or not langs:
         return share, best, np.zeros(n, np.int64)
     first = np.searchsorted(start, offsets + np.concatenate([shift - 2, [2 * n]]))
     held = np.flatnonzero(letter)
