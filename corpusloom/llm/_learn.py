@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, DoubleType, IntegerType, LongType, StringType, StructField, StructType
 
-from corpusloom.llm._store import modest_batches
+from corpusloom.llm._store import give_back, modest_batches
 
 #: A document is held out when the crc32 of its id, as text, leaves 0 by this.
 FOLDS = 5
@@ -58,6 +58,7 @@ def with_columns(df: DataFrame, added: StructType, compute: Callable[[pa.RecordB
         for batch in batches:
             arrays = [a if isinstance(a, pa.Array) else pa.array(a) for a in compute(batch)]
             yield pa.RecordBatch.from_arrays([*batch.columns, *arrays], names=[*batch.schema.names, *added.names])
+        give_back()
 
     return own.mapInArrow(run, out)
 

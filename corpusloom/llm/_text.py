@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that are handled by one set of numpy passes.
-PIECE_BYTES = 1 << 20
+PIECE_BYTES = 1 << 19
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _ODD_INVERSE = np.uint64(pow(int(_ODD), -1, 1 << 64))

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm._store import kept, modest_batches
+from corpusloom.llm._store import give_back, kept, modest_batches
 from corpusloom.llm._text import Words, mix, pieces, seeds, shingles, utf8
 
 #: Symbols that are indexed, in chunks of four, and symbols that are only compared.
@@ -91,6 +91,7 @@ def features(documents: DataFrame) -> DataFrame:
                 nodes.append(set_id(names) if len(names) else None)
                 marks.append(signature(names) if len(names) else None)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(marks, pa.binary())], names=["doc_id", "n_shingles", "node", "signature"])
+        give_back()
 
     ids = documents.schema["doc_id"].dataType.simpleString()
     return documents.select("doc_id", "text").mapInArrow(run, f"doc_id {ids}, n_shingles long, node long, signature binary")
@@ -118,6 +119,7 @@ def _keys(classes: DataFrame) -> DataFrame:
                 keys = keys_of(symbols(batch.column("signature").to_pylist())[0])
                 nodes = np.repeat(batch.column("node").to_numpy(zero_copy_only=False), INDEXED)
                 yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().astype(np.int64)), pa.array(nodes)], names=["key", "node"])
+        give_back()
 
     return classes.select("node", "signature").mapInArrow(run, "key long, node long")
 
@@ -223,6 +225,7 @@ def _alike(rows: DataFrame) -> DataFrame:
                 x, y = compare(int(key[s]) & 63, block[s:e] if lo[s] != hi[s] else None, label[s:e], size[s:e], wide[s:e], narrow[s:e])
                 found.append(forest(node[s:e][x], node[s:e][y]))
             yield _edges(found)
+        give_back()
 
     return rows.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi").mapInArrow(run, "a long, b long")
 
@@ -268,6 +271,7 @@ def _late_links(documents: DataFrame, classes: DataFrame, families: DataFrame) -
             label, column = t.column("label").to_numpy(), t.column("names").combine_chunks()
             first, names = column.offsets.to_numpy().astype(np.int64), column.values.to_numpy()
             yield _edges([linked_labels(label[s:e], first[s : e + 1] - first[s], names[first[s] : first[e]]) for s, e in zip(at, at[1:])])
+        give_back()
 
     return rows.select("family", "x", "y", "label", "names").repartition("family", "x", "y").sortWithinPartitions("family", "x", "y").mapInArrow(run, "a long, b long")
 
@@ -304,6 +308,7 @@ def full_sets(documents: DataFrame, classes: DataFrame, nodes: DataFrame) -> Dat
                 ids.append(set_id(names) if len(names) else None)
                 sets.append(names.astype(np.int64))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["first_doc", "node", "names"])
+        give_back()
 
     kind = documents.schema["doc_id"].dataType.simpleString()
     hashed = documents.select(_bit("doc_id").alias("bit"), "doc_id", "text").filter(F.col("doc_id").isNotNull())
