@@ -20,7 +20,7 @@ def rows(df: pd.DataFrame) -> list[tuple]:
     df = df[sorted(df.columns)].copy()
 
     def cell(v):
-        if v is None or v is pd.NaT or (isinstance(v, float) and v != v):
+        if v is None or v is pd.NaT or v is pd.NA or (isinstance(v, float) and v != v):
             return None
         if isinstance(v, bool) or type(v).__name__ == "bool":
             return str(bool(v))
