@@ -31,6 +31,8 @@ SCHEDULES = (
 )
 #: Words of the mix per word of the corpus, and the most often that a source is repeated.
 SHARE, MOST = 1.5, 2.0
+#: Sources up to which their targets are broadcast; more are joined by a shuffle.
+MOST_SOURCES = 10_000
 #: Documents that are ordered together.
 SLOT_ROWS = 2000
 
@@ -91,22 +93,26 @@ def position(weight_class: Column, share: Column, schedules=SCHEDULES) -> Column
 
 
 def _placed(sized: DataFrame, weights, share, most) -> DataFrame:
-    """sized (doc_id, source, size, ...) with source_size, weight_class, target and ``begin``, the words of its source before it."""
-    sizes = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("source_rows"))
-    goals = targets(sizes, weights, share, most).withColumnRenamed("source", "goal_source")
-    # sources are names: their number doesn't follow that of documents, but no bound is proven, so no broadcast is forced
-    placed = sized.join(goals, F.col("source").eqNullSafe(F.col("goal_source")), "left").drop("goal_source")
+    """sized (doc_id, source, size, ...) with source_size, weight_class, target and ``begin``, the words of its source before it.
+
+    Whatever else a row carries is shuffled once: by source and slot, for the sums as for the join of the slots' totals.
+    """
+    sized = sized.withColumn("key", F.coalesce(F.concat(F.lit("="), "source"), F.lit("null")))
+    sizes = sized.groupBy("key", "source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("source_rows"))
+    goals = targets(sizes, weights, share, most).drop("source")
+    if goals.limit(MOST_SOURCES + 1).count() <= MOST_SOURCES:
+        goals = F.broadcast(goals)
+    placed = sized.join(goals, "key")
     # a source's order is that of its documents' md5; slots are ranges of it, so that their number doesn't change the order
     draw = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
     slots = F.greatest(F.lit(1), F.ceil(F.col("source_rows") / SLOT_ROWS))
     placed = placed.withColumn("draw", draw).withColumn("slot", F.floor(F.conv(F.substring("draw", 1, 8), 16, 10).cast("double") / F.lit(float(1 << 32)) * slots))
-    inside = Window.partitionBy("source", "slot").orderBy("draw", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    before = Window.partitionBy("source").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
-    totals = placed.groupBy("source", "slot").agg(F.sum("size").alias("slot_size"))
-    totals = totals.select(F.col("source").alias("t_source"), F.col("slot").alias("t_slot"), F.coalesce(F.sum("slot_size").over(before), F.lit(0)).alias("slot_begin"))
-    placed = placed.withColumn("in_slot", F.coalesce(F.sum("size").over(inside), F.lit(0)))
-    placed = placed.join(totals, F.col("source").eqNullSafe(F.col("t_source")) & (F.col("slot") == F.col("t_slot")), "left")
-    return placed.withColumn("begin", F.col("slot_begin") + F.col("in_slot")).drop("t_source", "t_slot", "slot_begin", "in_slot", "slot", "draw")
+    inside = Window.partitionBy("key", "slot").orderBy("draw", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy("key").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
+    totals = placed.groupBy("key", "slot").agg(F.sum("size").alias("slot_size"))
+    totals = totals.select("key", "slot", F.coalesce(F.sum("slot_size").over(before), F.lit(0)).alias("slot_begin"))
+    placed = placed.withColumn("in_slot", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(totals, ["key", "slot"])
+    return placed.withColumn("begin", F.col("slot_begin") + F.col("in_slot")).drop("key", "slot", "slot_begin", "in_slot", "draw")
 
 
 def _taken(begin: Column, pass_no: Column) -> Column:
