@@ -29,6 +29,14 @@ def hits(c: Column, keywords: Sequence[str]) -> Column:
     return F.filter(F.array(*map(F.lit, keywords)).cast("array<string>"), lambda k: F.contains(text_of(c), k))
 
 
+def count_hits(c: Column, keywords: Sequence[str]) -> Column:
+    """How many of the keywords a text contains."""
+    out = F.lit(0)
+    for k in keywords:
+        out = out + F.contains(text_of(c), F.lit(k)).cast("int")
+    return out
+
+
 def tags(c: Column, rules: Rules, default: Sequence[str] = ()) -> Column:
     """All labels with a keyword in the text, in the dictionary's order, or ``default``."""
     found = F.array_compact(F.array(*(F.when(has_any(c, words), F.lit(label)) for label, words in rules.items())))
@@ -50,7 +58,7 @@ def first_rule(c: Column, rules: Rules, default: str) -> Column:
 
 def best_rule(c: Column, rules: Rules, default: str, lead: Rules | None = None, head: int = 300) -> Column:
     """The label with the most distinct keywords in the text, the first of equals; a ``lead`` keyword in the text's front overrides."""
-    scored = [F.struct(F.size(hits(c, words)).alias("score"), F.lit(-pos).alias("pos"), F.lit(label).alias("label")) for pos, (label, words) in enumerate(rules.items())]
+    scored = [F.struct(count_hits(c, words).alias("score"), F.lit(-pos).alias("pos"), F.lit(label).alias("label")) for pos, (label, words) in enumerate(rules.items())]
     best = F.array_max(F.array(*scored))
     out = F.when(best["score"] > 0, best["label"]).otherwise(default)
     for label, words in reversed(list((lead or {}).items())):
@@ -161,7 +169,7 @@ def table_share(c: Column) -> Column:
 def clause_score(c: Column, dimensions: Rules, duties: Sequence[str]) -> Column:
     """3 for each dimension, 1 for each duty word, 2 or 1 for length."""
     size = F.length(compact(c))
-    return 3 * F.size(tags(c, dimensions)) + F.size(hits(compact(c), duties)) + F.when(size >= 180, 2).when(size >= 100, 1).otherwise(0)
+    return 3 * F.size(tags(c, dimensions)) + count_hits(compact(c), duties) + F.when(size >= 180, 2).when(size >= 100, 1).otherwise(0)
 
 
 def clause_reasons(title: Column, c: Column, dimensions: Rules, duties: Sequence[str], signatures: Sequence[str], info_titles: Sequence[str]) -> Column:
@@ -170,12 +178,12 @@ def clause_reasons(title: Column, c: Column, dimensions: Rules, duties: Sequence
     bare = F.size(tags(c, dimensions)) == 0
     info = has_any(title, info_titles) & has_any(tight, ("包括", "分为", "是指")) & bare
     listing = F.contains(tight, F.lit("包括")) & has_any(tight, ("两大类", "类别")) & bare
-    meaning = has_any(tight, ("是指", "以下简称")) & bare & (F.size(hits(tight, duties)) == 0)
+    meaning = has_any(tight, ("是指", "以下简称")) & bare & (count_hits(tight, duties) == 0)
     tests = (
         ("too_short", (size < 40) | ((size < 80) & bare)),
         ("too_many_placeholders", placeholder_share(c) > 0.35),
         ("table_only", table_share(c) >= 0.75),
-        ("signature_or_meta", F.size(hits(tight, signatures)) >= 3),
+        ("signature_or_meta", count_hits(tight, signatures) >= 3),
         ("pure_definition_or_category", info | listing | meaning),
         ("no_meaningful_risk_dimension", bare & (clause_score(c, dimensions, duties) < 2)),
     )
