@@ -109,7 +109,11 @@ def drop_garbage(c: Column, allowed: str = r"\p{L}\p{N}\p{P}\s", least: float =
 
 def truncate_bytes(c: Column, most: int, mark: str = "") -> Column:
     """At most ``most`` UTF-8 bytes of a text, cut between characters; ``mark`` follows only if something was cut."""
-    cut = F.regexp_replace(F.make_valid_utf8(F.substring(text_of(c).cast("binary"), 1, most)), "�+$", "")
+    raw = text_of(c).cast("binary")
+    cut = F.make_valid_utf8(F.substring(raw, 1, most))
+    # only where the cut is inside a character is a last � its rest; the text may have others of its own
+    inside = F.hex(F.substring(raw, most + 1, 1)).between("80", "BF")
+    cut = F.when(inside, F.regexp_replace(cut, r"�\z", "")).otherwise(cut)
     return F.when(F.octet_length(text_of(c)) <= most, text_of(c)).otherwise(F.concat(cut, F.lit(mark)))
 
 

@@ -27,3 +27,14 @@ def test_citations_of_all_orders(spark, tmp_path):
 def test_merge_has_all_documents(spark, tmp_path):
     got = run(spark, tmp_path, "dataset_merge", documents=documents([(i, "t") for i in range(12)]))
     assert sorted((r["doc_id"], r["origin"]) for r in got) == [(i, "existing" if i % 4 == 2 else "generated") for i in range(12)]
+
+
+def test_byte_cut_of_any_text(spark, tmp_path):
+    texts = ["é" * 30, "a" + "é" * 30, "中" * 20, "x" * 39 + "😀", "x" * 38 + "😀y", "x" * 40, "x" * 41, "�" * 20, "x" * 37 + "�" + "é", "x" * 36 + "�\nzz", "", None]
+    got = run(spark, tmp_path, "byte_truncate", documents=documents(enumerate(texts)))
+
+    def head(t):
+        raw = (t or "").encode()
+        return t or "" if len(raw) <= 40 else raw[:40].decode(errors="ignore") + "..."
+
+    assert {r["doc_id"]: (r["n_bytes"], r["head"]) for r in got} == {i: (None if t is None else len(t.encode()), head(t)) for i, t in enumerate(texts)}
