@@ -61,7 +61,7 @@ n as (select *, case when kind = 'think' and lag(kind) over (partition by conv_i
 select conv_id, block, min(kind) as kind, string_agg(t, '' order by turn) as t, count(*) as n from b group by conv_id, block""")
 def timeline_fold(spark, sf_dir):
     """Neighbouring deltas of one kind joined (Q6)."""
-    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.when(F.col("role") == "system", "tool").otherwise("think").alias("kind"), F.left("text", F.lit(5)).alias("t"))
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.when(F.col("role") == "system", "tool").otherwise("think").alias("kind"), F.col("text").alias("t"))
     return events.timeline(c, "conv_id", "turn", "kind", "t", ["think"])
 
 

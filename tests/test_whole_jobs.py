@@ -38,3 +38,9 @@ def test_byte_cut_of_any_text(spark, tmp_path):
         return t or "" if len(raw) <= 40 else raw[:40].decode(errors="ignore") + "..."
 
     assert {r["doc_id"]: (r["n_bytes"], r["head"]) for r in got} == {i: (None if t is None else len(t.encode()), head(t)) for i, t in enumerate(texts)}
+
+
+def test_whole_deltas_are_folded(spark, tmp_path):
+    said = [("user", "a long first turn"), ("assistant", "and its long answer"), ("system", "a call's whole result"), ("user", None), ("user", "more than five")]
+    got = run(spark, tmp_path, "timeline_fold", conversations=[{"conv_id": 1, "turn": k, "role": r, "text": t} for k, (r, t) in enumerate(said)])
+    assert sorted((r["block"], r["kind"], r["t"], r["n"]) for r in got) == [(1, "think", said[0][1] + said[1][1], 2), (2, "tool", said[2][1], 1), (3, "think", said[4][1], 2)]
