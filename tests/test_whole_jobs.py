@@ -1,5 +1,7 @@
 """Queries do the whole job: small tables whose rows a cut would lose, against results worked out here in Python."""
 
+import math
+
 import pyarrow as pa
 import pyarrow.parquet as pq
 
@@ -44,3 +46,11 @@ def test_whole_deltas_are_folded(spark, tmp_path):
     said = [("user", "a long first turn"), ("assistant", "and its long answer"), ("system", "a call's whole result"), ("user", None), ("user", "more than five")]
     got = run(spark, tmp_path, "timeline_fold", conversations=[{"conv_id": 1, "turn": k, "role": r, "text": t} for k, (r, t) in enumerate(said)])
     assert sorted((r["block"], r["kind"], r["t"], r["n"]) for r in got) == [(1, "think", said[0][1] + said[1][1], 2), (2, "tool", said[2][1], 1), (3, "think", said[4][1], 2)]
+
+
+def test_whole_documents_are_hydrated(spark, tmp_path):
+    texts = {1: "short", 2: "x" * 501, 3: "y" * 120_000, 4: "z" * 120_001}
+    angle = {0: 0.0, 50: 1.0, 100: 2.0, 150: 3.0, 200: 4.0, 1: 0.01, 2: 1.01, 3: 2.01, 4: 3.01, 5: 4.01}
+    vectors = [{"vec_id": i, "label": 0, "embedding": [math.cos(a), math.sin(a)]} for i, a in angle.items()]
+    got = run(spark, tmp_path, "locate_and_hydrate", documents=documents(texts.items()), embeddings=vectors)
+    assert {r["vec_id"]: (r["body"], r["truncated"]) for r in got} == {1: (texts[1], False), 2: (texts[2], False), 3: (texts[3], False), 4: (texts[4][:120_000], True), 5: (None, None)}
