@@ -4,7 +4,9 @@ import math
 
 import pyarrow as pa
 import pyarrow.parquet as pq
+import pytest
 
+from corpusloom.operators import retrieval
 from corpusloom.plans import catalog
 
 
@@ -54,3 +56,20 @@ def test_whole_documents_are_hydrated(spark, tmp_path):
     vectors = [{"vec_id": i, "label": 0, "embedding": [math.cos(a), math.sin(a)]} for i, a in angle.items()]
     got = run(spark, tmp_path, "locate_and_hydrate", documents=documents(texts.items()), embeddings=vectors)
     assert {r["vec_id"]: (r["body"], r["truncated"]) for r in got} == {1: (texts[1], False), 2: (texts[2], False), 3: (texts[3], False), 4: (texts[4][:120_000], True), 5: (None, None)}
+
+
+@pytest.mark.parametrize("query", ["knn_topk", "knn_filtered", "knn_threshold", "knn_rerank", "locate_and_hydrate"])
+def test_more_queries_than_a_block(spark, tmp_path, monkeypatch, query):
+    vectors = [{"vec_id": i, "label": i // 50 % 4, "embedding": [math.cos(i), math.sin(i)]} for k in range(9) for i in (50 * k, 50 * k + 1)]
+    tables = {"embeddings": vectors, "documents": documents((50 * k + 1, f"text {k}") for k in range(9))}
+    whole = sorted(run(spark, tmp_path, query, **tables), key=str)
+    monkeypatch.setattr(retrieval, "MOST_QUERIES", 4)
+    assert whole and sorted(run(spark, tmp_path, query, **tables), key=str) == whole
+
+
+def test_blocks_have_each_query_once(spark, monkeypatch):
+    monkeypatch.setattr(retrieval, "MOST_QUERIES", 4)
+    ids = [*range(50), *[7] * 6, None]
+    parts = [[r["query_id"] for r in b.collect()] for b in retrieval.blocks(spark.createDataFrame([(i,) for i in ids], "query_id long"))]
+    assert sorted((i for p in parts for i in p), key=str) == sorted(ids, key=str)
+    assert all(len(p) <= 4 or len(p) <= 7 and 7 in p for p in parts)
