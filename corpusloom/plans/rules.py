@@ -56,9 +56,8 @@ _CASCADE = """select doc_id, left(text, 200) as t from documents"""
 select doc_id, real and not bad and (p0 or p1) as keep, case when not real then 'DROP_NONINSTRUMENT' when bad then 'DROP' when p0 then 'P0_CONTRACT' when p1 then 'P1_CIVIL' else 'DROP' end as priority,
   case when not real then 'not an instrument' when bad then 'excluded: |' when p0 then 'contract: tion' when p1 then 'civil: der ' else 'no signal' end as reason from c""")
 def classify_cascade(spark, sf_dir):
-    """Relevance by a cascade that gives keep, priority and reason."""
-    head = F.left(F.col("text"), F.lit(200))
-    decided = rules.instrument_relevance(head, F.lit(""), "[.]", (), ("|",), ("tion",), ("der ",), ("\x01",))
+    """Relevance by a cascade that gives keep, priority and reason (P7); the text stands in for a title, as in the cascades below."""
+    decided = rules.instrument_relevance(F.col("text"), F.lit(""), "[.]", (), ("|",), ("tion",), ("der ",), ("\x01",))
     return _docs(spark, sf_dir).select("doc_id", decided.alias("d")).select("doc_id", "d.keep", "d.priority", "d.reason")
 
 
@@ -156,6 +155,8 @@ def merged_domains(spark, sf_dir):
 
 @query("""select doc_id, case when contains(left(text, 100), 'tion') then 'service,other' else 'other' end as kept from documents""")
 def pruned_tags(spark, sf_dir):
-    """A tag that stays only with proof."""
-    tags = F.array(F.lit("service"), F.lit("other"))
-    return _docs(spark, sf_dir).select("doc_id", F.array_join(rules.prune_tag(tags, "service", F.left(F.col("text"), F.lit(100)), F.lit(""), "tion"), ",").alias("kept"))
+    """A tag that stays only with proof (E14): of two tags in the text as title, of a lone one (odd ids) in the source or the text as body."""
+    lone = F.col("doc_id") % 2 != 0
+    tags = F.when(lone, F.array(F.lit("service"))).otherwise(F.array(F.lit("service"), F.lit("other")))
+    title = F.when(lone, F.col("source")).otherwise(F.col("text"))
+    return _docs(spark, sf_dir).select("doc_id", F.array_join(rules.prune_tag(tags, "service", title, F.col("text"), "tion"), ",").alias("kept"))

@@ -73,3 +73,15 @@ def test_blocks_have_each_query_once(spark, monkeypatch):
     parts = [[r["query_id"] for r in b.collect()] for b in retrieval.blocks(spark.createDataFrame([(i,) for i in ids], "query_id long"))]
     assert sorted((i for p in parts for i in p), key=str) == sorted(ids, key=str)
     assert all(len(p) <= 4 or len(p) <= 7 and 7 in p for p in parts)
+
+
+def test_cascade_reads_the_whole_text(spark, tmp_path):
+    far = " " * 300
+    got = run(spark, tmp_path, "classify_cascade", documents=documents(enumerate([f"x.{far}tion", f"x.{far}der ", f"x.{far}| tion", f"x{far}.tion", "x.", "tion"])))
+    assert {r["doc_id"]: (r["keep"], r["priority"]) for r in got} == {0: (True, "P0_CONTRACT"), 1: (True, "P1_CIVIL"), 2: (False, "DROP"), 3: (True, "P0_CONTRACT"), 4: (False, "DROP"), 5: (False, "DROP_NONINSTRUMENT")}
+
+
+def test_tags_are_proven_by_title_and_body(spark, tmp_path):
+    far = " " * 300
+    got = run(spark, tmp_path, "pruned_tags", documents=documents([(0, f"{far}tion"), (2, "x"), (1, f"{far}tion"), (3, "x")]))
+    assert {r["doc_id"]: r["kept"] for r in got} == {0: "service,other", 2: "other", 1: "service", 3: ""}
