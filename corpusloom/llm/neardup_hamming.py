@@ -19,7 +19,8 @@ when 100 x intersection >= 75 x union of their full sets, and a group is what li
    so texts aren't shuffled; an exact join follows.
 5. Groups are found by alternating large-star and small-star steps, each written to the shared folder.
 
-Defined results: null or blank text has n_shingles 0 and is a group of its own; equal sets are one group; rows that repeat a
+Defined results: null or blank text has n_shingles 0 and is a group of its own; equal sets are one group; rows with null doc_id
+link others like any row, and a group of nothing else has a null component_id; rows that repeat a
 doc_id are separate rows with the same doc_id, all kept or none, and :func:`deduplicated` keeps one of them; an empty table gives
 no row; further columns are ignored, whatever their names.
 """
@@ -311,10 +312,15 @@ def full_sets(documents: DataFrame, classes: DataFrame, nodes: DataFrame) -> Dat
         give_back()
 
     kind = documents.schema["doc_id"].dataType.simpleString()
-    hashed = documents.select(_bit("doc_id").alias("bit"), "doc_id", "text").filter(F.col("doc_id").isNotNull())
-    found = hashed.mapInArrow(run, f"first_doc {kind}, node long, names array<long>")
+    hashed = documents.select(_bit("doc_id").alias("bit"), "doc_id", "text")
+    found = lambda rows: rows.mapInArrow(run, f"first_doc {kind}, node long, names array<long>")
     # a repeated row would give its class's set twice, which is harmless: it has the same label
-    return found.join(wanted, ["first_doc", "node"], "left_semi").select("node", "names")
+    sets = found(hashed.filter(F.col("doc_id").isNotNull())).join(wanted, ["first_doc", "node"], "left_semi").select("node", "names")
+    nameless = wanted.filter(F.col("first_doc").isNull())
+    if nameless.isEmpty():
+        return sets
+    # classes without any id are found by their sets alone; null hashes to a bit as well
+    return sets.unionByName(found(hashed.filter(F.col("doc_id").isNull())).join(nameless, "node", "left_semi").select("node", "names").dropDuplicates(["node"]))
 
 
 def confirmed(documents: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
