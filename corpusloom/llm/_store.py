@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import ctypes
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import pyarrow as pa
 
@@ -45,11 +47,34 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def kept(df: DataFrame, name: str) -> DataFrame:
-    """Writes a table once and reads it back: its lineage is cut, and a lost executor loses none of it."""
+#: Of each open scope, the folders that end with it.
+_scopes: list[list[str]] = []
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """A scope at whose end the tables that :func:`kept` wrote in it are deleted, but for those it gave to the scope around it."""
+    mine: list[str] = []
+    _scopes.append(mine)
+    try:
+        yield
+    finally:
+        _scopes.remove(mine)
+        for path in mine:
+            _forget(spark.sparkContext, path)
+
+
+def kept(df: DataFrame, name: str, outlives: bool = False) -> DataFrame:
+    """Writes a table once and reads it back: its lineage is cut, and a lost executor loses none of it.
+
+    The table stays until the innermost :func:`scratch` scope ends (``outlives``: the one around that), or the driver's Python.
+    """
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.parquet(path)
+    around = _scopes[:-1] if outlives else _scopes
+    if around:
+        around[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -69,9 +69,9 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[at[0] : at[-1]], at - at[0]
 
 
-def pieces(offsets: np.ndarray, limit: int = PIECE_BYTES) -> Iterator[tuple[int, int]]:
-    """Row ranges [i, j) of at most ``limit`` bytes each, or of a single longer row."""
-    i, n = 0, len(offsets) - 1
+def pieces(offsets: np.ndarray, limit: int | None = None) -> Iterator[tuple[int, int]]:
+    """Row ranges [i, j) of at most ``limit`` (PIECE_BYTES) bytes each, or of a single longer row."""
+    i, n, limit = 0, len(offsets) - 1, limit or PIECE_BYTES
     while i < n:
         j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + limit, "right")) - 1)
         yield i, min(j, n)
@@ -100,9 +100,14 @@ class Words:
             np.cumsum((_BYTE_LOWER if lower else _BYTE)[data] * up[:n], out=self._total[1:])
         self.hash = self._names(self.end)
 
+    def raw(self, end: np.ndarray) -> np.ndarray:
+        """Sum over each word's bytes, each with the power of its place in the word."""
+        with np.errstate(over="ignore"):
+            return (self._total[end] - self._total[self.start]) * self._down[self.start]
+
     def _names(self, end: np.ndarray) -> np.ndarray:
         with np.errstate(over="ignore"):
-            return mix((self._total[end] - self._total[self.start]) * self._down[self.start] + (end - self.start).astype(np.uint64))
+            return mix(self.raw(end) + (end - self.start).astype(np.uint64))
 
     def heads(self, n: int) -> np.ndarray:
         """Hashes of the first ``n`` bytes of each word; of the whole word, if it is shorter."""
@@ -113,12 +118,53 @@ class Words:
         return np.diff(self.first)
 
 
+class LongWords:
+    """The words of one long text, read in slices: the same hashes as :class:`Words`; a word on a border is carried over."""
+
+    docs = 1
+
+    def __init__(self, data: np.ndarray, lower: bool = True, gaps: np.ndarray = _SPACE, size: int | None = None):
+        size = size or PIECE_BYTES
+        found, total, length = [], 0, 0  # total and length: of the word that is open
+        close = lambda: mix(np.array([(total + length) % (1 << 64)], np.uint64))
+        for at in range(0, len(data), size):
+            part = data[at : at + size]
+            words = Words(part, np.array([0, len(part)]), lower, gaps)
+            hashes, n = words.hash, len(words.hash)
+            first = 0
+            if length and not gaps[part[0]]:
+                total = (total + int(words.raw(words.end)[0]) * pow(int(_ODD), length, 1 << 64)) % (1 << 64)
+                length += int(words.end[0])
+                first = 1
+            if length and (not first or words.end[0] < len(part)):
+                found.append(close())
+                total = length = 0
+            last = n
+            if n > first and not gaps[part[-1]]:
+                last = n - 1
+                total, length = int(words.raw(words.end)[-1]), int(words.end[-1] - words.start[-1])
+            found.append(hashes[first:last])
+        if length:
+            found.append(close())
+        self.hash = np.concatenate(found) if found else np.zeros(0, np.uint64)
+        self.first = np.array([0, len(self.hash)])
+
+    @property
+    def counts(self) -> np.ndarray:
+        return np.diff(self.first)
+
+
+def words_of(data: np.ndarray, offsets: np.ndarray, **how) -> Words | LongWords:
+    """The word hashes of a piece."""
+    return LongWords(data, **how) if len(offsets) == 2 and len(data) > PIECE_BYTES else Words(data, offsets, **how)
+
+
 #: Words of a shingle.
 WIDTH = 5
 _PLACE = seeds(WIDTH, 5) | np.uint64(1)
 
 
-def shingles(words: Words) -> Iterator[np.ndarray]:
+def shingles(words: Words | LongWords) -> Iterator[np.ndarray]:
     """For each document of a piece, the sorted distinct 64-bit names of its shingles.
 
     Fewer than five words make one shingle of the whole sequence; no word, none.

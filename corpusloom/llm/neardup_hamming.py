@@ -1,7 +1,8 @@
 """Near-duplicate groups by a multi-index Hamming join of b-bit MinHash signatures.
 
 A document's set is its distinct five-word shingles (fewer words: the whole sequence; no word: empty). Documents are linked
-when 100 x intersection >= 75 x union of their full sets, and a group is what links connect.
+when 100 x intersection >= 75 x union of their full sets, and a group is what links connect. Shingles have 64-bit names, so that
+two different shingles count as one with a chance of 2^-64 a pair; sets are told apart by 128 bits.
 
 1. Documents with equal sets collapse into one class; everything after works on classes.
 2. A class has ``INDEXED`` 16-bit and ``EXTRA`` 8-bit MinHash symbols. The indexed ones form ``CHUNKS`` chunks of four. Two
@@ -10,19 +11,27 @@ when 100 x intersection >= 75 x union of their full sets, and a group is what li
    At similarity 0.75 more than ``REACH`` differences have a chance of about 1.6e-4; above, far less.
 3. Hot keys are not joined with themselves. First, each class is held only against the least class of its keys, the one with
    which it shares the most keys, and confirmed links give first groups. What is left are pairs of one key in different first
-   groups: they are compared by signature in blocks of at most ``BLOCK`` rows (a larger key is dealt to block pairs, so nothing
-   is capped), each pair only at its first shared key. A block emits a spanning forest of its agreeing pairs, not the pairs.
-4. What those forests connect are families. A family's full sets meet in pairs of blocks of about ``CELL`` sets (block pairs
-   inside one first group are left out), where intersections are counted with an inverted index and links emit a spanning
-   forest of the first groups they connect. So no step has more rows than keys or blocks have members, whatever is alike.
-   Full sets are recomputed from the texts concerned. Which texts those are reaches the scan as a Bloom filter of fixed size,
-   so texts aren't shuffled; an exact join follows.
+   groups. In keys of up to ``BLOCK`` classes they are compared by signature, each pair only at its first shared key, and a key
+   emits a spanning forest of its agreeing pairs. In larger keys nothing is compared: every class is tied to the key's least.
+4. What those ties connect are families, which a prefix filter on full sets cuts up: with a set's shingles in one fixed order,
+   rare ones first, two sets of similarity 0.75 share one of their first n - ceil(0.75 n) + 1. Sets of a family that are connected
+   by such shingles meet in pairs of blocks of about ``CELL`` sets (block pairs inside one first group are left out), where
+   intersections are counted with an inverted index and links emit a spanning forest of the first groups they connect. So
+   no step has more rows than keys, prefixes or blocks have members. Within a cut-up family the block pairs are still quadratic in
+   its blocks; such a family has mutually similar sets only.
+   Full sets are recomputed, once a step, from the texts concerned. Which texts those are reaches the scan as a Bloom filter with a
+   size by their number, ``MOST_FILTER_BITS`` at most, and an exact join follows; beyond, that join does it all.
 5. Groups are found by alternating large-star and small-star steps, each written to the shared folder.
 
+Joins on a hot key don't gather its rows: a key with more rows than one in ``MOST_HUBS`` of all (and ``HUB``) is a hub; there are
+``MOST_HUBS`` of them at most, so what belongs to them is broadcast, and only the others' rows are shuffled by key.
+
 Defined results: null or blank text has n_shingles 0 and is a group of its own; equal sets are one group; rows with null doc_id
-link others like any row, and a group of nothing else has a null component_id; rows that repeat a
-doc_id are separate rows with the same doc_id, all kept or none, and :func:`deduplicated` keeps one of them; an empty table gives
-no row; further columns are ignored, whatever their names.
+link others like any row, and a group of nothing else has a null component_id and isn't marked as kept; rows that repeat a doc_id
+are separate rows, in the same group or not, as their texts are; :func:`deduplicated` keeps one row of each group, whatever its
+ids; an empty table gives no row; further columns are ignored, whatever their names.
+
+Memory: a text of more than ``_text.PIECE_BYTES`` is read in slices; its words take 8 bytes each and its set of names 8 more.
 """
 
 from __future__ import annotations
@@ -30,11 +39,11 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm._store import give_back, kept, modest_batches
-from corpusloom.llm._text import Words, mix, pieces, seeds, shingles, utf8
+from corpusloom.llm._store import give_back, kept, modest_batches, scratch
+from corpusloom.llm._text import mix, pieces, seeds, shingles, utf8, words_of
 
 #: Symbols that are indexed, in chunks of four, and symbols that are only compared.
 CHUNKS, CHUNK = 12, 4
@@ -45,12 +54,16 @@ REACH = 2 * CHUNKS - 1
 LEAST_AGREEING = 117
 #: Keys shared with the least class from which that pair is tried first. Only order depends on it, no link does.
 FIRST_TRY = 5
-#: Rows that are compared with each other at once.
+#: Classes of a key that are compared with each other.
 BLOCK = 4096
 #: Full sets in a block of a family.
 CELL = 512
-#: Bits of the filter of documents whose sets are needed: 8 MB, whatever the size of the corpus.
-FILTER_BITS = 1 << 26
+#: Buckets in which shingles are counted to order them.
+RARITY = 1 << 18
+#: Bits of the filter of wanted texts for each of them, and at most: 32 MB.
+FILTER_SHARE, MOST_FILTER_BITS = 16, 1 << 28
+#: Rows of a key that one task takes in a join, and keys with more of them that are broadcast.
+HUB, MOST_HUBS = 256, 1_000_000
 
 _A = (seeds(INDEXED + EXTRA, 31) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 _B = (seeds(INDEXED + EXTRA, 32) >> np.uint64(32)).astype(np.uint32)
@@ -58,10 +71,11 @@ _SLOT = seeds(INDEXED, 33)
 _TRIPLES = [(c * CHUNK + o, [c * CHUNK + q for q in range(CHUNK) if q != o]) for c in range(CHUNKS) for o in range(CHUNK)]
 
 
-def set_id(names: np.ndarray) -> int:
-    """64-bit name of a set of shingle names; never that of another size's."""
+def set_names(names: np.ndarray) -> tuple[int, int]:
+    """Two 64-bit names of a set of shingle names."""
     with np.errstate(over="ignore"):
-        return int(mix(mix(names ^ np.uint64(0x5DEECE66D)).sum(dtype=np.uint64, keepdims=True) + np.uint64(len(names)))[0].astype(np.int64))
+        both = np.array([mix(names ^ np.uint64(salt)).sum(dtype=np.uint64) for salt in (0x5DEECE66D, 0x9E6C63D0676A9A99)]) + np.uint64(len(names))
+        return tuple(mix(both).astype(np.int64).tolist())
 
 
 def signature(names: np.ndarray) -> bytes:
@@ -77,25 +91,50 @@ def signature(names: np.ndarray) -> bytes:
 def _sets(column):
     data, offsets = utf8(column)
     for i, j in pieces(offsets):
-        yield from shingles(Words(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]))
+        yield from shingles(words_of(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]))
+
+
+def text_hash() -> Column:
+    """Tells rows of one doc_id with different texts apart."""
+    return F.xxhash64("text", F.length("text"))
 
 
 def features(documents: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, node, signature) of each row of documents (doc_id, text); node and signature are null for empty sets."""
+    """(doc_id, th, n_shingles, node, check, signature) of each row of documents (doc_id, text); the last three are null for empty sets."""
     modest_batches(documents.sparkSession)
 
     def run(batches):
         for batch in batches:
-            sizes, nodes, marks = [], [], []
+            sizes, nodes, checks, marks = [], [], [], []
             for names in _sets(batch.column("text")):
+                node, check = set_names(names) if len(names) else (None, None)
                 sizes.append(len(names))
-                nodes.append(set_id(names) if len(names) else None)
+                nodes.append(node)
+                checks.append(check)
                 marks.append(signature(names) if len(names) else None)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(marks, pa.binary())], names=["doc_id", "n_shingles", "node", "signature"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("th"), *(pa.array(x, pa.int64()) for x in (sizes, nodes, checks)), pa.array(marks, pa.binary())], names=["doc_id", "th", "n_shingles", "node", "check", "signature"])
         give_back()
 
     ids = documents.schema["doc_id"].dataType.simpleString()
-    return documents.select("doc_id", "text").mapInArrow(run, f"doc_id {ids}, n_shingles long, node long, signature binary")
+    return documents.select("doc_id", text_hash().alias("th"), "text").mapInArrow(run, f"doc_id {ids}, th long, n_shingles long, node long, check long, signature binary")
+
+
+def spread(rows: DataFrame, table: DataFrame, key: str, values: list[str], total: int, how: str = "inner") -> DataFrame:
+    """rows joined to ``values`` of table, which has a row for each ``key`` and says in ``n`` how many rows have it (``total`` in all).
+
+    Rows of hubs and rows with a null key stay apart; what hubs have is broadcast, and there are MOST_HUBS of them at most.
+    """
+    hub = max(HUB, -(-total // MOST_HUBS))
+    hot = table.filter(F.col("n") > hub).select(F.col(key).alias("__hub"), F.struct(*values).alias("__hot"))
+    cold = table.filter(F.col("n") <= hub).select(F.col(key).alias("__key"), F.struct(*values).alias("__cold"))
+    dealt = rows.join(F.broadcast(hot), F.col(key) == F.col("__hub"), "left")
+    alone = F.xxhash64(F.monotonically_increasing_id())
+    dealt = dealt.withColumn("__at", F.when(F.col("__hub").isNull() & F.col(key).isNotNull(), F.col(key)).otherwise(alone))
+    found = F.when(F.col("__hub").isNotNull(), F.col("__hot")).when(F.col("__at") == F.col(key), F.col("__cold"))
+    both = dealt.join(cold, F.col("__at") == F.col("__key"), "left").withColumn("__found", found)
+    if how == "inner":
+        both = both.filter("__found is not null")
+    return both.select(*rows.columns, *(F.col(f"__found.{v}").alias(v) for v in values))
 
 
 def symbols(marks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -135,22 +174,16 @@ def first_slot(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.where(missing[row, chunk] <= 1, chunk * CHUNK + inside, INDEXED)
 
 
-def compare(slot: int, part: np.ndarray | None, label: np.ndarray, size: np.ndarray, wide: np.ndarray, narrow: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Row pairs of one key with different labels and enough agreeing symbols, whose first shared key is ``slot``.
-
-    part: which of two blocks a row is of, if only pairs across them are wanted.
-    """
+def compare(slot: int, label: np.ndarray, size: np.ndarray, wide: np.ndarray, narrow: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Row pairs of one key with different labels and enough agreeing symbols, whose first shared key is ``slot``."""
     order = np.argsort(label, kind="stable")
     label, size, wide, narrow = label[order], size[order], wide[order], narrow[order]
-    part = None if part is None else part[order]
     starts = np.concatenate([np.flatnonzero(np.concatenate([[True], label[1:] != label[:-1]])), [len(label)]])
     left, right = [], []
     for s, e in zip(starts[:-1], starts[1:-1]):
         for k in range(s, e, 64):
             stop = min(e, k + 64)
             fits = 4 * np.minimum(size[k:stop, None], size[e:]) >= 3 * np.maximum(size[k:stop, None], size[e:])
-            if part is not None:
-                fits &= part[k:stop, None] != part[e:]
             p, q = np.nonzero(fits)
             if len(p):
                 p, q = p + k, q + e
@@ -211,24 +244,21 @@ def _edges(found: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
 
 
 def _alike(rows: DataFrame) -> DataFrame:
-    """Forests (a, b) of the classes whose signatures agree, of rows (key, members, node, label, n_shingles, signature)."""
-    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("node"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    rows = rows.select("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "node", "label", "n_shingles", "signature")
+    """Forests (a, b) of the classes whose signatures agree, of rows (key, node, label, n_shingles, signature) of at most BLOCK a key."""
 
     def run(batches):
-        for t in _cells(batches, ("key", "lo", "hi")):
-            at = _borders(t, ("key", "lo", "hi"))
-            key, lo, hi, node, label, size, block = (t.column(c).to_numpy() for c in ("key", "lo", "hi", "node", "label", "n_shingles", "block"))
+        for t in _cells(batches, ("key",)):
+            at = _borders(t, ("key",))
+            key, node, label, size = (t.column(c).to_numpy() for c in ("key", "node", "label", "n_shingles"))
             wide, narrow = symbols(t.column("signature").to_pylist())
             found = []
             for s, e in zip(at, at[1:]):
-                x, y = compare(int(key[s]) & 63, block[s:e] if lo[s] != hi[s] else None, label[s:e], size[s:e], wide[s:e], narrow[s:e])
+                x, y = compare(int(key[s]) & 63, label[s:e], size[s:e], wide[s:e], narrow[s:e])
                 found.append(forest(node[s:e][x], node[s:e][y]))
             yield _edges(found)
         give_back()
 
-    return rows.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi").mapInArrow(run, "a long, b long")
+    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long")
 
 
 def linked_labels(label: np.ndarray, first: np.ndarray, names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -250,8 +280,33 @@ def linked_labels(label: np.ndarray, first: np.ndarray, names: np.ndarray) -> tu
     return forest(np.concatenate(a), np.concatenate(b))
 
 
-def _late_links(documents: DataFrame, classes: DataFrame, families: DataFrame) -> DataFrame:
-    """Links (a, b) between labels of families (node, family, label), by the full sets of all members."""
+def _late_links(late: DataFrame) -> DataFrame:
+    """Links (a, b) between labels of late (node, family, label, names), by the full sets of all members."""
+    counted = late.select(F.explode("names").alias("name")).groupBy(F.col("name").bitwiseAND(RARITY - 1).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+    often = np.zeros(RARITY, np.int64)
+    for r in counted.collect():  # RARITY rows at most
+        often[r["bucket"]] = r["n"]
+
+    def prefixes(batches):
+        for batch in batches:
+            owners, found = [], []
+            for k, names in enumerate(batch.column("names").to_pylist()):
+                names = np.array(names, np.int64)
+                rare = np.lexsort((names, often[names & (RARITY - 1)]))[: len(names) + (-75 * len(names)) // 100 + 1]
+                owners.append(np.full(len(rare), k))
+                found.append(names[rare])
+            at = pa.array(np.concatenate(owners) if owners else np.zeros(0, np.int64))
+            columns = [batch.column(c).take(at) for c in ("node", "family", "label")]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(np.concatenate(found) if found else np.zeros(0, np.int64))], names=["node", "family", "label", "name"])
+        give_back()
+
+    rare = late.mapInArrow(prefixes, "node long, family long, label long, name long").select("node", "label", F.xxhash64("family", "name").alias("name"))
+    rare = kept(rare, "rare")
+    shared = rare.groupBy("name").agg(F.min("node").alias("least"), F.count(F.lit(1)).alias("n"), F.min("label").alias("l0"), F.max("label").alias("l1")).filter("l0 != l1")
+    ties = spread(rare.select("node", "name"), kept(shared, "shared"), "name", ["least"], rare.count())
+    close = components(ties.select(F.col("node").alias("a"), F.col("least").alias("b"))).select("node", F.col("root").alias("part"))
+    families = kept(late.select("node", "label").join(close, "node").select("node", F.col("part").alias("family"), "label"), "close")
+
     counts = families.groupBy("family", "label").agg(F.count(F.lit(1)).alias("n"))
     pooled = counts.filter(F.col("n") < CELL).groupBy("family").agg(F.sum("n").alias("pool"))
     counts = counts.join(pooled, "family", "left")
@@ -264,7 +319,7 @@ def _late_links(documents: DataFrame, classes: DataFrame, families: DataFrame) -
     pairs = blocks.join(blocks.select("family", F.col("block").alias("block2"), F.col("single").alias("single2")), "family")
     pairs = pairs.filter((F.col("block") <= F.col("block2")) & ~(F.coalesce(F.col("single") == F.col("single2"), F.lit(False))))
     seats = pairs.select("family", F.col("block").alias("x"), F.col("block2").alias("y"), F.explode(F.array_distinct(F.array("block", "block2"))).alias("block"))
-    rows = placed.select("family", "block", "node", "label").join(seats, ["family", "block"]).join(full_sets(documents, classes, placed.select("node")), "node")
+    rows = placed.select("family", "block", "node", "label").join(seats, ["family", "block"]).join(late.select("node", "names"), "node")
 
     def run(batches):
         for t in _cells(batches, ("family", "x", "y")):
@@ -277,57 +332,73 @@ def _late_links(documents: DataFrame, classes: DataFrame, families: DataFrame) -
     return rows.select("family", "x", "y", "label", "names").repartition("family", "x", "y").sortWithinPartitions("family", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def _bit(column: str):
-    """The bit of an id in the filter."""
-    return F.pmod(F.xxhash64(column), F.lit(FILTER_BITS))
-
-
-def _filter_bits(ids: DataFrame) -> np.ndarray:
-    """A fixed-size bitmap of hashed ids: the driver gets at most FILTER_BITS bits."""
-    # bitmap_bucket_number and bitmap_bit_position number the values from 1
-    rows = ids.select((_bit("id") + 1).alias("bit")).groupBy(F.bitmap_bucket_number("bit").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits")).collect()
-    out = np.zeros(FILTER_BITS // 8, np.uint8)
-    for r in rows:
-        part = np.frombuffer(bytes(r["bits"]), np.uint8)
-        at = (r["bucket"] - 1) * 4096
-        out[at : at + len(part)] |= part
-    return out
-
-
-def full_sets(documents: DataFrame, classes: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, names) of the wanted nodes: their sets of shingle names, from one document of each class."""
-    wanted = kept(nodes.distinct().join(classes.select("node", "first_doc"), "node"), "wanted")
-    bits = _filter_bits(wanted.select(F.col("first_doc").alias("id")))
+class _Filter:
+    """A Bloom filter of 64-bit keys with one bit each, of a size by their number; too many keys for it: it lets all through."""
+
+    def __init__(self, keys: DataFrame):
+        n = keys.count()
+        self.bits = 1 << max(16, (FILTER_SHARE * n).bit_length())
+        self.open = n > MOST_FILTER_BITS // 4
+        self.bits = min(self.bits, MOST_FILTER_BITS)
+        self.map = np.zeros(self.bits // 8, np.uint8)
+        if self.open:
+            return
+        # bitmap_bucket_number and bitmap_bit_position number the values from 1
+        rows = keys.select((self.place("key") + 1).alias("bit")).groupBy(F.bitmap_bucket_number("bit").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits")).collect()
+        for r in rows:
+            part = np.frombuffer(bytes(r["bits"]), np.uint8)
+            at = (r["bucket"] - 1) * 4096
+            self.map[at : at + len(part)] |= part
+
+    def place(self, key: str) -> Column:
+        return F.pmod(F.xxhash64(key), F.lit(self.bits))
+
+    def passes(self, key: str) -> Column:
+        if self.open:
+            return F.lit(True)
+        bits = self.map
+
+        @F.pandas_udf("boolean")
+        def maybe(place):
+            at = place.to_numpy()
+            return pd.Series((bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1)
+
+        return maybe(self.place(key))
+
+
+def full_sets(documents: DataFrame, classes: DataFrame, wanted: DataFrame, name: str) -> DataFrame:
+    """wanted (node, ...), a row for each class, with ``names``, its set of shingle names, from the class's least row."""
+    places = wanted.join(classes.select("node", "check", F.col("rep.doc_id").alias("rep_id"), F.col("rep.th").alias("rep_th")), "node")
+    places = kept(places.withColumn("key", F.xxhash64("rep_id", "rep_th")), "wanted")
+    passes = _Filter(places.select("key"))
+    rows = documents.select("doc_id", text_hash().alias("th"), "text").withColumn("row_key", F.xxhash64("doc_id", "th")).filter(passes.passes("row_key"))
+    rows = rows.dropDuplicates(["row_key", "doc_id", "th"])
+    found = rows.join(places, (F.col("row_key") == F.col("key")) & F.col("doc_id").eqNullSafe(F.col("rep_id")) & (F.col("th") == F.col("rep_th"))).select("text", "check", *wanted.columns)
     modest_batches(documents.sparkSession)
 
     def run(batches):
         for batch in batches:
-            at = batch.column("bit").to_numpy()
-            batch = batch.filter(pa.array((bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1))
-            ids, sets = [], []
-            for names in _sets(batch.column("text")):
-                ids.append(set_id(names) if len(names) else None)
-                sets.append(names.astype(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["first_doc", "node", "names"])
+            lists, right = [], []
+            for names, check in zip(_sets(batch.column("text")), batch.column("check").to_pylist()):
+                right.append(set_names(names)[1] == check)
+                lists.append(names.astype(np.int64))
+            columns = [*batch.columns[2:], pa.array(lists, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names[2:], "names"]).filter(pa.array(right, pa.bool_()))
         give_back()
 
-    kind = documents.schema["doc_id"].dataType.simpleString()
-    hashed = documents.select(_bit("doc_id").alias("bit"), "doc_id", "text")
-    found = lambda rows: rows.mapInArrow(run, f"first_doc {kind}, node long, names array<long>")
-    # a repeated row would give its class's set twice, which is harmless: it has the same label
-    sets = found(hashed.filter(F.col("doc_id").isNotNull())).join(wanted, ["first_doc", "node"], "left_semi").select("node", "names")
-    nameless = wanted.filter(F.col("first_doc").isNull())
-    if nameless.isEmpty():
-        return sets
-    # classes without any id are found by their sets alone; null hashes to a bit as well
-    return sets.unionByName(found(hashed.filter(F.col("doc_id").isNull())).join(nameless, "node", "left_semi").select("node", "names").dropDuplicates(["node"]))
+    return kept(found.mapInArrow(run, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in wanted.schema) + ", names array<long>"), name)
 
 
 def confirmed(documents: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs (a, b) of classes that are linked by their full sets."""
-    sets = full_sets(documents, classes, pairs.select(F.col("a").alias("node")).union(pairs.select("b")))
-    left = pairs.join(sets.select(F.col("node").alias("a"), F.col("names").alias("names_a")), "a")
-    both = left.join(sets.select(F.col("node").alias("b"), F.col("names").alias("names_b")), "b")
+    """The pairs (a, b) of classes that are linked by their full sets; b may be in many pairs, a is in few."""
+    sets = full_sets(documents, classes, pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "sets")
+    # many pairs of one b are dealt out, and its set is sent to each part
+    counts = pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / HUB).cast("int").alias("parts"))
+    many = kept(counts.filter("parts > 1"), "many")
+    dealt = spread(pairs, many.withColumn("n", F.lit(HUB).cast("long") * F.col("parts")), "b", ["parts"], pairs.count(), "left")
+    dealt = dealt.withColumn("part", F.pmod(F.xxhash64("a"), F.coalesce("parts", F.lit(1)).cast("long")))
+    seats = sets.join(many, F.col("node") == F.col("b"), "left").select(F.col("node").alias("b"), F.col("names").alias("names_b"), F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("parts", F.lit(1)).cast("long") - 1)).alias("part"))
+    both = dealt.join(sets.select(F.col("node").alias("a"), F.col("names").alias("names_a")), "a").join(seats, ["b", "part"])
     shared = F.size(F.array_intersect("names_a", "names_b"))
     linked = 100 * shared >= 75 * (F.size("names_a") + F.size("names_b") - shared)
     return both.filter(linked).select("a", "b").distinct()
@@ -342,11 +413,11 @@ def components(links: DataFrame) -> DataFrame:
     seen = star_sum(edges)
     while seen[0]:
         around = edges.union(edges.select(F.col("b"), F.col("a")))
-        least = around.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("low"))
-        large = around.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("low").alias("b")).distinct()
+        least = kept(around.groupBy("a").agg(F.min("b").alias("low"), F.count(F.lit(1)).alias("n")).withColumn("low", F.least("low", "a")), "least")
+        large = spread(around, least, "a", ["low"], 2 * seen[0]).filter("b > a").select(F.col("b").alias("a"), F.col("low").alias("b")).distinct()
         large = kept(large, "large")
-        least = large.groupBy("a").agg(F.min("b").alias("low"))
-        small = large.join(least, "a").select(F.explode(F.array(F.struct(F.col("a"), F.col("low").alias("b")), F.struct(F.col("b").alias("a"), F.col("low").alias("b")))).alias("e")).select("e.*").filter("a != b").distinct()
+        least = kept(large.groupBy("a").agg(F.min("b").alias("low"), F.count(F.lit(1)).alias("n")), "least")
+        small = spread(large, least, "a", ["low"], 2 * seen[0]).select(F.explode(F.array(F.struct(F.col("a"), F.col("low").alias("b")), F.struct(F.col("b").alias("a"), F.col("low").alias("b")))).alias("e")).select("e.*").filter("a != b").distinct()
         edges = kept(small, "edges")
         now = star_sum(edges)
         if now == seen:
@@ -356,28 +427,51 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).union(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
 
+def _classes(base: DataFrame) -> DataFrame:
+    """(node, check, checks, rep, n_shingles, signature, n): rep is the class's least row, rows with an id before others."""
+    rep = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "th"))
+    classes = base.filter("n_shingles > 0").groupBy("node").agg(F.min("check").alias("check"), F.max("check").alias("checks"), rep.alias("rep"), F.max("n_shingles").alias("n_shingles"), F.max("signature").alias("signature"), F.count(F.lit(1)).alias("n"))
+    return kept(classes, "classes")
+
+
 def _groups(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Features of documents, and their classes (node, first_doc, root)."""
+    """Features of documents, and the classes (node, n, best) with the least row of each one's group."""
     base = kept(features(documents), "features")
-    classes = base.filter("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("first_doc"), F.max("n_shingles").alias("n_shingles"), F.max("signature").alias("signature"))
-    classes = kept(classes, "classes")
+    classes = _classes(base)
+    doubled = classes.filter("check != checks").select("node", "check", "n")
+    if not doubled.isEmpty():
+        # different sets with one first name: all but those of the least second name are renamed by both
+        base = spread(base, doubled.withColumnRenamed("check", "lowest"), "node", ["lowest"], base.count(), "left")
+        base = base.withColumn("node", F.when(F.col("lowest") < F.col("check"), F.xxhash64("node", "check")).otherwise(F.col("node"))).drop("lowest")
+        base = kept(base, "features")
+        classes = _classes(base)
     keys = _keys(classes)
-    leaders = keys.groupBy("key").agg(F.min("node").alias("leader"), F.count(F.lit(1)).alias("members")).filter("members > 1")
-    shared = kept(keys.join(leaders, "key"), "shared")
+    leaders = keys.groupBy("key").agg(F.min("node").alias("leader"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    shared = kept(spread(keys, kept(leaders, "leaders"), "key", ["leader"], INDEXED * classes.count()), "shared")
     tried = shared.filter("node != leader").groupBy("node", "leader").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= FIRST_TRY)
     tried = tried.groupBy("node").agg(F.max(F.struct("n", "leader")).alias("best")).select(F.col("node").alias("a"), F.col("best.leader").alias("b"))
     first = kept(components(confirmed(documents, classes, kept(tried, "tried"))), "first")
 
-    labelled = kept(shared.join(first, "node", "left").select("key", "members", "node", F.coalesce("root", "node").alias("label")), "labelled")
-    open_keys = labelled.groupBy("key").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).filter("l0 != l1").select("key")
-    rows = labelled.join(open_keys, "key").join(classes.select("node", "n_shingles", "signature"), "node")
-    families = components(_alike(rows)).select("node", F.col("root").alias("family"))
-    families = kept(families.join(first, "node", "left").select("node", "family", F.coalesce("root", "node").alias("label")), "families")
-    second = components(_late_links(documents, classes, families))
+    labelled = kept(shared.join(first, "node", "left").select("key", "node", "leader", F.coalesce("root", "node").alias("label")), "labelled")
+    open_keys = labelled.groupBy("key").agg(F.min("label").alias("l0"), F.max("label").alias("l1"), F.count(F.lit(1)).alias("n")).filter("l0 != l1").select("key", "n", F.col("n").alias("members"))
+    rows = kept(spread(labelled, kept(open_keys, "open_keys"), "key", ["members"], labelled.count()), "open")
+    alike = _alike(rows.filter(F.col("members") <= BLOCK).select("key", "node", "label").join(classes.select("node", "n_shingles", "signature"), "node"))
+    tied = rows.filter((F.col("members") > BLOCK) & (F.col("node") != F.col("leader"))).select(F.col("node").alias("a"), F.col("leader").alias("b"))
+    families = components(alike.union(tied)).select("node", F.col("root").alias("family"))
+    families = families.join(first, "node", "left").select("node", "family", F.coalesce("root", "node").alias("label"))
+    second = components(_late_links(full_sets(documents, classes, families, "late")))
     second = second.select(F.col("node").alias("root1"), F.col("root").alias("root2"))
-    rooted = classes.select("node", "first_doc").join(first, "node", "left").withColumn("root1", F.coalesce("root", "node")).drop("root")
-    rooted = rooted.join(second, "root1", "left").select("node", "first_doc", F.coalesce("root2", "root1").alias("root"))
-    return base, kept(rooted, "rooted")
+    rooted = classes.select("node", "n", "rep").join(first, "node", "left").withColumn("root1", F.coalesce("root", "node")).drop("root")
+    rooted = kept(rooted.join(second, "root1", "left").select("node", "n", "rep", F.coalesce("root2", "root1").alias("root")), "rooted")
+    best = rooted.groupBy("root").agg(F.min("rep").alias("best"), F.count(F.lit(1)).alias("n"))
+    return base, kept(spread(rooted.select("node", F.col("n").alias("rows"), "root"), kept(best, "best"), "root", ["best"], classes.count()).select("node", F.col("rows").alias("n"), "best"), "named")
+
+
+def _decided(documents: DataFrame) -> DataFrame:
+    """(doc_id, th, n_shingles, node, best) of each row of documents; best is the least row of its group, null for empty sets."""
+    base, named = _groups(documents)
+    base = base.select("doc_id", "th", "n_shingles", "node")
+    return spread(base, named, "node", ["best"], base.count(), "left")
 
 
 def near_duplicates(documents: DataFrame) -> DataFrame:
@@ -385,33 +479,29 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
 
     component_id is the least doc_id of the row's group, and kept whether the row has it.
     """
-    base, rooted = _groups(documents)
-    least = rooted.groupBy("root").agg(F.min("first_doc").alias("least"))
-    named = rooted.join(least, "root").select("node", "least")
-    out = base.select("doc_id", "n_shingles", "node").join(named, "node", "left").withColumn("component_id", F.coalesce("least", "doc_id"))
-    return out.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
+    with scratch(documents.sparkSession):
+        least = F.when(F.col("best").isNotNull(), F.col("best.doc_id")).otherwise(F.col("doc_id"))
+        out = _decided(documents).withColumn("component_id", least)
+        return kept(out.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept")), "near", outlives=True)
 
 
 def deduplicated(documents: DataFrame) -> DataFrame:
-    """One document of each group, with all of its columns: the one with the least doc_id.
+    """One row of each group, with all of its columns: the one with the least doc_id, null last.
 
-    Only documents that go, and those whose doc_id is repeated, are looked up by a join; the filter of fixed size lets all
-    others through where they are. Rows with null doc_id stay.
+    Of rows with that doc_id, the one with the least hash of its text stays, and of rows that have the text in common too, the
+    least as JSON. Rows with an empty set all stay. Only rows that go, or are one of several, are looked up by a join; a filter
+    lets all others through where they are, as long as it can hold the rows to look up.
     """
-    decided = kept(near_duplicates(documents), "decided")
-    doubtful = decided.groupBy("doc_id").agg(F.bool_or(~F.col("kept")).alias("goes"), F.count(F.lit(1)).alias("n")).filter("doc_id is not null and (goes or n > 1)")
-    doubtful = kept(doubtful.select(F.col("doc_id").alias("__id"), "goes"), "doubtful")
-    bits = _filter_bits(doubtful.select(F.col("__id").alias("id")))
-
-    @F.pandas_udf("boolean")
-    def maybe(bit):
-        at = bit.to_numpy()
-        return pd.Series((bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1)
-
-    own = [F.col(f"`{c}`") for c in documents.columns]
-    marked = documents.withColumn("__maybe", F.col("doc_id").isNotNull() & maybe(_bit("doc_id")))
-    through = marked.filter(~F.col("__maybe")).select(*own)
-    looked = marked.filter("__maybe").join(doubtful, F.col("doc_id") == F.col("__id"), "left")
-    sure = looked.filter("__id is null").select(*own)
-    once = looked.filter("__id is not null and not goes").select(*own).dropDuplicates(["doc_id"])
+    with scratch(documents.sparkSession):
+        stays = F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("th") == F.col("best.th"))
+        decided = _decided(documents).filter("best is not null").groupBy("doc_id", "th").agg(F.bool_or(~stays).alias("goes"), F.count(F.lit(1)).alias("n"))
+        doubtful = decided.filter("goes or n > 1").select(F.col("doc_id").alias("its_id"), F.col("th").alias("its_th"), "goes", F.xxhash64("doc_id", "th").alias("key"))
+        doubtful = kept(doubtful, "doubtful", outlives=True)
+        passes = _Filter(doubtful.select("key"))
+    row = F.struct(*(F.col(f"`{c}`") for c in documents.columns)).alias("row")
+    marked = documents.select(row, F.col("doc_id").alias("own_id"), text_hash().alias("own_th")).withColumn("own_key", F.xxhash64("own_id", "own_th")).withColumn("maybe", passes.passes("own_key"))
+    through = marked.filter(~F.col("maybe")).select("row.*")
+    looked = marked.filter("maybe").join(doubtful, (F.col("own_key") == F.col("key")) & F.col("own_id").eqNullSafe(F.col("its_id")) & (F.col("own_th") == F.col("its_th")), "left")
+    sure = looked.filter("key is null").select("row.*")
+    once = looked.filter("key is not null and not goes").groupBy("own_id", "own_th").agg(F.min_by("row", F.to_json("row")).alias("row")).select("row.*")
     return through.unionByName(sure).unionByName(once)
