@@ -6,12 +6,15 @@ cumulative demand: with the schedule's integral ``D`` and a document copy whose
 source's target, its position is the time ``t`` with ``D(t) / D(1) = u``. Documents are range-sorted by position.
 
 All of it is DataFrame expressions. Running sums within a source, however large, are two-level: a source's documents are
-dealt to slots by a hash (about ``SLOT_ROWS`` documents each), the slots are summed, and only the slot totals and the
-documents of one slot are ever ordered together. So one source with a third of all rows is many tasks, not one.
+dealt to 16^``SLOT_DIGITS`` slots by the front of their md5, the slots are summed, and only the slot totals and the documents of
+one slot are ever ordered together. So one source with a third of all rows is many tasks, not one. :func:`mix_table` counts words
+in one scan of the texts, writes them, and reads only narrow columns from then on; :func:`curriculum` reads the texts once to sum
+the slots and once to deal them out.
 
 Defined results: null text has size 0 and is taken 0 times; a null source is a source of its own, last; a source whose texts
-are all empty has target 0; repeated rows (equal ids) are separate documents; an empty table gives no row; other columns are
-ignored by :func:`mix_table` and kept by :func:`curriculum`, where ``mix_position`` and ``mix_pass`` are replaced if present.
+are all empty has target 0; repeated rows (equal ids) are separate documents, which follow each other; rows without an id are drawn
+by their text; an empty table gives no row; other columns are ignored by :func:`mix_table` and kept by :func:`curriculum`, where
+``mix_position`` and ``mix_pass`` are replaced if present. Memory: a task holds a text and, where the target cuts it, its words.
 """
 
 from __future__ import annotations
@@ -19,6 +22,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusloom.llm._store import kept
+
 #: What counts as a word.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Weights of the sources in code-point order, repeating.
@@ -31,10 +36,8 @@ SCHEDULES = (
 )
 #: Words of the mix per word of the corpus, and the most often that a source is repeated.
 SHARE, MOST = 1.5, 2.0
-#: Sources up to which their targets are broadcast; more are joined by a shuffle.
-MOST_SOURCES = 10_000
-#: Documents that are ordered together.
-SLOT_ROWS = 2000
+#: Hexadecimal digits of a document's md5 that say which slot of its source it is in.
+SLOT_DIGITS = 4
 
 
 def words(text: Column) -> Column:
@@ -92,26 +95,25 @@ def position(weight_class: Column, share: Column, schedules=SCHEDULES) -> Column
     return out
 
 
+def _sized(documents: DataFrame, *carried: Column) -> DataFrame:
+    """Of each document (doc_id, source, text): size, its source as a key, its slot there, and ``draw``, its place in the source's fixed order."""
+    key = F.coalesce(F.concat(F.lit("="), "source"), F.lit("null"))
+    draw = F.md5(F.coalesce(F.col("doc_id").cast("string"), "text", F.lit("")))
+    return documents.select(*carried, "doc_id", "source", key.alias("key"), draw.alias("draw"), words(F.col("text")).alias("size")).withColumn("slot", F.substring("draw", 1, SLOT_DIGITS))
+
+
 def _placed(sized: DataFrame, weights, share, most) -> DataFrame:
-    """sized (doc_id, source, size, ...) with source_size, weight_class, target and ``begin``, the words of its source before it.
+    """sized with source_size, weight_class, target and ``begin``, the words of its source before it.
 
-    Whatever else a row carries is shuffled once: by source and slot, for the sums as for the join of the slots' totals.
+    Whatever else a row carries is shuffled once, by source and slot; the slots' totals are joined as that lies.
     """
-    sized = sized.withColumn("key", F.coalesce(F.concat(F.lit("="), "source"), F.lit("null")))
-    sizes = sized.groupBy("key", "source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("source_rows"))
-    goals = targets(sizes, weights, share, most).drop("source")
-    if goals.limit(MOST_SOURCES + 1).count() <= MOST_SOURCES:
-        goals = F.broadcast(goals)
-    placed = sized.join(goals, "key")
-    # a source's order is that of its documents' md5; slots are ranges of it, so that their number doesn't change the order
-    draw = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    slots = F.greatest(F.lit(1), F.ceil(F.col("source_rows") / SLOT_ROWS))
-    placed = placed.withColumn("draw", draw).withColumn("slot", F.floor(F.conv(F.substring("draw", 1, 8), 16, 10).cast("double") / F.lit(float(1 << 32)) * slots))
-    inside = Window.partitionBy("key", "slot").orderBy("draw", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    totals = kept(sized.groupBy("key", "source", "slot").agg(F.sum("size").alias("slot_size"), F.count(F.lit(1)).alias("slot_rows")), "slots")
+    sizes = totals.groupBy("key", "source").agg(F.sum("slot_size").alias("source_size"), F.sum("slot_rows").alias("source_rows"))
+    goals = targets(sizes, weights, share, most).select("key", "source_size", "weight_class", "target")
     before = Window.partitionBy("key").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
-    totals = placed.groupBy("key", "slot").agg(F.sum("size").alias("slot_size"))
-    totals = totals.select("key", "slot", F.coalesce(F.sum("slot_size").over(before), F.lit(0)).alias("slot_begin"))
-    placed = placed.withColumn("in_slot", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(totals, ["key", "slot"])
+    begins = totals.select("key", "slot", F.coalesce(F.sum("slot_size").over(before), F.lit(0)).alias("slot_begin")).join(goals, "key")
+    inside = Window.partitionBy("key", "slot").orderBy("draw", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    placed = sized.withColumn("in_slot", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(begins, ["key", "slot"])
     return placed.withColumn("begin", F.col("slot_begin") + F.col("in_slot")).drop("key", "slot", "slot_begin", "in_slot", "draw")
 
 
@@ -136,7 +138,7 @@ def mix_table(documents: DataFrame, weights=WEIGHTS, schedules=SCHEDULES, share:
     down; at most one document of a source is cut at a word, and none is taken more than ``most`` times. positions holds the
     training positions of its copies, none for a document that isn't taken. Rows are range-sorted by first position.
     """
-    placed = _placed(documents.select("doc_id", "source", words(F.col("text")).alias("size")), weights, share, most)
+    placed = _placed(kept(_sized(documents), "sized"), weights, share, most)
     takes = [_taken(F.col("begin"), F.lit(k)) for k in range(_passes(most))]
     taken = sum(takes[1:], takes[0])
     at = F.array(*(F.when(take > 0, position(F.col("weight_class"), _middle(F.lit(k), take), schedules)) for k, take in enumerate(takes)))
@@ -150,8 +152,7 @@ def curriculum(documents: DataFrame, weights=WEIGHTS, schedules=SCHEDULES, share
     Adds mix_pass (0, 1, ...) and mix_position (0..1). A document that its source's target cuts keeps the words that are taken.
     """
     extra = [c for c in documents.columns if c not in ("mix_pass", "mix_position")]
-    inner = documents.select(F.struct(*(F.col(f"`{c}`") for c in extra)).alias("row"), F.col("doc_id"), F.col("source"), words(F.col("text")).alias("size"))
-    placed = _placed(inner, weights, share, most)
+    placed = _placed(_sized(documents, F.struct(*(F.col(f"`{c}`") for c in extra)).alias("row")), weights, share, most)
     placed = placed.withColumn("mix_pass", F.explode(F.array(*map(F.lit, range(_passes(most)))))).withColumn("take", _taken(F.col("begin"), F.col("mix_pass")))
     placed = placed.filter("take > 0")
     up_to_ends = F.split(F.col("row.text"), r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])")

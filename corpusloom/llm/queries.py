@@ -118,7 +118,7 @@ select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || said |
 from running group by conv_id""",
     "op6_curriculum_mix": r"""
 with sized as (
-  select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) as size from documents),
+  select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) as size, md5(coalesce(doc_id::varchar, text, '')) as draw from documents),
 sizes as (select source, sum(size) as source_size from sized group by source),
 ranked as (
   select *, [5.0, 2.0, 1.0][1 + (row_number() over (order by source nulls last) - 1) % 3]::double as weight, 2.0::double * source_size as cap from sizes),
@@ -131,7 +131,7 @@ goals as (
   select source, source_size, least(cap, coalesce((select here from levels where here <= fill_at order by nth limit 1) * weight, cap)) as target from levels),
 placed as (
   select s.doc_id, s.size, g.source_size, g.target,
-    coalesce(sum(s.size) over (partition by s.source order by md5(coalesce(s.doc_id::varchar, '')), s.doc_id, s.size rows between unbounded preceding and 1 preceding), 0) as before
+    coalesce(sum(s.size) over (partition by s.source order by s.draw, s.doc_id, s.size rows between unbounded preceding and 1 preceding), 0) as before
   from sized s join goals g on s.source is not distinct from g.source)
 select doc_id, size::bigint as size, source_size::bigint as source_size, target,
   (greatest(0, least(size, floor(target)::bigint - before)) + greatest(0, least(size, floor(target)::bigint - source_size - before)))::bigint as taken

@@ -34,7 +34,7 @@ def brute(docs):
         free -= over
     taken = [0] * len(docs)
     for s in order:
-        mine = sorted((k for k in range(len(docs)) if docs[k][2] == s), key=lambda k: (hashlib.md5(str("" if docs[k][0] is None else docs[k][0]).encode()).hexdigest(), docs[k][0] is not None, docs[k][0] or 0, size[k]))
+        mine = sorted((k for k in range(len(docs)) if docs[k][2] == s), key=lambda k: (hashlib.md5(str((docs[k][1] or "") if docs[k][0] is None else docs[k][0]).encode()).hexdigest(), docs[k][0] is not None, docs[k][0] or 0, size[k]))
         rest = int(target[s] + 1e-9)
         for _ in range(2):
             for k in mine:
@@ -45,9 +45,9 @@ def brute(docs):
 
 
 @pytest.mark.parametrize("make", [odd, documents])
-@pytest.mark.parametrize("slot", [2, 2000])
-def test_mix(spark, make, slot, monkeypatch):
-    monkeypatch.setattr(curriculum_mix, "SLOT_ROWS", slot)
+@pytest.mark.parametrize("digits", [1, 4])
+def test_mix(spark, make, digits, monkeypatch):
+    monkeypatch.setattr(curriculum_mix, "SLOT_DIGITS", digits)
     docs = make(spark).withColumn("size", F.lit("clash")).withColumn("target", F.lit(0))
     got = [(r["doc_id"], r["size"], r["source_size"], round(r["target"], 6), r["taken"]) for r in curriculum_mix.mix_table(docs).collect()]
     assert sorted(got, key=str) == sorted(brute([(r["doc_id"], r["text"], r["source"]) for r in docs.collect()]), key=str)
