@@ -75,7 +75,15 @@ def kept(df: DataFrame, name: str, outlives: bool = False) -> DataFrame:
     around = _scopes[:-1] if outlives else _scopes
     if around:
         around[-1].append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.kept_at = path
+    return out
+
+
+def discard(table: DataFrame) -> None:
+    """Deletes a table of :func:`kept` before its scope ends; other tables stay as they are."""
+    if path := table.__dict__.get("kept_at"):
+        _forget(table.sparkSession.sparkContext, path)
 
 
 def give_back() -> None:

@@ -8,6 +8,9 @@ Decoding reads any baseline file with one scan (grey or with subsampled colours,
 parsed file by file, and the Huffman decoding of all restart intervals of a batch goes in lockstep, one symbol of each at a
 time, in numpy. The luminance thumbnail has a pixel for each block, from its DC coefficient alone.
 
+A text, or a picture with a restart interval for each block, of more than ``SLICE`` blocks is encoded and decoded in slices, so
+it takes its payload, its file and a few numbers a block of memory; any other picture is decoded whole.
+
 Defined results: null text is stored as 64 zero bytes; equal texts are stored alike; null media, or bytes that aren't a complete
 baseline JPEG, have null features; columns with an added name are replaced, all others kept.
 """
@@ -29,6 +32,8 @@ from corpusloom.llm._text import pieces, utf8
 
 #: What is taken off a byte to make a coefficient: small letters come out near 0, and so short.
 SHIFT = 96
+#: Blocks of one long text that are encoded or decoded at once.
+SLICE = 1 << 13
 _COMMENT = b"bytes="
 
 # Huffman code lengths by rule: sizes that text needs often get the short codes, everything else 13 bits (AC) or 7 (DC).
@@ -139,8 +144,31 @@ def _scan(coefficients: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return stuffed, start + np.searchsorted(full, start)
 
 
+def _intervals(blocks: np.ndarray, nth: np.ndarray, inner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Scan bytes of blocks, and n + 1 offsets; a restart marker by a block's number (nth) follows the inner ones."""
+    data, at = _scan(blocks)
+    marks = np.stack([np.full(inner.sum(), 0xFF), 0xD0 + (nth[inner] & 7)], axis=1).astype(np.uint8).ravel()
+    return np.insert(data, np.repeat(at[1:][inner], 2), marks), at + 2 * np.concatenate([[0], np.cumsum(inner)])
+
+
+def _store_long(payload: np.ndarray, n_bytes: int) -> bytes:
+    """The file of one payload, in slices."""
+    across, down = grid(len(payload) // 64)
+    room = across * down
+    parts = [_head(8 * across, 8 * down, n_bytes)]
+    for a in range(0, room, SLICE):
+        nth = np.arange(a, min(a + SLICE, room))
+        blocks = np.zeros((len(nth), 64), np.int16)
+        own = payload[64 * a : 64 * (a + SLICE)].reshape(-1, 64)
+        blocks[: len(own)] = own.astype(np.int16) - SHIFT
+        parts.append(_intervals(blocks, nth, nth < room - 1)[0].tobytes())
+    return b"".join([*parts, b"\xff\xd9"])
+
+
 def store(payloads: np.ndarray, offsets: np.ndarray, n_bytes: np.ndarray) -> list[bytes]:
     """JPEG files of payloads (bytes one after another, offsets multiples of 64); n_bytes goes to each file's comment."""
+    if len(offsets) == 2 and offsets[1] > 64 * SLICE:
+        return [_store_long(payloads[: offsets[1]], int(n_bytes[0]))]
     counts = np.diff(offsets) // 64
     grids = [grid(int(c)) for c in counts]
     room = np.array([w * h for w, h in grids], np.int64)
@@ -148,13 +176,9 @@ def store(payloads: np.ndarray, offsets: np.ndarray, n_bytes: np.ndarray) -> lis
     blocks = np.zeros((first[-1], 64), np.int16)
     place = np.arange(counts.sum()) + np.repeat(first[:-1] - offsets[:-1] // 64, counts)
     blocks[place] = payloads.reshape(-1, 64).astype(np.int16) - SHIFT
-    data, at = _scan(blocks)
-    # restart markers, counting from 0 in each file, follow all of its intervals but the last
     nth = np.arange(first[-1]) - np.repeat(first[:-1], room)
-    inner = nth < np.repeat(room, room) - 1
-    marks = np.stack([np.full(inner.sum(), 0xFF), 0xD0 + (nth[inner] & 7)], axis=1).astype(np.uint8).ravel()
-    whole = np.insert(data, np.repeat(at[1:][inner], 2), marks)
-    edge = (at + 2 * np.concatenate([[0], np.cumsum(inner)]))[first]
+    whole, at = _intervals(blocks, nth, nth < np.repeat(room, room) - 1)
+    edge = at[first]
     return [_head(8 * w, 8 * h, int(n)) + whole[a:b].tobytes() + b"\xff\xd9" for (w, h), n, a, b in zip(grids, n_bytes, edge, edge[1:])]
 
 
@@ -364,13 +388,47 @@ def stored(documents: DataFrame) -> DataFrame:
             at = np.concatenate([[0], np.cumsum(room)])
             payload = np.zeros(at[-1], np.uint8)
             part = data[offsets[i] : offsets[j]]
-            payload[np.arange(len(part)) + np.repeat(at[:-1] - (offsets[i:j] - offsets[i]), size)] = part
+            if j - i == 1:
+                payload[: len(part)] = part
+            else:
+                payload[np.arange(len(part)) + np.repeat(at[:-1] - (offsets[i:j] - offsets[i]), size)] = part
             out += store(payload, at, size)
         return [pa.array(out, pa.binary())]
 
     return with_columns(documents, STORED, compute)
 
 
+def _payload_size(picture: Picture) -> int | None:
+    """Bytes of text that a file of :func:`store` says to hold; None in other pictures."""
+    return int(picture.comment[len(_COMMENT) :]) if picture.comment.startswith(_COMMENT) else None
+
+
+def _read_long(picture: Picture, file: bytes) -> tuple | None:
+    """What :func:`read_back` gives for a grey picture with an interval for each block, in slices."""
+    scan = np.frombuffer(picture.scan, np.uint8)
+    full = np.flatnonzero(scan[:-1] == 255)
+    marks = full[(scan[full + 1] & 0xF8) == 0xD0]
+    units = picture.mcus[0] * picture.mcus[1]
+    if len(marks) + 1 != units:
+        return None
+    starts, ends = np.concatenate([[0], marks + 2]), np.concatenate([marks, [len(scan)]])
+    n_bytes, digest, tail = _payload_size(picture), hashlib.sha256(), b""
+    used = 0 if n_bytes is None else max(1, -(-n_bytes // 64))
+    dc = np.zeros((units, 1), np.int16)
+    for a in range(0, units, SLICE):
+        b = min(a + SLICE, units)
+        part = dataclasses.replace(picture, width=8 * (b - a), height=8, scan=picture.scan[starts[a] : ends[b - 1]])
+        (blocks,) = decode([part])
+        if blocks is None:
+            return None
+        dc[a:b] = blocks[:, :1]
+        if used > a:
+            tail = (blocks[: used - a] + SHIFT).astype(np.uint8).tobytes()
+            digest.update(tail)
+    told = (None,) * 4 if n_bytes is None else (n_bytes, 64 * used, digest.hexdigest(), zlib.crc32(tail[-64:]))
+    return (*told, len(file), hashlib.sha256(file).hexdigest(), picture.width, picture.height, feature(picture, dc))
+
+
 def read_back(files: list[bytes | None]) -> list[tuple | None]:
     """For each file the columns of READ; None for null or unsound files. Payload columns are null without a byte count."""
     pictures: list[Picture | None] = []
@@ -379,20 +437,20 @@ def read_back(files: list[bytes | None]) -> list[tuple | None]:
             pictures.append(None if f is None else parse(f))
         except (ValueError, struct.error, IndexError):
             pictures.append(None)
+    out: list[tuple | None] = [None] * len(files)
     groups: dict[tuple, list[int]] = {}
     for n, p in enumerate(pictures):
-        if p is not None:
+        if p is not None and len(p.components) == 1 and p.restart == 1 and p.mcus[0] * p.mcus[1] > SLICE:
+            out[n] = _read_long(p, files[n])
+        elif p is not None:
             groups.setdefault((p.components, tuple(sorted(p.tables.items()))), []).append(n)
-    out: list[tuple | None] = [None] * len(files)
     for members in groups.values():
         for n, blocks in zip(members, decode([pictures[m] for m in members])):
             if blocks is None:
                 continue
             p, f = pictures[n], files[n]
-            payload = None
-            if p.comment.startswith(_COMMENT):
-                n_bytes = int(p.comment[len(_COMMENT) :])
-                payload = (blocks[: max(1, -(-n_bytes // 64))] + SHIFT).astype(np.uint8).tobytes()
+            n_bytes = _payload_size(p)
+            payload = None if n_bytes is None else (blocks[: max(1, -(-n_bytes // 64))] + SHIFT).astype(np.uint8).tobytes()
             told = (n_bytes, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:])) if payload is not None else (None,) * 4
             out[n] = (*told, len(f), hashlib.sha256(f).hexdigest(), p.width, p.height, feature(p, blocks))
     return out

@@ -1,23 +1,25 @@
 """SentencePiece encoding and decoding with an Aho-Corasick automaton over the pieces.
 
 The automaton reads a text once; at each position its output links list all pieces that end there, and each relaxes the best
-score of that position from the best of where it begins. The score of a path is that of the model:
+score of that position from the best of where it begins. One relaxation serves both models; the score of a path is a sum of one
+term for each piece and one for each border between two pieces:
 
-* For a BPE model, a path is admissible if each two neighbouring pieces would stay apart when their text alone is merged, and
-  the merge order is then the only admissible path (greedy merging is decided locally), so Viterbi over admissible pieces gives
-  exactly the library's ids. A state is a piece with its end, of which one at most is reachable.
-* For a unigram model, every path is admissible and the best sum of log probabilities wins.
+* For a unigram model a piece has its log probability, and a border 0.
+* For a BPE model a piece has 0, and a border 0 if its two pieces would stay apart when their text alone is merged, else minus
+  infinity. Greedy merging is decided locally, so the merge order is the only path with a finite score, up to each position, and
+  Viterbi gives exactly the library's ids.
 
 No piece has a space sign but at its front (runs of only space signs apart), so a text falls into words with their space
 sign, which are encoded alone; each task remembers the words that it has met, up to ``REMEMBERED``.
 
 Defined results: null text is encoded as empty text, without ids; characters that no piece covers become their UTF-8 bytes'
 pieces; decoding an encoding gives the text back (a model's dummy prefix is taken off again); columns named ids or n_pieces
-are replaced, all others kept.
+are replaced, all others kept. Memory: a text's words and its ids, at 4 bytes each, are held at once.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from array import array
 
@@ -57,24 +59,22 @@ class Pieces:
         self.unknown = next(k for k, p in enumerate(proto.pieces) if p.type == _UNKNOWN)
         self.spelled[self.unknown] = " ⁇ ".encode()
         self.ids = {p.piece: k for k, p in enumerate(proto.pieces) if p.type in (_NORMAL, _USER)}
-        self.automaton = ahocorasick.Automaton()
-        for text, k in self.ids.items():
-            self.automaton.add_word(text, (k, len(text)))
-        self.automaton.make_automaton()
         # a run of space signs with the word after it, up to a character that no piece has: nothing merges across these borders
         never = "".join(map(re.escape, sorted(set(map(chr, range(128))) - set("".join(self.ids)))))
         self.cut = re.compile(f"{_SIGN}*[^{_SIGN}{never}]+|{_SIGN}+" + (f"|[{never}]" if never else ""))
         self.words = _Remembered(self)
-        self.least = min(self.scores, default=0.0) - 10.0
-        self.sizes = [len(t) for t in self.texts]
+        bpe = self.kind == _BPE
+        # the last entries are those of a character that no piece covers, -1
+        self.gains = [*([0.0] * len(self.scores) if bpe else self.scores), min(self.scores, default=0.0) - 10.0]
+        self.sizes = [*(len(t) for t in self.texts), 1]
+        self.letters = {t for t in self.ids if len(t) == 1}
         self._parts: dict[str, tuple[str, str] | None] = {}
         self._apart: dict[int, bool] = {}
-        self.merged = ahocorasick.Automaton()
-        if self.kind == _BPE:
-            for text, k in self.ids.items():
-                if self._whole(text):
-                    self.merged.add_word(text, (k, len(text)))
-            self.merged.make_automaton()
+        self.automaton = ahocorasick.Automaton()
+        for text, k in self.ids.items():
+            if not bpe or self._whole(text):  # a piece that merging alone doesn't make is never one of BPE's
+                self.automaton.add_word(text, (k, len(text)))
+        self.automaton.make_automaton()
 
     # BPE: which two symbols make a piece, and whether two pieces stay apart next to each other
 
@@ -127,88 +127,54 @@ class Pieces:
                 return False
             symbols[at : at + 2] = [symbols[at] + symbols[at + 1]]
 
-    def segment(self, text: str) -> list[tuple[int, int, int]]:
-        """Best path over a normalised text: (begin, end, piece id), id -1 for a character that no piece covers."""
-        n = len(text)
-        best: list[float | None] = [None] * (n + 1)
-        back: list[tuple[int, int] | None] = [None] * (n + 1)
-        best[0] = 0.0
-        ends: list[list[tuple[int, int]]] = [[] for _ in range(n)]
-        for end, hit in self.automaton.iter(text):
-            ends[end].append(hit)
-        bpe = self.kind == _BPE
-        for end in range(n):
-            hits = ends[end]
-            covered = False
-            for k, size in sorted(hits, key=lambda h: -h[1]) if bpe else hits:
-                begin = end + 1 - size
-                covered = covered or size == 1
-                if best[begin] is None:
-                    continue
-                if bpe:
-                    if not self._whole(self.texts[k]):
-                        continue
-                    before = back[begin]
-                    if before is not None and not (self.apart(before[1], k) if before[1] >= 0 else self._stay(text[before[0] : begin], self.texts[k])):
-                        continue
-                    best[end + 1], back[end + 1] = 0.0, (begin, k)
-                    break
-                score = best[begin] + self.scores[k]
-                if best[end + 1] is None or score > best[end + 1]:
-                    best[end + 1], back[end + 1] = score, (begin, k)
-            if not covered and best[end] is not None and (best[end + 1] is None or (not bpe and best[end] + self.least > best[end + 1])):
-                best[end + 1], back[end + 1] = best[end] + self.least, (end, -1)
-        path, at = [], n
-        while at:
-            begin, k = back[at]
-            path.append((begin, at, k))
-            at = begin
-        return path[::-1]
-
-    def merge_path(self, text: str) -> list[int] | None:
-        """The only admissible path of a BPE model over a text; None if a character isn't a piece.
+    def best_path(self, text: str) -> list[int]:
+        """The pieces of the best path over a text; -1 for a character that no piece covers.
 
-        The matches that end at a position come from the longest to the shortest, as the output links lead; the first admissible
-        one settles the position.
+        Pieces that end at a position come from the longest to the shortest, as the output links lead; a border's term is looked
+        up only where the score could become better.
         """
-        at, settled, apart, last = len(text), 0, self._apart, [-1] * (len(text) + 1)
-        for end, (k, size) in self.merged.iter(text):
-            if end < settled:
-                continue
+        hits = self.automaton.iter(text) if self.ids else ()
+        if not self.letters.issuperset(text):
+            hits = sorted([*hits, *((k, (-1, 1)) for k, c in enumerate(text) if c not in self.letters)], key=lambda h: (h[0], -h[1][1]))
+        bpe, gains, apart = self.kind == _BPE, self.gains, self._apart
+        best, last = [0.0] + [-math.inf] * len(text), [-1] * (len(text) + 1)
+        for end, (k, size) in hits:
             begin = end + 1 - size
-            if begin:
+            score = best[begin] + gains[k]
+            if score <= best[end + 1]:
+                continue
+            if bpe and begin:
                 before = last[begin]
-                if before < 0:
-                    continue
-                stay = apart.get(before << 20 | k)
-                if not (self.apart(before, k) if stay is None else stay):
+                if before < 0 or k < 0:
+                    stay = self._stay(text[begin - self.sizes[before] : begin], text[begin : end + 1])
+                else:
+                    stay = apart.get(before << 20 | k)
+                    if stay is None:
+                        stay = self.apart(before, k)
+                if not stay:
                     continue
-            last[end + 1] = k
-            settled = end + 1
-        out = []
+            best[end + 1], last[end + 1] = score, k
+        out, at = [], len(text)
         while at:
-            k = last[at]
-            if k < 0:
-                return None
-            out.append(k)
-            at -= self.sizes[k]
+            out.append(last[at])
+            at -= self.sizes[last[at]]
         out.reverse()
         return out
 
     def word_ids(self, word: str) -> list[int]:
-        quick = self.merge_path(word) if self.kind == _BPE else None
-        if quick is not None:
-            return quick
+        path = self.best_path(word)
+        if -1 not in path:
+            return path
         out: list[int] = []
-        unknown = False
-        for begin, end, k in self.segment(word):
+        at, unknown = 0, False
+        for k in path:
             if k >= 0:
                 out.append(k)
             elif self.bytes:
-                out.extend(self.bytes[b] for b in word[begin:end].encode())
+                out.extend(self.bytes[b] for b in word[at].encode())
             elif not unknown:
                 out.append(self.unknown)
-            unknown = k < 0
+            unknown, at = k < 0, at + self.sizes[k]
         return out
 
     def normal(self, text: str) -> str:

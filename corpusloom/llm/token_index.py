@@ -12,11 +12,13 @@ and renamed when complete, so a task that is run again replaces its file with th
 all files follow from the documents alone.
 
 Defined results: null text is encoded as empty text, just the end id; a null doc_id is a key like any other, first in order;
-an empty table makes no file; other columns are ignored.
+an empty table makes no file; other columns are ignored. Rows of one doc_id follow each other, so they are one task's. Memory:
+long texts are encoded in segments of about ``SEGMENT`` characters where they have single spaces to cut at; a text's ids are held.
 """
 
 from __future__ import annotations
 
+import json
 import re
 import struct
 import uuid
@@ -41,11 +43,17 @@ SHARD_BYTES, BUCKET_KEYS = 256 << 20, 1 << 15
 SPREAD, LEVELS = 2, 24
 #: Text units whose ids a worker remembers.
 REMEMBERED = 700_000
+#: Characters from which a text is encoded in segments.
+SEGMENT = 1 << 19
+#: Keys of a bucket for each one asked for, up to which its file is read whole.
+WHOLE_FROM = 64
 #: The id that ends a document.
 END_ID = 2
 
 _HEAD, _HEAD_BYTES = "<4sIII", 16
-_SLOT = np.dtype([("mark", "<u4"), ("shard", "<u4"), ("offset", "<u8"), ("n", "<u8")])
+_SLOT = np.dtype([("mark", "<u4"), ("shard", "<u8"), ("offset", "<u8"), ("n", "<u8")])
+#: A block of a level's bits: how many are set before it in the bucket, in 4 bytes, and 480 bits.
+_BLOCK_BITS, _BLOCK_BYTES = 480, 64
 # The pattern of the byte-level pre-tokenizer, a fixed value, once as it is and once for ASCII.
 _LATIN_WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 _WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+", re.ASCII)
@@ -68,6 +76,8 @@ class Encoder(dict):
     A unit is a space and what follows up to the next space; its key leaves the space out. No pre-token reaches over a single
     space from before it, so units are encoded alone; texts with two spaces in a row are encoded whole. Units in
     Latin script are cut to pre-tokens here, for which the library's model is called directly; others go through the whole library.
+    All of that is so for the byte-level pre-tokenizer with its usual pattern, without a normalizer or dropout: with a file that says
+    anything else, every text goes through the library.
     """
 
     def __init__(self, model: str):
@@ -81,6 +91,12 @@ class Encoder(dict):
         self.letters_space = chr(self.letters[0x20])
         self.marks = {m: array(self.code, [t.id for t in self.tokenize(m)]).tobytes() for m in ".,"}
         self.specials = [t.content for t in self.whole.get_added_tokens_decoder().values()]
+        said = json.loads(model)
+        cut, merges = said.get("pre_tokenizer") or {}, said.get("model") or {}
+        usual = cut.get("type") == "ByteLevel" and cut.get("use_regex", True) and not cut.get("add_prefix_space", True) and said.get("normalizer") is None
+        usual = usual and said.get("truncation") is None and merges.get("type") == "BPE" and not merges.get("dropout")
+        tokens = said.get("added_tokens") or []
+        self.usual = bool(usual) and not any(t.get(k) for t in tokens for k in ("single_word", "lstrip", "rstrip")) and not any(" " in t["content"] for t in tokens)
 
     def __missing__(self, unit: str) -> bytes:
         plain = _PLAIN.fullmatch(unit)
@@ -110,8 +126,13 @@ class Encoder(dict):
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned integers of the width of ``code``."""
+        if not self.usual:
+            return [array(self.code, got.ids).tobytes() for got in self.whole.encode_batch(texts, add_special_tokens=False)]
         out, ids_of, odd = [], self.__getitem__, []
         for k, text in enumerate(texts):
+            if len(text) > 2 * SEGMENT and (parts := list(segments(text)))[1:]:
+                out.append(b"".join(self.encode([part])[0] for part in parts))
+                continue
             if "  " in text or any(s in text for s in self.specials):
                 odd.append(k)
                 out.append(b"")
@@ -123,6 +144,21 @@ class Encoder(dict):
         return out
 
 
+_GAP = re.compile(r"(?<=\S) (?=\S)")
+
+
+def segments(text: str):
+    """A long text, cut before single spaces between other characters: no pre-token reaches over such a place."""
+    at = 0
+    while len(text) - at > 2 * SEGMENT:
+        gap = _GAP.search(text, at + SEGMENT)
+        if gap is None:
+            break
+        yield text[at : gap.start()]
+        at = gap.start()
+    yield text[at:]
+
+
 _encoders: dict[str, Encoder] = {}
 
 
@@ -180,6 +216,8 @@ def write_shards(documents: DataFrame, folder: str, tokenizer_path: str, end_id:
                     if shard is not None:
                         shard.close()
                         seq += 1
+                        if seq >= 4096:
+                            raise ValueError("a task's range has more than 4096 shards: raise the number of ranges")
                     shard = _Shard(folder, shard_name(part << 12 | seq))
                 nths.append(nth)
                 shards.append(part << 12 | seq)
@@ -204,55 +242,109 @@ def _level(h1: np.ndarray, h2: np.ndarray, level: int, bits: int) -> np.ndarray:
         return (mix(h1 + mix(h2 + np.uint64(level * 0x9E3779B9 + 1))) % np.uint64(bits)).astype(np.int64)
 
 
+def _blocks(bits: np.ndarray, before: int) -> np.ndarray:
+    """Bits in blocks (n x 64 bytes), each after the number of bits set before it."""
+    room = np.zeros(-(-len(bits) // _BLOCK_BITS) * _BLOCK_BITS, bool)
+    room[: len(bits)] = bits
+    cells = room.reshape(-1, _BLOCK_BITS)
+    count = cells.sum(axis=1)
+    rank = (before + np.concatenate([[0], np.cumsum(count)[:-1]])).astype("<u4")
+    return np.concatenate([rank.view(np.uint8).reshape(-1, 4), np.packbits(cells, axis=1, bitorder="little")], axis=1)
+
+
+def _in_blocks(rows: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of the block and bit of each key: whether the bit is set, and how many are before it."""
+    bits = np.unpackbits(rows[:, 4:], axis=1, bitorder="little")
+    rank = np.ascontiguousarray(rows[:, :4]).view("<u4")[:, 0].astype(np.int64)
+    return bits[np.arange(len(at)), at] == 1, rank + (bits * (np.arange(_BLOCK_BITS) < at[:, None])).sum(axis=1)
+
+
 class PerfectHash:
-    """A minimal perfect hash of distinct pairs of 64-bit hashes: n keys to 0..n - 1."""
+    """A minimal perfect hash of distinct pairs of 64-bit hashes: n keys to 0..n - 1. sizes: the bits of each level."""
 
-    def __init__(self, levels: list[np.ndarray], rest: np.ndarray):
-        self.levels, self.rest = levels, rest
-        self.before = np.cumsum([0] + [int(x.sum()) for x in levels])
-        self.rank = [np.concatenate([[0], np.cumsum(x)]) for x in levels]
+    def __init__(self, sizes: list[int], levels: list[np.ndarray], rest: np.ndarray, before: int):
+        self.sizes, self.levels, self.rest, self.before = sizes, levels, rest, before
 
     @classmethod
     def build(cls, h1: np.ndarray, h2: np.ndarray) -> PerfectHash:
-        levels = []
+        sizes, levels, before = [], [], 0
         for level in range(LEVELS):
             if not len(h1):
                 break
             bits = max(64, SPREAD * len(h1))
             at = _level(h1, h2, level, bits)
             hits = np.bincount(at, minlength=bits)
-            levels.append(hits == 1)
+            sizes.append(bits)
+            levels.append(_blocks(hits == 1, before))
+            before += int((hits == 1).sum())
             left = hits[at] > 1
             h1, h2 = h1[left], h2[left]
-        return cls(levels, np.stack([h1, h2], axis=1).astype(np.uint64).reshape(-1, 2))
+        return cls(sizes, levels, np.stack([h1, h2], axis=1).astype(np.uint64).reshape(-1, 2), before)
 
     def __len__(self) -> int:
-        return int(self.before[-1]) + len(self.rest)
+        return self.before + len(self.rest)
 
     def slots(self, h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
         """The slot of each key; for a key that wasn't built in, any slot or -1."""
         out, todo = np.full(len(h1), -1, np.int64), np.arange(len(h1))
-        for level, bits in enumerate(self.levels):
-            at = _level(h1[todo], h2[todo], level, len(bits))
-            hit = bits[at]
-            out[todo[hit]] = self.before[level] + self.rank[level][at[hit]]
+        for level, (bits, blocks) in enumerate(zip(self.sizes, self.levels)):
+            at = _level(h1[todo], h2[todo], level, bits)
+            hit, rank = _in_blocks(blocks[at // _BLOCK_BITS], at % _BLOCK_BITS)
+            out[todo[hit]] = rank[hit]
             todo = todo[~hit]
         for k, (a, b) in enumerate(self.rest):
-            out[todo[(h1[todo] == a) & (h2[todo] == b)]] = self.before[-1] + k
+            out[todo[(h1[todo] == a) & (h2[todo] == b)]] = self.before + k
         return out
 
     def dump(self) -> bytes:
-        head = struct.pack("<II", len(self.levels), len(self.rest)) + b"".join(struct.pack("<I", len(x)) for x in self.levels)
-        return head + b"".join(np.packbits(x, bitorder="little").tobytes() for x in self.levels) + self.rest.astype("<u8").tobytes()
+        """Numbers of levels, of keys in them and of keys besides, LEVELS sizes, the blocks, and the keys besides."""
+        sizes = [*self.sizes, *[0] * (LEVELS - len(self.sizes))]
+        return struct.pack(f"<III{LEVELS}I", len(self.sizes), self.before, len(self.rest), *sizes) + b"".join(x.tobytes() for x in self.levels) + self.rest.astype("<u8").tobytes()
 
     @classmethod
     def load(cls, data: memoryview) -> tuple[PerfectHash, int]:
-        n, rest = struct.unpack_from("<II", data)
-        sizes, at, levels = struct.unpack_from(f"<{n}I", data, 8), 8 + 4 * n, []
+        sizes, before, rest, at = _dump_head(data)
+        levels = []
         for size in sizes:
-            levels.append(np.unpackbits(np.frombuffer(data, np.uint8, (size + 7) // 8, at), count=size, bitorder="little").astype(bool))
-            at += (size + 7) // 8
-        return cls(levels, np.frombuffer(data, "<u8", 2 * rest, at).reshape(-1, 2)), at + 16 * rest
+            n = -(-size // _BLOCK_BITS)
+            levels.append(np.frombuffer(data, np.uint8, n * _BLOCK_BYTES, at).reshape(n, _BLOCK_BYTES))
+            at += n * _BLOCK_BYTES
+        return cls(sizes, levels, np.frombuffer(data, "<u8", 2 * rest, at).reshape(-1, 2), before), at + 16 * rest
+
+
+_DUMP_HEAD = struct.calcsize(f"<III{LEVELS}I")
+
+
+def _dump_head(data) -> tuple[list[int], int, int, int]:
+    n, before, rest, *sizes = struct.unpack_from(f"<III{LEVELS}I", data)
+    return sizes[:n], before, rest, _DUMP_HEAD
+
+
+def probe(file, h1: np.ndarray, h2: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Index entries of a few keys, by small reads: of each, the entry and whether its fingerprint is the key's."""
+    head = file.read_at(_HEAD_BYTES + _DUMP_HEAD, 0)
+    _, n, size, _ = struct.unpack_from(_HEAD, head)
+    sizes, before, rest, at = _dump_head(memoryview(head)[_HEAD_BYTES:])
+    starts = _HEAD_BYTES + at + _BLOCK_BYTES * np.concatenate([[0], np.cumsum([-(-s // _BLOCK_BITS) for s in sizes])]).astype(np.int64)
+    got, found = np.zeros(len(h1), _SLOT), np.zeros(len(h1), bool)
+    for k in range(len(h1)):
+        a, b, slot = h1[k : k + 1], h2[k : k + 1], -1
+        for level, bits in enumerate(sizes):
+            place = _level(a, b, level, bits)
+            block = np.frombuffer(file.read_at(_BLOCK_BYTES, int(starts[level] + place[0] // _BLOCK_BITS * _BLOCK_BYTES)), np.uint8)
+            hit, rank = _in_blocks(block[None], place % _BLOCK_BITS)
+            if hit[0]:
+                slot = int(rank[0])
+                break
+        else:
+            if rest:
+                others = np.frombuffer(file.read_at(16 * rest, int(starts[-1])), "<u8").reshape(-1, 2)
+                same = np.flatnonzero((others[:, 0] == a[0]) & (others[:, 1] == b[0]))
+                slot = before + int(same[0]) if len(same) else -1
+        if slot >= 0:
+            got[k] = np.frombuffer(file.read_at(_SLOT.itemsize, _HEAD_BYTES + size + _SLOT.itemsize * slot), _SLOT)[0]
+            found[k] = got[k]["mark"] == int(b[0]) >> 32
+    return got, found
 
 
 def _hashed(keys: DataFrame, buckets: int) -> DataFrame:
@@ -310,13 +402,16 @@ def lookup(keys: DataFrame, folder: str, buckets: int) -> DataFrame:
             found, got = np.zeros(len(h1), bool), np.zeros(len(h1), _SLOT)
             if files.get_file_info(path).type == fs.FileType.File:
                 with files.open_input_file(path) as f:
-                    data = memoryview(f.read())
-                _, n, size, _ = struct.unpack_from(_HEAD, data)
-                perfect, _ = PerfectHash.load(data[_HEAD_BYTES : _HEAD_BYTES + size])
-                table = np.frombuffer(data, _SLOT, n, _HEAD_BYTES + size)
-                slots = perfect.slots(h1, h2)
-                got = table[np.maximum(slots, 0)]
-                found = (slots >= 0) & (got["mark"] == (h2 >> np.uint64(32)))
+                    if WHOLE_FROM * len(h1) < struct.unpack_from(_HEAD, f.read_at(_HEAD_BYTES, 0))[1]:
+                        got, found = probe(f, h1, h2)
+                    else:
+                        data = memoryview(f.read_at(f.size(), 0))
+                        _, n, size, _ = struct.unpack_from(_HEAD, data)
+                        perfect, _ = PerfectHash.load(data[_HEAD_BYTES : _HEAD_BYTES + size])
+                        table = np.frombuffer(data, _SLOT, n, _HEAD_BYTES + size)
+                        slots = perfect.slots(h1, h2)
+                        got = table[np.maximum(slots, 0)]
+                        found = (slots >= 0) & (got["mark"] == (h2 >> np.uint64(32)))
             cells = [pa.array(got[c].astype(np.int64), mask=~found) for c in ("shard", "offset", "n")]
             yield from pa.table([t.column("doc_id"), t.column("nth"), *cells], names=["doc_id", "nth", "shard", "offset", "n"]).to_batches()
 

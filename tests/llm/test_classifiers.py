@@ -1,8 +1,10 @@
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from corpusloom.llm import language_mixture, quality_fm, toxicity_counterfactual
+from corpusloom.llm import _learn, language_mixture, quality_fm, toxicity_counterfactual
 from corpusloom.llm._learn import held_out
 from tests.llm.helpers import LONG, SF, documents, empty, odd
 
@@ -117,3 +119,127 @@ def test_language_mixture_proportions(spark):
     mixed = " ".join(part["en"].split()[:150] + part["de"].split()[:75])
     r = language_mixture.predict(spark.createDataFrame([(1, mixed)], "doc_id int, text string"), model).first()
     assert r["langs"] == ["de", "en"] and r["lang_pred"] == "en" and 0.55 < r["score"] < 0.78
+
+
+# samples and sizes
+
+
+def test_sample_of_huge_classes(spark):
+    """The share of a class that is kept follows its size, however large that is said to be."""
+    rows = spark.range(200_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 2 == 0, "a").otherwise("b").alias("lang"))
+    got = {r["lang"]: r["count"] for r in _learn.thinned(rows, "lang", 1500, {"a": 100_000, "b": 10}).groupBy("lang").count().collect()}
+    assert 1300 < got["a"] < 1700 and got["b"] == 100_000
+    # 2e9 rows of which 0.75 in a million are wanted: the threshold isn't 0, and rises with what is wanted
+    few, many = (_learn.thinned(rows, "lang", most, {"a": 2_000_000_000}).count() for most in (1500, 200_000_000))
+    assert few <= 5 and 9_000 < many < 11_000
+    assert (1500 << 64) // 2_000_000_000 > 0
+
+
+def test_labelled_bounds_repeated_ids(spark):
+    docs = spark.createDataFrame([(1, "x"), (1, "w"), (1, None), (2, "y"), (3, "z")] * 30, "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0), (1, 0), (None, 1), (4, 0)] * 4000, "doc_id long, quality int")
+    got = sorted(map(tuple, _learn.labelled(docs, labels, "quality", 10).collect()))
+    assert got == [r for r in [(1, "w", 1), (2, "y", 0)] if not spark.range(1).select(held_out(F.lit(r[0]))).first()[0]]
+
+
+def test_three_hundred_languages(spark):
+    rng = np.random.default_rng(0)
+    word = lambda: "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 7))
+    words = {f"l{k:03d}": [word() for _ in range(4)] for k in range(300)}
+    rows = [(k * 10 + j, " ".join(w * 3), lang) for k, (lang, w) in enumerate(words.items()) for j in range(4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_mixture.train(docs)
+    assert len(model.languages) == 300
+    got = language_mixture.predict(docs, model).collect()
+    assert np.mean([r["lang"] == r["lang_pred"] for r in got]) > 0.95
+
+
+def test_language_mixture_of_four(spark):
+    """A text that is a quarter of each of four languages has all four in its set."""
+    model = language_mixture.train(documents(spark, BIG))
+    part = {r["lang"]: r["text"] for r in documents(spark, BIG).filter("n_chars > 1500").groupBy("lang").agg(F.min("text").alias("text")).collect()}
+    assert len(part) == 4
+    mixed = " ".join(w for t in part.values() for w in t.split()[:120])
+    r = language_mixture.predict(spark.createDataFrame([(1, mixed)], "doc_id int, text string"), model).first()
+    assert r["langs"] == sorted(part) and r["score"] < 0.4
+
+
+def test_language_mixture_by_brute_force(spark):
+    """Proportions and set, word by word with dictionaries."""
+    import math
+
+    model = language_mixture.train(documents(spark))
+    langs = model.languages
+
+
+    def brute(text):
+        words = re.findall("[a-z\u0080-\U0010ffff]+", re.sub("[A-Z]", lambda m: m[0].lower(), text))
+        if not words:
+            return "und", 0.0
+        # a word's first trigrams reach over the space to what stands before: two spaces, or a space after a letter
+        logs, before = [], ""
+        plain = re.sub("[^a-z\u0080-\U0010ffff]", " ", re.sub("[A-Z]", lambda m: m[0].lower(), text)).encode()
+        raw = b"  " + plain
+        open_ = False
+        for k in range(2, len(raw)):
+            if raw[k] == 0x20:
+                open_ = False
+                continue
+            code = raw[k - 2] << 16 | raw[k - 1] << 8 | raw[k]
+            p = model.log_p[((code * 2654435761) & 0xFFFFFFFF) >> 16]
+            if open_:
+                logs[-1] = [x + float(y) for x, y in zip(logs[-1], p)]
+            else:
+                logs.append([float(y) for y in p])
+            open_ = True
+
+        def em(mix):
+            for _ in range(language_mixture.STEPS):
+                new = [0.0] * len(langs)
+                for word in logs:
+                    part = [m * math.exp(x - max(word)) for m, x in zip(mix, word)]
+                    new = [n + x / max(sum(part), 1e-300) for n, x in zip(new, part)]
+                mix = [n / len(logs) for n in new]
+            return mix
+
+        total = [sum(w[k] for w in logs) for k in range(len(langs))]
+        best = max(range(len(langs)), key=lambda k: (total[k], -k))
+        share, score = [float(k == best) for k in range(len(langs))], total[best]
+        full = em([1 / len(langs)] * len(langs))
+        order = sorted(range(len(langs)), key=lambda k: (-full[k], k))
+        for size in range(2, len(langs) + 1):
+            mix = [max(full[k], 1e-6) if k in order[:size] else 0.0 for k in range(len(langs))]
+            mix = em([m / sum(mix) for m in mix])
+            fit = sum(max(w) + math.log(max(sum(m * math.exp(x - max(w)) for m, x in zip(mix, w)), 1e-300)) for w in logs)
+            worth = fit - language_mixture.PENALTY * math.log(max(len(logs), 2)) / 2 * (size - 1)
+            if worth <= score:
+                break
+            share, score = mix, worth
+        top = max(range(len(langs)), key=lambda k: (share[k], -k))
+        return langs[top], share[top]
+
+    rows = language_mixture.predict(documents(spark).select("doc_id", "text"), model).collect()
+    for r in rows:
+        lang, share = brute(r["text"])
+        assert r["lang_pred"] == lang and r["score"] == pytest.approx(share, abs=1e-4)
+
+
+@pytest.mark.parametrize("size", [7, 64, 1000])
+def test_language_of_a_long_text_in_slices(size):
+    rng = np.random.default_rng(1)
+    model = language_mixture.Model(list("abcdef"), np.log(rng.random((language_mixture.BUCKETS, 6))).astype(np.float32))
+    text = " ".join("".join(rng.choice(list("abcdefghij"), rng.integers(1, 9))) for _ in range(800)) + " " + "x" * 3000 + " 1 2"
+    data = np.frombuffer(text.encode(), np.uint8)
+    whole = language_mixture._Batch(*language_mixture._words(model, data, np.array([0, len(data)])))
+    cut = language_mixture._Long(lambda: language_mixture._slices(model, data, size), 6)
+    assert cut.words[0] == whole.words[0]
+    assert np.allclose(language_mixture._mixtures(cut), language_mixture._mixtures(whole))
+
+
+@pytest.mark.parametrize("module, threshold", [(quality_fm, 0.3), (toxicity_counterfactual, 0.5)])
+def test_score_equal_to_the_threshold(spark, module, threshold):
+    model = module.train(documents(spark), labels(spark, SF))
+    scored = module.predict(documents(spark), model).collect()
+    tie = scored[0]["score"]
+    again = module.predict(documents(spark), model, tie).collect()
+    assert all(r["predicted"] == int(r["score"] >= tie) for r in again) and again[0]["predicted"] == 1

@@ -1,5 +1,8 @@
 import hashlib
+import json
 import re
+import subprocess
+import sys
 import zlib
 from array import array
 
@@ -57,13 +60,66 @@ def test_stored_empty_table(spark):
     assert token_index.stored(spark, empty(spark), TOKENIZER).count() == 0
 
 
-def test_lookup_of_unknown_keys(spark, tmp_path):
+@pytest.mark.parametrize("change", [{"normalizer": {"type": "Lowercase"}}, {"pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": True, "trim_offsets": True, "use_regex": True}}, {"pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}}])
+def test_other_tokenizer_files(change):
+    """A normalizer or another pre-tokenizer in the file counts."""
+    model = json.dumps(json.load(open(TOKENIZER, encoding="utf-8")) | change)
+    texts = ["Hello World", "HELLO, it's  two spaces", "a b"]
+    whole = Tokenizer.from_str(model)
+    assert token_index.Encoder(model).encode(texts) == [array("H", whole.encode(t, add_special_tokens=False).ids).tobytes() for t in texts]
+
+
+def test_encoder_in_segments(monkeypatch):
+    encoder = token_index.Encoder(open(TOKENIZER, encoding="utf-8").read())
+    text = "it's a  text, with ÄÖ words\n and <|endoftext|> 中文 in it " * 40
+    want = encoder.encode([text, "x" * 500])
+    monkeypatch.setattr(token_index, "SEGMENT", 20)
+    assert len(list(token_index.segments(text))) > 20 and encoder.encode([text, "x" * 500]) == want
+    assert want[0] == array("H", encoder.whole.encode(text, add_special_tokens=False).ids).tobytes()
+
+
+@pytest.mark.parametrize("levels", [1, 24])
+def test_probe_reads_little(tmp_path, monkeypatch, levels):
+    """Single keys are found by a few small reads; also those that no level holds."""
+    from pyarrow import fs
+
+    monkeypatch.setattr(token_index, "LEVELS", levels)
+    monkeypatch.setattr(token_index, "_DUMP_HEAD", 12 + 4 * levels)
+    rng = np.random.default_rng(3)
+    h1, h2 = rng.integers(0, 2**63, (2, 3000)).astype(np.uint64)
+    built = token_index.PerfectHash.build(h1, h2)
+    table = np.zeros(len(built), token_index._SLOT)
+    slots = built.slots(h1, h2)
+    table["mark"][slots], table["n"][slots] = (h2 >> np.uint64(32)).astype("<u4"), np.arange(3000)
+    hashes = built.dump()
+    (tmp_path / "i").write_bytes(token_index.struct.pack("<4sIII", b"MPH1", len(table), len(hashes), table.itemsize) + hashes + table.tobytes())
+    reads = []
+
+    class File:
+        def __init__(self, inner):
+            self.inner = inner
+
+        def read_at(self, n, at):
+            reads.append(n)
+            return self.inner.read_at(n, at)
+
+    with fs.LocalFileSystem().open_input_file(str(tmp_path / "i")) as f:
+        got, found = token_index.probe(File(f), h1[:200], h2[:200])
+        assert found.all() and got["n"].tolist() == list(range(200))
+        if levels > 1:
+            assert sum(reads) < 200 * 400
+        assert not token_index.probe(f, h1[:20] + np.uint64(1), h2[:20] + np.uint64(1 << 40))[1].any()
+
+
+def test_lookup_of_unknown_keys(spark, tmp_path, monkeypatch):
     folder = f"file://{tmp_path}"
     rows = token_index.write_shards(documents(spark), folder, TOKENIZER)
     buckets = token_index.write_index(rows, folder)
     asked = spark.createDataFrame([(0, 0), (0, 1), (10**9, 0)], "doc_id long, nth long")
-    found = {(r["doc_id"], r["nth"]): r["n"] for r in token_index.lookup(asked, folder, buckets).collect()}
-    assert found[0, 0] > 0 and found[0, 1] is None and found[10**9, 0] is None
+    for whole_from in (64, 0, 10**9):
+        monkeypatch.setattr(token_index, "WHOLE_FROM", whole_from)
+        found = {(r["doc_id"], r["nth"]): r["n"] for r in token_index.lookup(asked, folder, buckets).collect()}
+        assert found[0, 0] > 0 and found[0, 1] is None and found[10**9, 0] is None
 
 
 @pytest.mark.parametrize("n", [0, 1, 2, 1000])
@@ -113,6 +169,31 @@ def test_unigram_viterbi_by_brute_force():
         assert sum(model.scores[k] for k in ids) == pytest.approx(best(text))
 
 
+def test_unigram_equals_library(spark, tmp_path):
+    """A unigram model over the same pieces, on the whole table, against the library."""
+    import sentencepiece
+    from sentencepiece import sentencepiece_model_pb2 as pb
+
+    proto = pb.ModelProto()
+    proto.ParseFromString(open(PIECES, "rb").read())
+    proto.trainer_spec.model_type = 1
+    rng = np.random.default_rng(9)
+    for p in proto.pieces:
+        if p.type == 1:
+            p.score = float(np.float32(-4 - 10 * rng.random() - len(p.piece)))
+    path = tmp_path / "unigram.model"
+    path.write_bytes(proto.SerializeToString())
+    library = sentencepiece.SentencePieceProcessor(model_file=str(path))
+    rows = piece_viterbi.decoded(piece_viterbi.encoded(documents(spark), str(path)), str(path)).collect()
+    model = piece_viterbi.Pieces(proto.SerializeToString())
+    for r in rows:
+        ids, want = r["ids"], library.encode(r["text"])
+        assert r["decoded"] == r["text"]
+        # the library adds up 32-bit floats, so in long texts it may miss the best path by a little
+        ours, theirs = (sum(model.scores[k] for k in x) for x in (ids, want))
+        assert ids == want or theirs - 1e-4 <= ours <= theirs + 1e-6 * abs(theirs)
+
+
 def test_pieces_odd_rows(spark):
     rows = piece_viterbi.decoded(piece_viterbi.encoded(odd(spark).withColumn("ids", F.lit("old")), PIECES), PIECES).collect()
     assert all(r["decoded"] == (r["text"] or "") and r["n_pieces"] == len(r["ids"]) for r in rows)
@@ -159,6 +240,33 @@ def test_jpeg_is_lossless(payloads):
         assert got[:6] == (len(raw), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:]), len(file), hashlib.sha256(file).hexdigest())
 
 
+def test_jpeg_in_slices(monkeypatch):
+    rng = np.random.default_rng(1)
+    payload = rng.integers(0, 256, 64 * 157).astype(np.uint8)
+    whole = jpeg_media.store(payload, np.array([0, payload.size]), np.array([payload.size - 5]))
+    read = jpeg_media.read_back(whole)
+    monkeypatch.setattr(jpeg_media, "SLICE", 10)
+    assert jpeg_media.store(payload, np.array([0, payload.size]), np.array([payload.size - 5])) == whole
+    assert jpeg_media.read_back(whole) == read and read[0][2] == hashlib.sha256(payload.tobytes()).hexdigest()
+    torn = whole[0][:-40] + b"\xff\xd9"
+    assert jpeg_media.read_back([torn]) == [None]
+
+
+def test_jpeg_memory_of_a_long_text():
+    """Storing and reading back one text of 24 MB takes less than 400 MB."""
+    code = """
+import resource, numpy as np
+from corpusloom.llm import jpeg_media
+n = 24 << 20
+text = np.random.default_rng(0).integers(97, 123, n).astype(np.uint8)
+(file,) = jpeg_media.store(text, np.array([0, n]), np.array([n]))
+assert jpeg_media.read_back([file])[0][0] == n
+print(resource.getrusage(resource.RUSAGE_SELF).ru_maxrss // 1024)
+"""
+    done = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, timeout=300)
+    assert int(done.stdout) < 400
+
+
 def test_jpeg_zero_runs():
     blocks = np.zeros((6, 64), np.int16)
     blocks[1, 63] = 5
@@ -243,6 +351,17 @@ def test_fingerprint_table(spark):
     assert lcp_fingerprint.fingerprint_table(empty(spark)).count() == 0
 
 
+@pytest.mark.parametrize("kind", ["string", "decimal(12,2)", "double", "date"])
+def test_fingerprints_by_any_id(spark, kind):
+    """The next document is that of the next id in the order of its type."""
+    ids = F.when(F.col("k") == 4, None).otherwise(F.date_add(F.lit("2000-01-01"), F.col("k").cast("int")) if kind == "date" else F.col("k").cast(kind))
+    docs = spark.range(25).withColumnRenamed("id", "k").select(ids.alias("doc_id"), F.concat(F.lit("text number "), F.repeat(F.col("k").cast("string"), 3)).alias("text"))
+    rows = sorted(((r["doc_id"], r["text"]) for r in docs.collect()), key=lambda r: (r[0] is not None, r[0] if r[0] is not None else 0))
+    want = [(i, hashlib.sha256(lcp_fingerprint.edited(t, rows[(k + 1) % len(rows)][1]).encode()).hexdigest()) for k, (i, t) in enumerate(rows)]
+    got = lcp_fingerprint.fingerprint_table(docs).select("doc_id", "edited_sha256").collect()
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+
+
 def test_parsing_is_local():
     """Equal substrings have equal interior phrases, whatever is before and after them."""
     rng = np.random.default_rng(6)
