@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 import public_tokenizers
 
 from corpusloom.llm import curriculum_mix, language_mixture, neardup_hamming, piece_viterbi, quality_fm
-from corpusloom.llm._store import kept
+from corpusloom.llm._store import discard, kept, scratch
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,10 +48,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages on documents, each written and read again before the next."""
+    """All stages on documents, each written and read again before the next; a stage's table goes when the next one is written."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = kept(docs, f"stage{k}")
-    return docs
+    for k, (_, stage) in enumerate(STAGES[:-1]):
+        with scratch(spark):
+            before, docs = docs, kept(stage(spark, docs, sf_dir), f"stage{k}", outlives=True)
+        discard(before)
+    return STAGES[-1][1](spark, docs, sf_dir)
