@@ -125,6 +125,9 @@ def spread(rows: DataFrame, table: DataFrame, key: str, values: list[str], total
     Rows of hubs and rows with a null key stay apart; what hubs have is broadcast, and there are MOST_HUBS of them at most.
     """
     hub = max(HUB, -(-total // MOST_HUBS))
+    if total <= hub:  # there is no hub
+        found = table.select(F.col(key).alias("__key"), *(F.col(v).alias(f"__{v}") for v in values))
+        return rows.join(found, F.col(key) == F.col("__key"), how).select(*rows.columns, *(F.col(f"__{v}").alias(v) for v in values))
     hot = table.filter(F.col("n") > hub).select(F.col(key).alias("__hub"), F.struct(*values).alias("__hot"))
     cold = table.filter(F.col("n") <= hub).select(F.col(key).alias("__key"), F.struct(*values).alias("__cold"))
     dealt = rows.join(F.broadcast(hot), F.col(key) == F.col("__hub"), "left")
@@ -413,10 +416,12 @@ def components(links: DataFrame) -> DataFrame:
     seen = star_sum(edges)
     while seen[0]:
         around = edges.union(edges.select(F.col("b"), F.col("a")))
-        least = kept(around.groupBy("a").agg(F.min("b").alias("low"), F.count(F.lit(1)).alias("n")).withColumn("low", F.least("low", "a")), "least")
+        least = around.groupBy("a").agg(F.min("b").alias("low"), F.count(F.lit(1)).alias("n")).withColumn("low", F.least("low", "a"))
+        least = least if 2 * seen[0] <= HUB else kept(least, "least")
         large = spread(around, least, "a", ["low"], 2 * seen[0]).filter("b > a").select(F.col("b").alias("a"), F.col("low").alias("b")).distinct()
         large = kept(large, "large")
-        least = kept(large.groupBy("a").agg(F.min("b").alias("low"), F.count(F.lit(1)).alias("n")), "least")
+        least = large.groupBy("a").agg(F.min("b").alias("low"), F.count(F.lit(1)).alias("n"))
+        least = least if 2 * seen[0] <= HUB else kept(least, "least")
         small = spread(large, least, "a", ["low"], 2 * seen[0]).select(F.explode(F.array(F.struct(F.col("a"), F.col("low").alias("b")), F.struct(F.col("b").alias("a"), F.col("low").alias("b")))).alias("e")).select("e.*").filter("a != b").distinct()
         edges = kept(small, "edges")
         now = star_sum(edges)
