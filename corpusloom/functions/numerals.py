@@ -1,7 +1,7 @@
 """Chinese numerals and article numbers as column expressions.
 
-A numeral is folded with a higher-order ``aggregate`` over its characters, so it stays in the JVM and needs no dimension table. A unit
-applies to everything gathered before it, so numbers beyond 99 999 such as 十二万 are read rightly as well.
+A numeral is groups of up to four digits, each but the last before a 万. In a group, each unit counts for the digit before it, or
+once; the digit that ends it is ones. Both are found by patterns, so everything stays in the JVM and needs no dimension table.
 """
 
 from __future__ import annotations
@@ -20,21 +20,22 @@ def _table(values: dict[str, int]) -> Column:
     return F.create_map(*(F.lit(x) for kv in values.items() for x in kv))
 
 
+def _group(c: Column) -> Column:
+    """The value of a numeral below 万: for each of 千, 百 and 十 the digits before it, and the digit at the end."""
+    digits = _table(DIGITS)
+    total = F.coalesce(digits[F.regexp_extract(c, f"([{''.join(DIGITS)}])$", 1)], F.lit(0)).cast("long")
+    for unit in ("千", "百", "十"):
+        before = F.regexp_extract_all(c, F.lit(f"([{''.join(DIGITS)}]?){unit}"), F.lit(1))
+        worth = F.transform(before, lambda d: F.greatest(F.coalesce(digits[d], F.lit(1)), F.lit(1)) * UNITS[unit])
+        total = total + F.aggregate(worth, F.lit(0).cast("long"), lambda a, x: a + x)
+    return total
+
+
 def to_int(c: Column) -> Column:
     """The value of a Chinese or decimal numeral, null for other text."""
-    digits, units = _table(DIGITS), _table(UNITS)
-    start = F.struct(F.lit(0).cast("long").alias("total"), F.lit(0).cast("long").alias("section"), F.lit(0).cast("long").alias("number"))
-
-    def step(acc: Column, ch: Column) -> Column:
-        digit, unit = digits[ch], units[ch]
-        section = acc["section"] + F.greatest(acc["number"], F.lit(1)) * unit
-        plain = F.struct(acc["total"].alias("total"), acc["section"].alias("section"), digit.cast("long").alias("number"))
-        small = F.struct(acc["total"].alias("total"), section.alias("section"), F.lit(0).cast("long").alias("number"))
-        large = F.struct((acc["total"] + (acc["section"] + acc["number"]) * unit).alias("total"), F.lit(0).cast("long").alias("section"), F.lit(0).cast("long").alias("number"))
-        return F.when(digit.isNotNull(), plain).when(unit < 10000, small).otherwise(large)
-
-    folded = F.aggregate(F.split(c, ""), start, step, lambda a: a["total"] + a["section"] + a["number"])
-    return F.when(c.rlike(r"^\d+$"), F.try_to_number(c, F.lit("9" * 18)).cast("long")).when(c.rlike(f"^[{_CLASS}]+$"), folded)
+    groups = F.transform(F.split(c, "万"), _group)
+    myriads = F.aggregate(F.slice(groups, F.lit(1), F.greatest(F.size(groups) - 1, F.lit(0))), F.lit(0).cast("long"), lambda a, x: a + x)
+    return F.when(c.rlike(r"^\d+$"), F.try_to_number(c, F.lit("9" * 18)).cast("long")).when(c.rlike(f"^[{_CLASS}]+$"), myriads * UNITS["万"] + F.element_at(groups, -1))
 
 
 def from_int(n: Column) -> Column:

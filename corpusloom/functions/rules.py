@@ -6,12 +6,12 @@ narrow projection that Catalyst keeps inside the scan's stage.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from corpusloom.functions.text import compact, lines, text_of
+from corpusloom.functions.text import compact, text_of
 
 Rules = Mapping[str, Sequence[str]]
 
@@ -151,43 +151,66 @@ def template_relevance(title: Column, number: Column, keywords: Column, policy:
     )
 
 
-def placeholder_share(c: Column, pattern: str = r"[_＿]{2,}|□|（\s*）|\(\s*\)|年\s*月\s*日", again: str = "[_＿□]") -> Column:
-    """Share of placeholder characters: what ``pattern`` matches plus, counted again, blanks and boxes; at most 1, and 1 for no text."""
-    tight = compact(c)
-    matched = F.aggregate(F.transform(F.regexp_extract_all(text_of(c), F.lit(pattern), F.lit(0)), lambda x: F.length(compact(x))), F.lit(0), lambda a, n: a + n)
-    more = F.length(tight) - F.length(F.regexp_replace(tight, again, ""))
-    return F.when(F.length(tight) == 0, 1.0).otherwise(F.least(F.lit(1.0), (matched + more) / F.greatest(F.length(tight), F.lit(1))))
+# What counts as a placeholder, and what of it counts a second time.
+PLACEHOLDERS, COUNTED_AGAIN = r"[_＿]{2,}|□|（\s*）|\(\s*\)|年\s*月\s*日", "[_＿□]"
+
+
+def let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then`` of a value that is worked out once a row, however often ``then`` names it."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
+def placeholder_share(c: Column, pattern: str = PLACEHOLDERS, again: str = COUNTED_AGAIN, tight: Column | None = None) -> Column:
+    """Share of placeholder characters: what ``pattern`` matches plus, counted again, blanks and boxes; at most 1, and 1 for no text.
+
+    tight: the text without white space, where it is known already.
+    """
+    matched = F.length(compact(F.array_join(F.regexp_extract_all(text_of(c), F.lit(pattern), F.lit(0)), "")))
+    share = lambda t: let(F.length(t), lambda n: F.when(n == 0, 1.0).otherwise(F.least(F.lit(1.0), (matched + n - F.length(F.regexp_replace(t, again, ""))) / F.greatest(n, F.lit(1)))))
+    return let(compact(c), share) if tight is None else share(tight)
 
 
 def table_share(c: Column) -> Column:
     """Share of a text's lines that are table rows; 0 without lines."""
-    rows = lines(c)
-    n = F.size(F.filter(rows, lambda x: x.startswith("|") & x.endswith("|")))
-    return F.when(F.size(rows) == 0, 0.0).otherwise(n / F.size(rows))
+    return let(F.filter(F.split(text_of(c), "\n"), lambda x: x.rlike(r"(?U)\S")), lambda rows: let(F.size(rows), lambda n: F.when(n == 0, 0.0).otherwise(F.size(F.filter(rows, lambda x: x.rlike(r"(?U)^\s*\|(.*\|)?\s*$"))) / F.greatest(n, F.lit(1)))))
 
 
 def clause_score(c: Column, dimensions: Rules, duties: Sequence[str]) -> Column:
     """3 for each dimension, 1 for each duty word, 2 or 1 for length."""
-    size = F.length(compact(c))
-    return 3 * F.size(tags(c, dimensions)) + count_hits(compact(c), duties) + F.when(size >= 180, 2).when(size >= 100, 1).otherwise(0)
+    return let(compact(c), lambda tight: _score(tight, F.size(tags(c, dimensions)), duties))
+
+
+def _score(tight: Column, n_dimensions: Column, duties: Sequence[str]) -> Column:
+    size = F.length(tight)
+    return 3 * n_dimensions + count_hits(tight, duties) + F.when(size >= 180, 2).when(size >= 100, 1).otherwise(0)
+
+
+def clause_judgement(title: Column, c: Column, dimensions: Rules, duties: Sequence[str], signatures: Sequence[str], info_titles: Sequence[str], placeholders: str = PLACEHOLDERS, again: str = COUNTED_AGAIN) -> Column:
+    """Struct of a clause's score and reasons: why it is no candidate, an empty array if it is one."""
+
+    def judged(known: Column) -> Column:
+        tight, size, bare, score = known["tight"], F.length(known["tight"]), known["dims"] == 0, known["score"]
+        info = has_any(title, info_titles) & has_any(tight, ("包括", "分为", "是指")) & bare
+        listing = F.contains(tight, F.lit("包括")) & has_any(tight, ("两大类", "类别")) & bare
+        meaning = has_any(tight, ("是指", "以下简称")) & bare & (count_hits(tight, duties) == 0)
+        tests = (
+            ("too_short", (size < 40) | ((size < 80) & bare)),
+            ("too_many_placeholders", placeholder_share(c, placeholders, again, tight) > 0.35),
+            ("table_only", table_share(c) >= 0.75),
+            ("signature_or_meta", count_hits(tight, signatures) >= 3),
+            ("pure_definition_or_category", info | listing | meaning),
+            ("no_meaningful_risk_dimension", bare & (score < 2)),
+        )
+        return F.struct(score.alias("score"), F.array_compact(F.array(*(F.when(test, F.lit(reason)) for reason, test in tests))).alias("reasons"))
+
+    # the tight text, its dimensions and its score are each worked out once
+    text = lambda tight, dims: let(F.struct(tight.alias("tight"), dims.alias("dims"), _score(tight, dims, duties).alias("score")), judged)
+    return let(F.struct(compact(c).alias("tight"), F.size(tags(c, dimensions)).alias("dims")), lambda k: text(k["tight"], k["dims"]))
 
 
 def clause_reasons(title: Column, c: Column, dimensions: Rules, duties: Sequence[str], signatures: Sequence[str], info_titles: Sequence[str]) -> Column:
     """Why a clause is no candidate: an array of reasons, empty if it is one."""
-    tight, size = compact(c), F.length(compact(c))
-    bare = F.size(tags(c, dimensions)) == 0
-    info = has_any(title, info_titles) & has_any(tight, ("包括", "分为", "是指")) & bare
-    listing = F.contains(tight, F.lit("包括")) & has_any(tight, ("两大类", "类别")) & bare
-    meaning = has_any(tight, ("是指", "以下简称")) & bare & (count_hits(tight, duties) == 0)
-    tests = (
-        ("too_short", (size < 40) | ((size < 80) & bare)),
-        ("too_many_placeholders", placeholder_share(c) > 0.35),
-        ("table_only", table_share(c) >= 0.75),
-        ("signature_or_meta", count_hits(tight, signatures) >= 3),
-        ("pure_definition_or_category", info | listing | meaning),
-        ("no_meaningful_risk_dimension", bare & (clause_score(c, dimensions, duties) < 2)),
-    )
-    return F.array_compact(F.array(*(F.when(test, F.lit(reason)) for reason, test in tests)))
+    return clause_judgement(title, c, dimensions, duties, signatures, info_titles)["reasons"]
 
 
 def coerce(c: Column, synonyms: Mapping[str, str], default: str | None = None) -> Column:

@@ -35,9 +35,13 @@ def clean_line(c: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(text_of(c), r"(?U)\s+", " "), "^ | $", "")
 
 
+#: Unicode white space, by code point.
+WHITE = "".join(map(chr, (*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
+
+
 def compact(c: Column) -> Column:
     """Without any white space."""
-    return F.regexp_replace(text_of(c), r"(?U)\s+", "")
+    return F.translate(text_of(c), WHITE, "")
 
 
 def clean_text(c: Column) -> Column:

@@ -15,7 +15,11 @@ LABELS = ("safe", "medium", "high")
 
 
 def ratio(a: Column, b: Column) -> Column:
-    """a / b to six places, 0 where b is 0."""
+    """a / b to six places, 0 where b is 0.
+
+    Spark rounds half up on the shortest decimal that names the double, where exact rounding goes by its binary value: a quotient
+    that reads as a half at the seventh place may differ by 0.000001, such as 1 / 2 000 000.
+    """
     return F.when(b == 0, 0.0).otherwise(F.round(a.cast("double") / F.when(b == 0, 1).otherwise(b), 6))
 
 

@@ -43,24 +43,42 @@ def latest_child(parents: DataFrame, children: DataFrame, key: str, value: str,
     return parents.join(newest, key, "left")
 
 
-def verify_citations(cited: DataFrame, store: DataFrame, key: str) -> DataFrame:
-    """Checks cited (key, law, article) against store (chunk_id, law, article, article_text).
+def substrings(c: Column) -> Column:
+    """All distinct pieces of a text; for names, as there are about half the square of its length."""
+    n = F.length(c)
+    return F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), n), lambda k: F.transform(F.sequence(F.lit(1), n - k + 1), lambda m: F.substring(c, k, m)))))
 
-    Exact on normalised law and article first; what is left matches if exactly one store row has the same article and a law
-    name that contains, or is in, the cited one. Rows without law and article are dropped; verified rows carry the store's
-    text. Both joins are on the article key, so nothing is compared across articles.
+
+def names_within(left: DataFrame, right: DataFrame) -> DataFrame:
+    """(name, other) of distinct names of left and right where one is a piece of the other: equality joins on pieces, not a cross join."""
+    a, b = left.select(F.col("name")).filter("name != ''").distinct(), right.select(F.col("other")).filter("other != ''").distinct()
+    shorter = b.join(a.select("name", F.explode(substrings(F.col("name"))).alias("other")), "other").select("name", "other")
+    longer = a.join(b.select("other", F.explode(substrings(F.col("other"))).alias("name")), "name").select("name", "other")
+    return shorter.union(longer).distinct()
+
+
+def verify_citations(cited: DataFrame, store: DataFrame) -> DataFrame:
+    """Checks cited (law, article, ...) against store (chunk_id, law, article, article_text).
+
+    Exact on normalised law and article first; what is left matches if exactly one law of the store has the same article and a
+    name that contains, or is in, the cited one, and without a cited law if just one law has the article. Rows without law and
+    article are dropped; verified rows carry the store's text. Names meet once, as distinct names, and then distinct (law, article),
+    so nothing is as large as the citations of an article times the laws that have it.
     """
     norm = lambda df: df.withColumn("__law", law_name(F.col("law"))).withColumn("__art", article_key(F.col("article")))
     wanted = norm(cited).filter((F.col("__law") != "") | (F.col("__art") != ""))
     known = norm(store).select(F.col("__law").alias("s_law"), F.col("__art").alias("__art"), F.struct("chunk_id", F.col("law").alias("law_name"), F.col("article").alias("article_no"), "article_text").alias("hit"))
     best = known.groupBy("s_law", "__art").agg(F.min_by("hit", "hit.chunk_id").alias("hit"))
-    joined = wanted.join(best.select(F.col("s_law").alias("__law"), "__art", F.col("hit").alias("exact")), ["__law", "__art"], "left")
-    rest = joined.filter("exact is null")
-    loose = rest.filter("__art != ''").select(key, "__law", "__art").distinct().join(best, "__art").filter(F.contains("__law", "s_law") | F.contains("s_law", "__law") | (F.col("__law") == ""))
-    only = loose.groupBy(key, "__law", "__art").agg(F.count(F.lit(1)).alias("n"), F.min("hit").alias("fuzzy")).filter("n = 1").drop("n")
-    out = joined.join(only, [key, "__law", "__art"], "left").withColumn("hit", F.coalesce("exact", "fuzzy"))
+    pairs = wanted.select("__law", "__art").distinct().join(best.select(F.col("s_law").alias("__law"), "__art", F.col("hit").alias("exact")), ["__law", "__art"], "left")
+    rest = pairs.filter("exact is null and __art != ''")
+    names = names_within(rest.select(F.col("__law").alias("name")), best.select(F.col("s_law").alias("other")))
+    loose = rest.filter("__law != ''").join(names, F.col("__law") == F.col("name")).select("__law", "__art", F.col("other").alias("s_law")).join(best, ["s_law", "__art"]).select("__law", "__art", "hit")
+    lawless = rest.filter("__law = ''").join(best, "__art").select("__law", "__art", "hit")
+    only = loose.union(lawless).groupBy("__law", "__art").agg(F.count(F.lit(1)).alias("n"), F.min_by("hit", "hit.chunk_id").alias("fuzzy")).filter("n = 1").drop("n")
+    decided = pairs.join(only, ["__law", "__art"], "left").withColumn("hit", F.coalesce("exact", "fuzzy"))
     how = F.when(F.col("exact").isNotNull(), "exact").when(F.col("fuzzy").isNotNull(), "fuzzy").otherwise("none")
-    return out.select(*cited.columns, F.col("hit").isNotNull().alias("verified"), how.alias("how"), F.col("hit.chunk_id").alias("chunk_id"), F.col("hit.article_text").alias("article_text"))
+    out = wanted.join(decided.select("__law", "__art", "hit", how.alias("how")), ["__law", "__art"])
+    return out.select(*cited.columns, F.col("hit").isNotNull().alias("verified"), "how", F.col("hit.chunk_id").alias("chunk_id"), F.col("hit.article_text").alias("article_text"))
 
 
 def lookup_status(wanted: DataFrame, store: DataFrame, name: str, item: str) -> DataFrame:

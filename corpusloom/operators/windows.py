@@ -44,10 +44,15 @@ def keep_with_body(df: DataFrame, key: str, body: str, position: Column) -> Data
     return df.filter(keyless).unionByName(kept)
 
 
-def route_duplicates(df: DataFrame, key: Column, included: Column, order: Sequence[Column]) -> DataFrame:
-    """Adds ``route``: included rows after the first of their key by ``order`` go to review; others as they are."""
-    nth = F.row_number().over(Window.partitionBy(key, included).orderBy(*order))
-    return df.withColumn("route", F.when(~included, "rejected").when(nth == 1, "main").otherwise("review"))
+def route_duplicates(df: DataFrame, key: str, included: Column, order: Sequence[Column]) -> DataFrame:
+    """Adds ``route``: included rows after the first of their key by ``order`` go to review; others as they are.
+
+    order, ascending, tells rows apart: a key's first row is found by an aggregate, with which its rows are compared.
+    """
+    first = df.filter(included).groupBy(F.col(key).alias("__key")).agg(F.min(F.struct(*order)).alias("__first"))
+    out = df.join(first, F.col(key).eqNullSafe(F.col("__key")), "left")
+    route = F.when(~F.coalesce(included, F.lit(False)), "rejected").when(F.struct(*order) == F.col("__first"), "main").otherwise("review")
+    return out.withColumn("route", route).drop("__key", "__first")
 
 
 def neighbours(df: DataFrame, group: str, order: str, item: str) -> DataFrame:
@@ -129,4 +134,6 @@ def stratified(df: DataFrame, label: str, labels: Sequence[str], limit: int, key
     quota = F.create_map(*(F.lit(x) for k, v in enumerate(labels) for x in (v, limit // len(labels) + (k < limit % len(labels)))))
     order = F.md5(F.concat(F.col(key).cast("string"), F.lit(seed)))
     ranked = df.withColumn("nth", F.row_number().over(Window.partitionBy(label).orderBy(order, key)))
+    # a literal bound is applied in each partition before rows are shuffled, so a label's rows aren't gathered
+    ranked = ranked.filter(F.col("nth") <= -(-limit // max(1, len(labels))))
     return ranked.filter(F.col("nth") <= F.coalesce(F.try_element_at(quota, F.col(label).cast("string")), F.lit(0)))

@@ -60,20 +60,31 @@ def report_assembly(spark, sf_dir):
     return table(spark, sf_dir, "customer").select("c_custkey").join(sums, "c_custkey", "left").na.fill(0)
 
 
-_CITED = """with cited as (select c_custkey as id, n.n_name as law, case when c_custkey % 3 = 0 then '第' || c_nationkey || '条' when c_custkey % 3 = 1 then c_nationkey::varchar else '999' end as article from customer c join nation n on n.n_nationkey = c.c_nationkey)"""
-
-
-@query(_CITED + """, store as (select n_nationkey as chunk_id, n_name as law, n_nationkey::varchar as article from nation)
-select id, c.law, c.article, s.chunk_id is not null as verified, case when s.chunk_id is not null then 'exact' else 'none' end as how, s.chunk_id from (select *, regexp_replace(article, '[第条]', '', 'g') as a from cited) c left join store s on s.law = c.law and s.article = c.a""")
+_STORE = """store as (select n_nationkey as chunk_id, n_name || ' TRADE ACT' as law, (n_nationkey % 7 + 1)::varchar as article from nation
+  union all select 100 + n_nationkey, 'ACT OF ' || r_name, (n_nationkey % 7 + 1)::varchar from nation join region on r_regionkey = n_regionkey
+  union all select 200, 'TRADE', '8')"""
+
+
+@query("with " + _STORE + """, cited as (select c_custkey as id, case c_custkey % 6 when 0 then n_name || ' TRADE ACT' when 1 then n_name when 2 then 'TRADE ACT' when 3 then '' when 4 then 'THE ACT OF ' || r_name || ' AS AMENDED' else 'nowhere' end as law,
+  case when c_custkey % 2 = 0 then '第' || (c_nationkey % 7 + 1) || '条' else (c_custkey % 9 + 1)::varchar end as article from customer join nation on n_nationkey = c_nationkey join region on r_regionkey = n_regionkey),
+c as (select *, replace(law, ' ', '') as l, regexp_replace(article, '[第条]', '', 'g') as a from cited), s as (select chunk_id, replace(law, ' ', '') as l, article as a from store),
+best as (select l, a, min(chunk_id) as chunk_id from s group by l, a),
+pairs as (select distinct c.l, c.a from c), exact as (select p.l, p.a, b.chunk_id from pairs p join best b on p.l = b.l and p.a = b.a),
+loose as (select p.l, p.a, count(*) as n, min(b.chunk_id) as chunk_id from pairs p join best b on p.a = b.a and (contains(b.l, p.l) or contains(p.l, b.l)) group by p.l, p.a having count(*) = 1)
+select id, law, article, coalesce(e.chunk_id, f.chunk_id) is not null as verified, case when e.chunk_id is not null then 'exact' when f.chunk_id is not null then 'fuzzy' else 'none' end as how, coalesce(e.chunk_id, f.chunk_id) as chunk_id
+from c left join exact e on c.l = e.l and c.a = e.a left join loose f on c.l = f.l and c.a = f.a""")
 def verify_exact_fuzzy(spark, sf_dir):
-    """Citations against the store, exactly and else by article and law name."""
-    n = table(spark, sf_dir, "nation")
+    """Citations against the store, exactly and else by article and a law's name that contains the other's, if just one does."""
+    n = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", "n_name", "r_name")
+    item = (F.col("n_nationkey") % 7 + 1).cast("string").alias("article")
+    known = n.select(F.col("n_nationkey").cast("long").alias("chunk_id"), F.concat("n_name", F.lit(" TRADE ACT")).alias("law"), item)
+    known = known.union(n.select(F.col("n_nationkey").cast("long") + 100, F.concat(F.lit("ACT OF "), "r_name"), item)).union(spark.range(1).select(F.lit(200).cast("long"), F.lit("TRADE"), F.lit("8"))).withColumn("article_text", F.lit(""))
     c = table(spark, sf_dir, "customer").join(n, F.col("c_nationkey") == F.col("n_nationkey"))
-    key = F.col("c_nationkey").cast("string")
-    article = F.when(F.col("c_custkey") % 3 == 0, F.concat(F.lit("第"), key, F.lit("条"))).when(F.col("c_custkey") % 3 == 1, key).otherwise("999")
-    cited = c.select(F.col("c_custkey").alias("id"), F.col("n_name").alias("law"), article.alias("article"))
-    known = n.select(F.col("n_nationkey").alias("chunk_id"), F.col("n_name").alias("law"), F.col("n_nationkey").cast("string").alias("article"), F.lit("").alias("article_text"))
-    return joins.verify_citations(cited, known, "id").drop("article_text")
+    kind = F.col("c_custkey") % 6
+    law = F.when(kind == 0, F.concat("n_name", F.lit(" TRADE ACT"))).when(kind == 1, F.col("n_name")).when(kind == 2, "TRADE ACT").when(kind == 3, "").when(kind == 4, F.concat(F.lit("THE ACT OF "), "r_name", F.lit(" AS AMENDED"))).otherwise("nowhere")
+    article = F.when(F.col("c_custkey") % 2 == 0, F.concat(F.lit("第"), (F.col("c_nationkey") % 7 + 1).cast("string"), F.lit("条"))).otherwise((F.col("c_custkey") % 9 + 1).cast("string"))
+    cited = c.select(F.col("c_custkey").alias("id"), law.alias("law"), article.alias("article"))
+    return joins.verify_citations(cited, known).drop("article_text")
 
 
 @query("""select c_custkey, name, item, case when item < 0 then 'not_in_law' when name = 'nowhere' then 'not_in_store' else 'found' end as status from (
@@ -171,7 +182,7 @@ def constraint_audit(spark, sf_dir):
     return store.audit(o, {"status": F.col("o_orderstatus").isin("F", "O"), "price": F.col("o_totalprice") > 1000}, {"one_order": ["o_custkey"]}, {"customer": ("o_custkey", table(spark, sf_dir, "customer"), "c_custkey")})
 
 
-@query("""select doc_id, source, case when doc_id % 4 = 0 then 'generated' else 'existing' end as origin from documents where doc_id % 2 = 0""")
+@query("""select doc_id, source, case when doc_id % 4 = 2 then 'existing' else 'generated' end as origin from documents""")
 def dataset_merge(spark, sf_dir):
     """Two datasets by id, the generated row where both have it (E18): even ids exist, all but each second of those are generated."""
     d = table(spark, sf_dir, "documents").select("doc_id", "source")

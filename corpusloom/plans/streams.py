@@ -56,7 +56,7 @@ def event_latest_state(spark, sf_dir):
     return events.latest_state(_events(spark, sf_dir), "user_id", "event_type", ["ts", "event_id"])
 
 
-@query("""with e as (select conv_id, turn, case when role = 'system' then 'tool' else 'think' end as kind, left(text, 5) as t from conversations),
+@query("""with e as (select conv_id, turn, case when role = 'system' then 'tool' else 'think' end as kind, text as t from conversations),
 n as (select *, case when kind = 'think' and lag(kind) over (partition by conv_id order by turn) = kind then 0 else 1 end as new from e), b as (select *, sum(new) over (partition by conv_id order by turn) as block from n)
 select conv_id, block, min(kind) as kind, string_agg(t, '' order by turn) as t, count(*) as n from b group by conv_id, block""")
 def timeline_fold(spark, sf_dir):

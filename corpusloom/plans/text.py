@@ -27,7 +27,8 @@ def noise_lines(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", text.drop_lines(F.col("text"), prefixes=("Licensed",), containing=(" | ",)).alias("text"))
 
 
-@query("""select doc_id, octet_length(encode(text)) as n_bytes, left(text, 40) || case when length(text) > 40 then '...' else '' end as head from documents where octet_length(encode(left(text, 60))) = length(left(text, 60))""")
+@query("""select doc_id, octet_length(encode(text)) as n_bytes, case when octet_length(encode(coalesce(text, ''))) <= 40 then coalesce(text, '')
+  else left(text, list_max(list_filter(range(41), lambda k: octet_length(encode(left(text, k))) <= 40))) || '...' end as head from documents""")
 def byte_truncate(spark, sf_dir):
     """UTF-8 byte truncation with a mark."""
     return _docs(spark, sf_dir).select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), text.truncate_bytes(F.col("text"), 40, "...").alias("head"))
@@ -106,17 +107,27 @@ def embedding_templates(spark, sf_dir):
     return p.select("p_partkey", text.template(F.col("p_name"), F.when(F.col("p_size") % 2 == 0, F.col("p_brand")).otherwise(""), F.col("p_type")).alias("embedding_text"))
 
 
-@query("""with n as (select distinct p_size as n from part where p_size between 1 and 99),
-c as (select n, ['零','一','二','三','四','五','六','七','八','九'][n // 10 + 1] as tens, ['','一','二','三','四','五','六','七','八','九'][n % 10 + 1] as ones from n)
-select n, '第' || case when n < 10 then ones when n < 20 then '十' || ones else tens || '十' || ones end || '条' as name, n::varchar as key, n::bigint as back from c""")
+_SPOKEN = """with recursive d(i, name) as (values (0, '零'), (1, '一'), (2, '二'), (3, '三'), (4, '四'), (5, '五'), (6, '六'), (7, '七'), (8, '八'), (9, '九')),
+small as (select i.n, case when i.n = 0 then '零' else regexp_replace(regexp_replace(
+    case when th.i > 0 then th.name || '千' else '零' end || case when hu.i > 0 then hu.name || '百' else '零' end || case when te.i > 0 then te.name || '十' else '零' end || case when o.i > 0 then o.name else '零' end,
+    '零+', '零', 'g'), '^零|零$', '', 'g') end as said
+  from range(10000) i(n), d th, d hu, d te, d o where th.i = i.n // 1000 and hu.i = i.n // 100 % 10 and te.i = i.n // 10 % 10 and o.i = i.n % 10)"""
+
+
+@query(_SPOKEN + """, n as (select p_partkey, (p_partkey * 7919 % 9999 + 1)::bigint as n, case when p_size % 3 = 0 then (p_size % 20 + 1)::bigint end as more, (p_partkey * 104729 % 990000 + 10000)::bigint as large from part)
+select p_partkey, n, '第' || regexp_replace(a.said, '^一十', '十') || '条' || coalesce('之' || regexp_replace(m.said, '^一十', '十'), '') as name, n || coalesce('之' || more, '') as key, n as back, large as large_back
+from n join small a using (n) left join small m on m.n = n.more""")
 def numeral_roundtrip(spark, sf_dir):
-    """Article numbers in Chinese numerals and back."""
-    n = table(spark, sf_dir, "part").select(F.col("p_size").alias("n")).filter("p_size between 1 and 99").distinct()
-    name = numerals.article_name(F.col("n").cast("string"))
-    return n.select("n", name.alias("name"), numerals.article_key(name).alias("key"), numerals.to_int(numerals.from_int(F.col("n"))).alias("back"))
+    """Article numbers up to 9999 with supplements in Chinese numerals and back, and numerals up to 999 999."""
+    p = table(spark, sf_dir, "part").select("p_partkey", (F.col("p_partkey") * 7919 % 9999 + 1).cast("long").alias("n"), F.when(F.col("p_size") % 3 == 0, F.col("p_size") % 20 + 1).cast("long").alias("more"), (F.col("p_partkey") * 104729 % 990000 + 10000).cast("long").alias("large"))
+    given = F.concat(F.col("n").cast("string"), F.when(F.col("more").isNotNull(), F.concat(F.lit("之"), F.col("more").cast("string"))).otherwise(""))
+    rest = F.col("large") % 10000
+    spoken = F.concat(numerals.from_int(F.floor(F.col("large") / 10000)), F.lit("万"), F.when((rest > 0) & (rest < 1000), "零").otherwise(""), F.when(rest > 0, F.regexp_replace(numerals.from_int(rest), "^十", "一十")).otherwise(""))
+    p = p.withColumn("name", numerals.article_name(given))
+    return p.select("p_partkey", "n", "name", numerals.article_key(F.col("name")).alias("key"), numerals.to_int(numerals.from_int(F.col("n"))).alias("back"), numerals.to_int(spoken).alias("large_back"))
 
 
-@query("""select l_orderkey, l_linenumber, '合同法' as law, '第' || l_linenumber || '条' as article from lineitem where l_orderkey <= 500 union all select l_orderkey, l_linenumber, 'P' || l_partkey, null from lineitem where l_orderkey <= 500""")
+@query("""select l_orderkey, l_linenumber, '合同法' as law, '第' || l_linenumber || '条' as article from lineitem union all select l_orderkey, l_linenumber, 'P' || l_partkey, null from lineitem""")
 def citation_extract(spark, sf_dir):
     """Citations of laws and articles."""
     l = table(spark, sf_dir, "lineitem")  # noqa: E741

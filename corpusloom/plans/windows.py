@@ -42,7 +42,7 @@ def dedupe_dropped(spark, sf_dir):
 def route_duplicates(spark, sf_dir):
     """Later included rows of a key go to review."""
     d = table(spark, sf_dir, "documents")
-    return windows.route_duplicates(d, "source", F.col("n_chars") >= 300, [F.desc("n_chars"), F.col("doc_id")]).select("doc_id", "route")
+    return windows.route_duplicates(d, "source", F.col("n_chars") >= 300, [-F.col("n_chars"), F.col("doc_id")]).select("doc_id", "route")
 
 
 @query("""with d as (select doc_id, case when doc_id % 5 = 0 then '' else source end as k, case when doc_id % 3 = 0 then '' else lang end as b from documents)

@@ -32,7 +32,7 @@ def test_failed_rows_count_as_misses(spark):
 def test_verify_citations(spark):
     store_ = spark.createDataFrame([("c1", "合同法", "第五十二条", "t1"), ("c2", "公司法", "第三条", "t2"), ("c3", "民法典合同编", "第九条", "t3"), ("c4", "民法典总则编", "第九条", "t4")], "chunk_id string, law string, article string, article_text string")
     cited = spark.createDataFrame([(1, "中华人民共和国合同法", "52"), (2, "公司", "3"), (3, "民法典", "9"), (4, "劳动法", "52"), (5, "", "")], "id int, law string, article string")
-    got = {r["id"]: (r["verified"], r["how"], r["chunk_id"]) for r in joins.verify_citations(cited, store_, "id").collect()}
+    got = {r["id"]: (r["verified"], r["how"], r["chunk_id"]) for r in joins.verify_citations(cited, store_).collect()}
     assert got == {1: (True, "exact", "c1"), 2: (True, "fuzzy", "c2"), 3: (False, "none", None), 4: (False, "none", None)}
 
 
