@@ -266,3 +266,25 @@ def bounded_json(value: Column, most: int) -> Column:
     whole = F.to_json(value)
     short = F.to_json(F.struct(F.lit(True).alias("truncated"), F.length(whole).alias("original_chars"), F.left(whole, F.lit(most)).alias("preview")))
     return F.when(F.length(whole) > most, short).otherwise(whole)
+
+
+def table_markdown(rows: Column, most_columns: int = 6, least_full: float = 0.5) -> Column:
+    """An array of rows of cells as Markdown, without empty rows and columns; wide and sparse tables as lines of text."""
+    tidy = F.filter(F.transform(rows, lambda r: F.transform(r, lambda c: F.trim(text_of(c)))), lambda r: F.exists(r, lambda c: c != ""))
+
+    def shaped(t: Column) -> Column:
+        width = F.coalesce(F.array_max(F.transform(t, lambda r: F.size(r))), F.lit(0))
+        used = F.filter(F.sequence(F.lit(0), F.greatest(width - 1, F.lit(0))), lambda k: F.exists(t, lambda r: F.coalesce(F.get(r, k), F.lit("")) != ""))
+        return F.struct(t.alias("rows"), used.alias("used"))
+
+    def said(s: Column) -> Column:
+        full = F.aggregate(s["rows"], F.lit(0), lambda n, r: n + F.size(F.filter(r, lambda c: c != "")))
+        lines = F.transform(s["rows"], lambda r: F.concat(F.lit("| "), F.array_join(F.transform(s["used"], lambda k: F.replace(F.coalesce(F.get(r, k), F.lit("")), F.lit("|"), F.lit("\\|"))), " | "), F.lit(" |")))
+        rule = F.concat(F.lit("|"), F.array_join(F.transform(s["used"], lambda k: F.lit(" --- |")), ""))
+        plain = F.array_join(F.transform(s["rows"], lambda r: F.array_join(F.filter(r, lambda c: c != ""), " ")), "\n")
+        sparse = (F.size(s["used"]) > most_columns) & (full < least_full * F.size(s["rows"]) * F.size(s["used"]))
+        whole = F.array_join(F.concat(F.slice(lines, 1, 1), F.array(rule), F.slice(lines, F.lit(2), F.greatest(F.size(lines) - 1, F.lit(0)))), "\n")
+        return F.when(F.size(s["rows"]) == 0, "").when(sparse, plain).otherwise(whole)
+
+    once = lambda value, then: F.get(F.transform(F.array(value), then), F.lit(0))
+    return once(once(tidy, shaped), said)

@@ -109,10 +109,10 @@ _KINDS = {
 
 
 @query("with k as (select doc_id, case doc_id % 7 " + " ".join(f"when {k} then {sql}" for k, sql in _KINDS.items()) + f""" else text end as text from documents),
-c as (select doc_id, text, {_TIGHT} as tight, {_DIMS} as dims, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '\S')) as l from k), s as (
+c as (select doc_id, text, {_TIGHT} as tight, {_DIMS} as dims, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '\\S')) as l from k), s as (
   select *, 3 * dims + {' + '.join(f"contains(tight, '{w}')::int" for w in DUTIES)} + case when length(tight) >= 180 then 2 when length(tight) >= 100 then 1 else 0 end as score,
     case when length(tight) = 0 then 1.0 else least(1.0, 2.0 * (length(tight) - length(replace(tight, '□', ''))) / length(tight)) end as blank,
-    case when len(l) = 0 then 0.0 else len(list_filter(l, lambda x: regexp_matches(x, '^\s*\|(.*\|)?\s*$')))::double / len(l) end as in_table from c)
+    case when len(l) = 0 then 0.0 else len(list_filter(l, lambda x: regexp_matches(x, '^\\s*\\|(.*\\|)?\\s*$')))::double / len(l) end as in_table from c)
 select doc_id, score, concat_ws(',', case when length(tight) < 40 or (length(tight) < 80 and dims = 0) then 'too_short' end, case when blank > 0.35 then 'too_many_placeholders' end, case when in_table >= 0.75 then 'table_only' end,
   case when contains(tight, '签字')::int + contains(tight, '盖章')::int + contains(tight, '日期')::int + contains(tight, '附件')::int >= 3 then 'signature_or_meta' end,
   case when dims = 0 and ((doc_id % 7 = 5 and contains(tight, '包括')) or (contains(tight, '是指') and not ({' or '.join(f"contains(tight, '{w}')" for w in DUTIES)}))) then 'pure_definition_or_category' end,

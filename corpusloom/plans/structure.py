@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions.text import sentences
 from corpusloom.operators import packing, segments
+from corpusloom.operators import sections as laws
 from corpusloom.plans.registry import query
 from corpusloom.sources.readers import table
 
@@ -66,14 +68,27 @@ def outlines(spark, sf_dir):
     return segments.outline(table(spark, sf_dir, "orders"), "o_custkey", "o_orderkey", F.col("o_orderpriority")).select("o_custkey", F.array_join("outline", ",").alias("outline"))
 
 
-@query()
+_LINE_ROWS = r"""l as (select doc_id, row_number() over (partition by doc_id order by pos) as rn, line from (
+  select doc_id, unnest(range(len(x))) as pos, regexp_replace(regexp_replace(unnest(x), '[\s\x0B]+', ' ', 'g'), '^ | $', '', 'g') as line from (select doc_id, string_split(coalesce(text, ''), chr(10)) as x from documents)) where line <> '')"""
+
+
+@query("with recursive " + _LINE_ROWS + """, w(doc_id, rn, chunk, used, line) as (
+  select doc_id, rn, 0::bigint, length(line), line from l where rn = 1
+  union all select l.doc_id, l.rn, case when w.used + 1 + length(l.line) <= 400 then w.chunk else w.chunk + 1 end, case when w.used + 1 + length(l.line) <= 400 then w.used + 1 + length(l.line) else length(l.line) end, l.line from w join l on l.doc_id = w.doc_id and l.rn = w.rn + 1)
+select doc_id, chunk, '' as path, string_agg(line, chr(10) order by rn) as text, count(*) as units, max(length(line)) > 400 as overflow from w group by doc_id, chunk""")
 def pack_greedy(spark, sf_dir):
     """Lines of documents packed to a budget."""
     lines = segments.line_rows(_docs(spark, sf_dir), "doc_id", "text").withColumn("path", F.lit(""))
     return packing.packed(lines, "doc_id", "pos", "path", "line", 400)
 
 
-@query()
+@query(r"""with recursive s as (select doc_id, regexp_extract_all(regexp_replace(coalesce(text, ''), '[.] ?', '。', 'g'), '[^。！？；]*[。！？；]|[^。！？；]+$') as s from documents),
+p as (select doc_id, s, len(s) as n, list_prepend(0, list_transform(range(1, len(s) + 1), lambda k: list_sum(list_transform(s[1:k], lambda x: length(x))))) as p from s where len(s) > 0),
+c(doc_id, chunk, a, e) as (
+  select doc_id, 0::bigint, 0::bigint, greatest(1, len(list_filter(p, lambda x: x > 0 and x <= 300))) from p
+  union all select d.doc_id, d.chunk + 1, d.a, d.a + greatest(1, len(list_filter(d.p, lambda x: x > d.p[d.a + 1] and x <= d.p[d.a + 1] + 300))) from (
+    select c.doc_id, c.chunk, p.p, greatest(c.a + 1, c.e - len(list_filter(p.p, lambda x: x < p.p[c.e + 1] and x >= p.p[c.e + 1] - 60))) as a from c join p on p.doc_id = c.doc_id where c.e < p.n) d)
+select c.doc_id, c.chunk, '' as label, array_to_string(s[a + 1:e], '') as text from c join p on p.doc_id = c.doc_id""")
 def pack_overlap(spark, sf_dir):
     """Sentences packed with overlap."""
     said = _docs(spark, sf_dir).select("doc_id", F.posexplode(sentences(F.regexp_replace("text", "[.] ?", "。"))).alias("pos", "line")).withColumn("label", F.lit(""))
@@ -86,8 +101,67 @@ def split_oversize(spark, sf_dir):
     return packing.split_documents(_docs(spark, sf_dir), "doc_id", "text", 1500)
 
 
-@query()
+@query("""with i as (select l_orderkey, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_extendedprice) as item, l_quantity as score, l_returnflag as f, l_linestatus as s from lineitem),
+r as (select *, row_number() over (partition by l_orderkey order by score desc, item) as rank from i), one as (select * from r where rank = 1),
+two as (select r.l_orderkey, arg_min(r.item, (r.f in (one.f, one.s) and r.s in (one.f, one.s), r.rank)) as item from r join one on one.l_orderkey = r.l_orderkey where r.rank > 1 group by r.l_orderkey)
+select l_orderkey, item, 1::bigint as nth from one union all select l_orderkey, item, 2 from two""")
 def diverse_select(spark, sf_dir):
     """Greedy diverse choice of lines in each order."""
-    l = table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_linenumber").cast("long").alias("l_linenumber"), F.col("l_quantity").cast("double").alias("score"), F.array("l_returnflag", "l_linestatus").alias("dims"))  # noqa: E741
-    return packing.diverse(l, "l_orderkey", "l_linenumber", "score", "dims", 2)
+    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+    l = table(spark, sf_dir, "lineitem").select("l_orderkey", F.row_number().over(w).cast("long").alias("item"), F.col("l_quantity").cast("double").alias("score"), F.array("l_returnflag", "l_linestatus").alias("dims"))  # noqa: E741
+    return packing.diverse(l, "l_orderkey", "item", "score", "dims", 2)
+
+
+# line items as numbered lines of a document for each order
+_NUMBERED = """with i as (select l_orderkey, l_quantity::int as q, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_extendedprice) as n from lineitem)"""
+
+
+def _numbered(spark, sf_dir, *lines):
+    """(l_orderkey, pos, line): for each line item, numbered n in its order, the given lines that aren't null."""
+    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+    items = table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_quantity").cast("int").alias("q"), F.row_number().over(w).alias("n"))
+    made = F.filter(F.array(*(F.struct((F.col("n") * 100 + k).alias("pos"), line.alias("line")) for k, line in enumerate(lines))), lambda x: x["line"].isNotNull())
+    return items.select("l_orderkey", F.inline(made))
+
+
+@query(_NUMBERED + """, u as (select l_orderkey, n, 1 as k, 'article' as type, '第' || n || '条' as label, '第' || (n - (n - 1) % 4) || '章 货物' as path, '**第' || n || '条** 数量' || q || chr(10) || '续' as body from i
+  union all select l_orderkey, n, 2, 'table', '第' || (n - (n - 1) % 4) || '章 货物', '第' || (n - (n - 1) % 4) || '章 货物', '| ' || q || ' | x |' from i where n % 3 = 0)
+select l_orderkey, row_number() over (partition by l_orderkey order by n, k) as nth, type, label, path, body from u""")
+def structural_units(spark, sf_dir):
+    """Articles and tables of laws with their chapters, whatever the headings' Markdown levels."""
+    n = F.col("n")
+    head = F.when(n % 4 == 1, F.concat(F.when(n % 8 == 1, "## 第").otherwise("#### 第"), n, F.lit("章货物")))
+    lines = _numbered(spark, sf_dir, F.when(n == 1, "# 某法"), F.when(n == 1, "## 目 录"), F.when(n == 1, "第九章 目录里"), head, F.concat(F.lit("**第"), n, F.lit("条** 数量"), "q"), F.lit("续"), F.when(n % 3 == 0, F.concat(F.lit("| "), "q", F.lit(" | x |"))))
+    return laws.structural_units(lines, "l_orderkey", "pos", "line")
+
+
+@query(_NUMBERED + """, s as (select l_orderkey, (n - 1) // 3 as g, min(n) as first, count(*) as lines, sum(length(repeat('字', 100 + q)) + 1) as size from i group by l_orderkey, (n - 1) // 3)
+select l_orderkey, g + 1 as section, 1 as part, '第' || first || '章 部分' as path, 5 + length(first::varchar) + size as size from s where 5 + length(first::varchar) + size >= 200""")
+def theme_sections(spark, sf_dir):
+    """Theme sections of guides by heading rank, without short ones."""
+    n = F.col("n")
+    lines = _numbered(spark, sf_dir, F.when(n % 3 == 1, F.concat(F.lit("第"), n, F.lit("章 部分"))), F.repeat(F.lit("字"), 100 + F.col("q")))
+    docs = lines.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("pos", "line"))).alias("l")).select("l_orderkey", F.array_join("l.line", "\n").alias("body"))
+    return laws.theme_sections(docs, "l_orderkey", "body").select("l_orderkey", "section", "part", "path", F.length("text").alias("size"))
+
+
+@query(_NUMBERED + """, b as (select l_orderkey, n, 1 as k, 'heading' as type, '质量标准：' || repeat('优', 12) || q as text from i where n % 3 = 0
+  union all select l_orderkey, n, 1, 'paragraph', '第' || n || '条 数量' || q from i where n % 3 = 1 union all select l_orderkey, n, 2, 'paragraph', '第' || n || '条 价款' from i where n % 3 = 1
+  union all select l_orderkey, n, 1, 'paragraph', '杂项' || n from i where n % 3 = 2)
+select l_orderkey, row_number() over (partition by l_orderkey order by n, k) as nth, type, text from b""")
+def contract_blocks(spark, sf_dir):
+    """Blocks of contracts in Markdown: fields of tables, clauses, what is left out."""
+    n = F.col("n")
+    start = [F.when(n == 1, x) for x in ("封面", "---", "# 某合同", "<!-- note -->")]
+    clause = F.when(n % 3 == 1, F.concat(F.lit("**第"), n, F.lit("条** 数量"), "q", F.lit("；第"), n, F.lit("条 价款；")))
+    lines = _numbered(spark, sf_dir, *start, clause, F.when(n % 3 == 2, F.concat(F.lit("杂项"), n)), F.when(n % 3 == 0, F.concat(F.lit("| 质 量标准 | "), F.repeat(F.lit("优"), 12), "q", F.lit(" |"))), F.when(n % 3 == 0, "附注在表后"), F.when(n % 3 == 2, "甲方盖 章"))
+    lines = lines.withColumn("line", F.replace("line", F.lit("质 量"), F.lit("质量")))
+    return laws.parsed_blocks(lines, "l_orderkey", "pos", "line", ("质量标准",), ("盖章",))
+
+
+@query(_NUMBERED + """, g as (select l_orderkey, n, (greatest(n, 2) - 2) // 3 as chunk from i), h as (select l_orderkey, count(*) as total from i group by l_orderkey)
+select g.l_orderkey, chunk, '| 0001 |' || coalesce(string_agg(chr(10) || '| ' || lpad(n::varchar, 4, '0') || ' |', '' order by n) filter (n > 1), '') as text from g group by g.l_orderkey, chunk""")
+def split_tables(spark, sf_dir):
+    """Tables in pieces within a budget, each with the header."""
+    lines = _numbered(spark, sf_dir, F.concat(F.lit("| "), F.lpad(F.col("n").cast("string"), 4, "0"), F.lit(" |")))
+    return packing.split_tables(lines, "l_orderkey", "pos", "line", 1, 40)

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from corpusloom.functions import numerals, text
 from corpusloom.plans.registry import query
-from corpusloom.sources import html, sinks
+from corpusloom.sources import html, readers, sinks
 from corpusloom.sources.readers import table
+from corpusloom.streaming import events
 
 
 def _docs(spark, sf_dir):
@@ -179,3 +181,99 @@ def bounded_artifacts(spark, sf_dir):
     """JSON over a size as its front."""
     j = text.bounded_json(F.struct("p_name", "p_brand"), 50)
     return table(spark, sf_dir, "part").select("p_partkey", F.coalesce(F.get_json_object(j, "$.truncated") == "true", F.lit(False)).alias("truncated"))
+
+
+@query("""select p_partkey, case when p_size % 2 = 0 then p_name || chr(10) || p_type else p_name end as kept from part""")
+def garbage_lines(spark, sf_dir):
+    """Text without lines of odd characters."""
+    p = table(spark, sf_dir, "part")
+    lines = F.concat("p_name", F.lit("\n☃☃☃☃ a\n###\n"), F.when(F.col("p_size") % 2 == 0, F.col("p_type")).otherwise("☃☃"))
+    return p.select("p_partkey", text.drop_garbage(lines).alias("kept"))
+
+
+@query("""select p_partkey, case p_size % 3 when 0 then p_brand when 1 then p_type else '' end as maker, case when p_size % 2 = 0 then p_name else 'no break ' || p_name end as body from part""")
+def labelled_values(spark, sf_dir):
+    """Values after labels, on their line or the next, and bodies after a blank line."""
+    p, size = table(spark, sf_dir, "part"), F.col("p_size")
+    said = F.concat(F.lit("x: 1\n"), F.when(size % 3 == 0, F.concat(F.lit("maker： "), "p_brand")).when(size % 3 == 1, F.concat(F.lit("maker:\n\n "), "p_type", F.lit(" "))).otherwise("makers none"), F.lit("\nend"))
+    chunk = F.when(size % 2 == 0, F.concat(F.lit("head\n\n"), "p_name")).otherwise(F.concat(F.lit("no break "), "p_name"))
+    return p.select("p_partkey", text.label_value(said, "maker").alias("maker"), text.body_of(chunk).alias("body"))
+
+
+@query("""select p_partkey, '《' || p_brand || '》第一条' || case when p_size % 2 = 0 then chr(10) || '第' || p_size || '条' else '' end as statutes from part""")
+def statute_fields(spark, sf_dir):
+    """The statute field of a case up to where citations end."""
+    rest = F.when(F.col("p_size") % 2 == 0, F.concat(F.lit("\n第"), "p_size", F.lit("条\n一审：某判决第二条"))).otherwise("\nnothing is cited\n第三条")
+    return table(spark, sf_dir, "part").select("p_partkey", text.statute_lines(F.concat(F.lit("《"), "p_brand", F.lit("》第一条"), rest)).alias("statutes"))
+
+
+@query("""select p_partkey, p_name || '。|' || p_type || '？|' || p_brand as sentences, case when p_size % 2 = 0 then 'x第一条 ' || p_brand || '|第二条 ' || p_type else '第一条 ' || p_brand || '|第二条 ' || p_type end as articles from part""")
+def sentences_and_articles(spark, sf_dir):
+    """Sentences with their marks, and lines with several articles."""
+    p = table(spark, sf_dir, "part")
+    said = F.concat("p_name", F.lit("。"), "p_type", F.lit("？"), "p_brand")
+    line = F.concat(F.when(F.col("p_size") % 2 == 0, "x").otherwise(""), F.lit("第一条 "), "p_brand", F.lit("第二条 "), "p_type")
+    return p.select("p_partkey", F.array_join(text.sentences(said), "|").alias("sentences"), F.array_join(text.inline_articles(line), "|").alias("articles"))
+
+
+@query("""select p_partkey, case p_size % 3 when 0 then p_brand || '办法' when 1 then '关于' || p_type || '的办法' else p_type end as title from part""")
+def recovered_titles(spark, sf_dir):
+    """Formal titles from the body where the title isn't one."""
+    p, size = table(spark, sf_dir, "part"), F.col("p_size")
+    title = F.when(size % 3 == 0, F.concat("p_brand", F.lit("办法"))).otherwise(F.col("p_type"))
+    body = F.when(size % 3 == 2, "none").otherwise(F.concat(F.lit("x 关于y的办法，关于"), "p_type", F.lit("的办法。")))
+    return p.select("p_partkey", text.recover_title(title, body, "关于[^，。]*?的办法", ("办法",)).alias("title"))
+
+
+@query("""select p_partkey, '| ' || p_brand || ' | ' || replace(p_type, ' ', '\\|') || ' |' || chr(10) || '| --- | --- |' || case when p_size % 2 = 0 then chr(10) || '| ' || p_name || ' |  |' else '' end as markdown from part""".replace("\\\\", "\\"))
+def table_markdown(spark, sf_dir):
+    """Cells as Markdown tables without empty rows and columns (F8)."""
+    p = table(spark, sf_dir, "part")
+    cells = F.array(F.array(F.col("p_brand"), F.lit(""), F.replace("p_type", F.lit(" "), F.lit("|"))), F.array(F.lit(""), F.lit(" "), F.lit("")), F.array(F.when(F.col("p_size") % 2 == 0, F.col("p_name")).otherwise(""), F.lit(""), F.lit("")))
+    return p.select("p_partkey", text.table_markdown(cells).alias("markdown"))
+
+
+@query("""select doc_id, source from documents union all select doc_id, source from documents where doc_id < 5""")
+def json_round_trip(spark, sf_dir):
+    """JSON lines written over, appended to, and read back with a missing file and malformed lines."""
+    folder = sinks.work_folder(spark, "json")
+    d = _docs(spark, sf_dir).select("source", "doc_id")
+    sinks.write_json(d, f"{folder}/a", ["doc_id"])
+    sinks.write_json(d.filter("doc_id < 5"), f"{folder}/a", ["doc_id"], mode="append")
+    spark.createDataFrame([("not json",), ('{"doc_id": "x"}',), ("",)], "value string").coalesce(1).write.text(f"{folder}/b")
+    schema = StructType([StructField("doc_id", LongType()), StructField("source", StringType())])
+    return readers.json_lines(spark, [f"{folder}/a", f"{folder}/b", f"{folder}/missing"], schema, strict=False).select("doc_id", "source")
+
+
+@query("""select doc_id::varchar as doc_id, coalesce(lang, '') as lang, '["' || source || '"]' as sources from documents""")
+def csv_round_trip(spark, sf_dir):
+    """CSV with a byte order mark, nested columns as JSON, read back (K3)."""
+    folder = sinks.work_folder(spark, "csv")
+    sinks.write_csv(_docs(spark, sf_dir).select("doc_id", "lang", F.array("source").alias("sources")), folder)
+    return sinks.read_csv(spark, folder)
+
+
+@query("""select source, case when n_chars < 500 then 'rejected' else 'main' end as route, count(*) as n from documents group by all""")
+def routed_sink(spark, sf_dir):
+    """All routes written at once, a folder each, and read back (K4)."""
+    folder = sinks.work_folder(spark, "routed")
+    sinks.routed(_docs(spark, sf_dir).select("doc_id", "source", F.when(F.col("n_chars") < 500, "rejected").otherwise("main").alias("route")), "source", "route", folder)
+    return spark.read.parquet(folder).groupBy("source", "route").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""select p_partkey || '.md' as file_name, '---' || chr(10) || 'brand: ' || p_brand || case when p_size % 2 = 0 then chr(10) || 'size: ' || p_size else '' end || chr(10) || '---' || chr(10) || chr(10) || p_name as text from part""")
+def rendered_files(spark, sf_dir):
+    """A front-matter template for each row (K6)."""
+    p = table(spark, sf_dir, "part")
+    front = sinks.front_matter(brand=F.col("p_brand"), size=F.when(F.col("p_size") % 2 == 0, F.col("p_size")))
+    return sinks.rendered(p, F.concat(F.col("p_partkey").cast("string"), F.lit(".md")), front, F.lit(""), F.col("p_name"))
+
+
+@query("""select distinct user_id, event_type from events""")
+def persisted_once(spark, sf_dir):
+    """A batch that is run again appends nothing (Q7)."""
+    folder = sinks.work_folder(spark, "once")
+    rows = table(spark, sf_dir, "events").select(F.concat_ws("/", "user_id", "event_type").alias("key"), "user_id", "event_type")
+    for part in (rows.filter("user_id % 2 = 0"), rows.filter("user_id % 2 = 0"), rows):
+        events.sink_once(folder, "key")(part, 0)
+    return spark.read.parquet(folder).select("user_id", "event_type")

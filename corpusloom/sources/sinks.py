@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, MapType, StructType
 
@@ -26,9 +28,30 @@ def csv_ready(df: DataFrame) -> DataFrame:
     return df.select(*(F.coalesce(F.to_json(c) if isinstance(kinds[c], nested) else F.col(c).cast("string"), F.lit("")).alias(c) for c in df.columns))
 
 
+#: The byte order mark, which tells spreadsheet programs that a file is UTF-8.
+MARK = "\ufeff"
+
+
 def write_csv(df: DataFrame, path: str) -> None:
-    """CSV with a header; the byte order mark is the encoding's."""
-    csv_ready(df).write.mode("overwrite").option("header", True).option("encoding", "UTF-8").option("emptyValue", "").csv(path)
+    """CSV with a header in each file, and the byte order mark before it; Spark writes none, so it is part of the first column's name."""
+    ready = csv_ready(df)
+    ready.withColumnRenamed(ready.columns[0], MARK + ready.columns[0]).write.mode("overwrite").option("header", True).option("encoding", "UTF-8").option("emptyValue", "").csv(path)
+
+
+def read_csv(spark: SparkSession, path: str) -> DataFrame:
+    """What :func:`write_csv` wrote, as text."""
+    rows = spark.read.option("header", True).option("encoding", "UTF-8").csv(path)
+    return rows.toDF(*(c.removeprefix(MARK) for c in rows.columns)).na.fill("")
+
+
+def work_folder(spark: SparkSession, name: str) -> str:
+    """A new folder that all executors see: under spark.checkpoint.dir, or for a local master without it, a temporary one."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="corpusloom-work-")
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
 
 def routed(df: DataFrame, kind: str, route: str, path: str) -> None:
