@@ -55,7 +55,7 @@ LEAST_AGREEING = 117
 #: Keys shared with the least class from which that pair is tried first. Only order depends on it, no link does.
 FIRST_TRY = 5
 #: Classes of a key that are compared with each other.
-BLOCK = 4096
+BLOCK = 512
 #: Full sets in a block of a family.
 CELL = 512
 #: Buckets in which shingles are counted to order them.
