@@ -45,15 +45,18 @@ def absolute(base: Column, link: Column) -> Column:
     return F.when(link.rlike(r"^[a-zA-Z][a-zA-Z0-9+.-]*:"), link).when(link.startswith("//"), F.concat(F.regexp_extract(base, "^([a-z]+:)", 1), link)).when(link.startswith("/"), F.concat(host, link)).otherwise(F.concat(F.regexp_replace(folder, "([^/])$", "$1/"), link))
 
 
-class _Longest(HTMLParser):
-    """Keeps the text of every open container, and the longest that closed."""
+class _Containers(HTMLParser):
+    """Keeps a page's text in pieces, and where containers that closed begin and end in it; those within another one are dropped.
+
+    A container's text is never longer than that of one around it, so each piece is joined once, however deep containers nest.
+    """
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, list[str]]] = []
+        self.open: list[tuple[str, int]] = []
         self.skip = 0
-        self.all: list[str] = []
-        self.best = ""
+        self.pieces: list[str] = []
+        self.closed: list[tuple[int, int]] = []
 
     def handle_starttag(self, tag, attrs):
         if tag in SKIPPED:
@@ -61,25 +64,27 @@ class _Longest(HTMLParser):
         elif tag in BREAKS:
             self.handle_data("\n")
         if tag in CONTAINERS:
-            self.open.append((tag, []))
+            self.open.append((tag, len(self.pieces)))
 
     def handle_endtag(self, tag):
         if tag in SKIPPED:
             self.skip = max(0, self.skip - 1)
         if tag in CONTAINERS and any(t == tag for t, _ in self.open):
             while self.open:
-                name, parts = self.open.pop()
-                text = tidy("".join(parts))
-                if name != "body" and len(text) > len(self.best):
-                    self.best = text
+                name, start = self.open.pop()
+                if name != "body":
+                    while self.closed and self.closed[-1][0] >= start:
+                        self.closed.pop()
+                    self.closed.append((start, len(self.pieces)))
                 if name == tag:
                     break
 
     def handle_data(self, data):
         if not self.skip:
-            self.all.append(data)
-            for _, parts in self.open:
-                parts.append(data)
+            self.pieces.append(data)
+
+    def text(self, start: int = 0, end: int | None = None) -> str:
+        return tidy("".join(self.pieces[start:end]))
 
 
 def tidy(text: str) -> str:
@@ -88,13 +93,14 @@ def tidy(text: str) -> str:
 
 def main_text(html: str | None, least: int = 200) -> str:
     """The longest container's text, or the whole page's if that has fewer than ``least`` characters."""
-    parser = _Longest()
+    parser = _Containers()
     parser.feed(html or "")
     parser.close()
-    for _, parts in parser.open:
-        text = tidy("".join(parts))
-        parser.best = max(parser.best, text, key=len) if len(parser.open) > 1 else parser.best
-    return parser.best if len(parser.best) >= least else tidy("".join(parser.all))
+    texts = [parser.text(*span) for span in parser.closed]
+    if len(parser.open) > 1:  # of containers that were never closed, the outermost
+        texts.append(parser.text(parser.open[0][1]))
+    best = max(texts, key=len, default="")
+    return best if len(best) >= least else parser.text()
 
 
 def with_main_text(pages: DataFrame, html: str = "html", least: int = 200) -> DataFrame:
