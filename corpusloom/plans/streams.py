@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from corpusloom.plans.registry import query
+from corpusloom.sources import sinks
 from corpusloom.sources.readers import table
 from corpusloom.streaming import events
 
@@ -78,13 +77,21 @@ def fan_in(spark, sf_dir):
     return _events(spark, sf_dir).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("user_id").alias("users"))
 
 
+def _log(spark, sf_dir):
+    # a stream reads folders: the pattern is the table's own files
+    return spark.readStream.schema(spark.read.parquet(f"{sf_dir}/events.parquet").schema).option("pathGlobFilter", "*").parquet(f"{sf_dir}/events.parquet*")
+
+
 @query("""select event_type, count(*) as n, round(sum(value), 4) as total from events group by event_type""")
 def stream_replay(spark, sf_dir):
     """The log as a stream from its start, aggregated, equal to the batch (Q1)."""
-    log = spark.read.parquet(f"{sf_dir}/events.parquet")
-    name = f"replay_{uuid.uuid4().hex[:8]}"
-    # a stream reads folders: the pattern is the table's own files
-    stream = spark.readStream.schema(log.schema).option("pathGlobFilter", "*").parquet(f"{sf_dir}/events.parquet*")
-    run = stream.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total")).writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
-    run.awaitTermination()
-    return spark.table(name).select("event_type", "n", F.round("total", 4).alias("total"))
+    totals = _log(spark, sf_dir).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
+    return events.settled(totals, sinks.work_folder(spark, "replay")).select("event_type", "n", F.round("total", 4).alias("total"))
+
+
+@query("""with g as (select user_id, ts, case when ts - lag(ts) over (partition by user_id order by ts) < interval 1 hour then 0 else 1 end as new from events), s as (select user_id, ts, sum(new) over (partition by user_id order by ts rows unbounded preceding) as nth from g)
+select user_id, min(ts) as started, max(ts) as last, count(*) as n from s group by user_id, nth""")
+def stream_idle(spark, sf_dir):
+    """Sessions that an idle hour ends, over the log as a stream (Q4)."""
+    sessions = events.idle_sessions(_log(spark, sf_dir), "user_id", "ts", "1 hour", "30 days")
+    return events.settled(sessions, sinks.work_folder(spark, "idle")).select("user_id", F.col("started").cast("timestamp_ntz").alias("started"), F.col("last").cast("timestamp_ntz").alias("last"), "n")

@@ -79,6 +79,9 @@ def sink_once(path: str, key: str):
 def until_terminal_stream(stream: DataFrame, key: str, order: str, kind: str, terminal: Sequence[str], keep_ms: int = 30 * 60 * 1000) -> DataFrame:
     """Streaming form of :func:`sequenced` with :func:`until_terminal`: adds seq; what follows a terminal event goes.
 
+    Events are put in order within a micro-batch only: one that comes in a later batch gets a later seq, whatever its order says, and
+    goes if its key's terminal event came in an earlier batch. Sources that keep a key's order (one partition a key) need no more.
+
     State is two values a key, dropped ``keep_ms`` after its last event. With the availableNow trigger, set
     spark.sql.streaming.noDataMicroBatches.enabled to false: timeouts ask for further batches without end.
     """
@@ -102,3 +105,19 @@ def until_terminal_stream(stream: DataFrame, key: str, order: str, kind: str, te
         state.setTimeoutDuration(keep_ms)
 
     return stream.groupBy(key).applyInPandasWithState(run, schema, "seq long, closed boolean", "append", GroupStateTimeout.ProcessingTimeTimeout)
+
+
+def idle_sessions(stream: DataFrame, key: str, at: str, gap: str, late: str) -> DataFrame:
+    """(key, started, last, n) of each key's sessions: an event ends a session if ``gap`` passes without another.
+
+    Events may come ``late`` at most; a session's state goes when that has passed too.
+    """
+    out = stream.withColumn(at, F.col(at).cast("timestamp")).withWatermark(at, late).groupBy(F.session_window(at, gap).alias("window"), key).agg(F.min(at).alias("started"), F.max(at).alias("last"), F.count(F.lit(1)).alias("n"))
+    return out.drop("window")
+
+
+def settled(totals: DataFrame, folder: str) -> DataFrame:
+    """The whole result of an aggregated stream when all its input has been read, written to a folder and read from there."""
+    write = lambda batch, _: batch.write.mode("overwrite").parquet(folder)
+    totals.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", f"{folder}-checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return totals.sparkSession.read.schema(totals.schema).parquet(folder)

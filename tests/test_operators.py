@@ -153,3 +153,16 @@ def test_terminal_stream(spark, tmp_path):
     run = stream.writeStream.format("memory").queryName("until_terminal").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     assert run.awaitTermination(60)
     assert sorted((r["job"], r["at"], r["seq"]) for r in spark.table("until_terminal").collect()) == [(1, 1, 1), (1, 2, 2), (2, 1, 1)]
+
+
+def test_order_over_batches(spark, tmp_path):
+    """A late event of a later batch comes after; what follows a terminal event of an earlier batch goes."""
+    schema = "job int, at int, kind string"
+    log, out = str(tmp_path / "log"), str(tmp_path / "out")
+    spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")
+    for batch in ([(1, 5, "x"), (2, 1, "done")], [(1, 3, "x"), (1, 4, "x"), (2, 0, "x")]):
+        frame = spark.createDataFrame(batch, schema).coalesce(1)
+        frame.write.mode("append").parquet(log)
+        stream = events.until_terminal_stream(events.replay(spark, log, frame.schema), "job", "at", "kind", ["done"])
+        stream.writeStream.format("parquet").option("path", out).outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination(60)
+    assert sorted((r["job"], r["at"], r["seq"]) for r in spark.read.parquet(out).collect()) == [(1, 3, 2), (1, 4, 3), (1, 5, 1), (2, 1, 1)]
