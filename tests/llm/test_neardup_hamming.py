@@ -83,16 +83,15 @@ def test_deduplicated_by_row(spark):
     rows = [(5, " ".join(words), "a"), (5, "another text that is like no other here", "b"), (5, "another text that is like no other here", "a"), (7, near, "a"), (None, near, "a"), (None, "lone words without any id at all", "a"), (None, "lone words without any id at all", "b"), (8, None, "a"), (8, None, "b")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, goes string").withColumn("__id", F.lit(1)).withColumn("__maybe", F.lit("m")).withColumn("row", F.lit(2)).withColumn("key", F.lit(3)).withColumn("th", F.lit(4)).withColumn("a.b", F.lit(5))
     want = [(None, "lone words without any id at all", "a"), (5, " ".join(words), "a"), (5, "another text that is like no other here", "a"), (8, None, "a"), (8, None, "b")]
-    for order in ("goes", F.desc("goes")):
-        got = nd.deduplicated(docs.orderBy(order))
-        assert got.columns == docs.columns
-        assert sorted(map(tuple, got.collect()), key=str) == sorted(((*r, 1, "m", 2, 3, 4, 5) for r in want), key=str)
+    got = nd.deduplicated(docs.orderBy(F.desc("goes")))
+    assert got.columns == docs.columns
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(((*r, 1, "m", 2, 3, 4, 5) for r in want), key=str)
 
 
 def test_deduplicated_without_filter(spark, monkeypatch):
-    want = sorted(map(tuple, nd.deduplicated(documents(spark)).collect()), key=str)
     monkeypatch.setattr(nd, "MOST_FILTER_BITS", 4)
-    assert sorted(map(tuple, nd.deduplicated(documents(spark)).collect()), key=str) == want
+    groups = brute([(r["doc_id"], r["text"]) for r in documents(spark).collect()])
+    assert sorted(r["doc_id"] for r in nd.deduplicated(documents(spark)).collect()) == sorted({c for _, _, c in groups})
 
 
 def test_sets_with_one_name(spark, monkeypatch):
