@@ -10,8 +10,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from corpusloom.functions.rules import Rules, cascade, has_any, hits, let, tags
-from corpusloom.functions.text import clean_line, clean_text, strip, text_of
+from corpusloom.functions.rules import Rules, cascade, has_any, hits, tags
+from corpusloom.functions.text import clean_line, clean_text, let, strip, text_of
 
 # Marks that a broken number may stand before or after.
 _AFTER_NUMBER, _BEFORE_NUMBER = "年月日时分秒次条项款届号期％%、〕）)", "年月日〔（(第"

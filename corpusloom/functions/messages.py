@@ -10,8 +10,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from corpusloom.functions.rules import let
-from corpusloom.functions.text import text_of
+from corpusloom.functions.text import let, text_of
 
 # Blocks that hold thoughts.
 THOUGHTS = ("thinking", "reasoning")

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from corpusloom.functions.text import let
+
 # Digits and units of Chinese numerals.
 DIGITS = {"零": 0, "○": 0, "〇": 0, "一": 1, "二": 2, "两": 2, "三": 3, "四": 4, "五": 5, "六": 6, "七": 7, "八": 8, "九": 9}
 UNITS = {"十": 10, "百": 100, "千": 1000, "万": 10000}
@@ -33,9 +35,11 @@ def _group(c: Column) -> Column:
 
 def to_int(c: Column) -> Column:
     """The value of a Chinese or decimal numeral, null for other text."""
-    groups = F.transform(F.split(c, "万"), _group)
-    myriads = F.aggregate(F.slice(groups, F.lit(1), F.greatest(F.size(groups) - 1, F.lit(0))), F.lit(0).cast("long"), lambda a, x: a + x)
-    return F.when(c.rlike(r"^\d+$"), F.try_to_number(c, F.lit("9" * 18)).cast("long")).when(c.rlike(f"^[{_CLASS}]+$"), myriads * UNITS["万"] + F.element_at(groups, -1))
+    def worth(groups: Column) -> Column:
+        myriads = F.aggregate(F.slice(groups, F.lit(1), F.greatest(F.size(groups) - 1, F.lit(0))), F.lit(0).cast("long"), lambda a, x: a + x)
+        return myriads * UNITS["万"] + F.element_at(groups, -1)
+
+    return F.when(c.rlike(r"^\d+$"), F.try_to_number(c, F.lit("9" * 18)).cast("long")).when(c.rlike(f"^[{_CLASS}]+$"), let(F.transform(F.split(c, "万"), _group), worth))
 
 
 def from_int(n: Column) -> Column:
@@ -48,19 +52,25 @@ def from_int(n: Column) -> Column:
     return F.when(n == 0, "零").when(n.between(1, 9999), out)
 
 
+def _parts(c: Column) -> Column:
+    """Struct of an article's number and the text of its supplement."""
+    bare = F.regexp_replace(F.coalesce(c, F.lit("")), "[《》第条 ]", "")
+    return let(bare, lambda b: F.struct(to_int(F.substring_index(b, "之", 1)).alias("number"), F.regexp_extract(b, "^[^之]*之(.*)$", 1).alias("more")))
+
+
 def article_key(c: Column) -> Column:
     """An article number as a comparison key: 第五百三十三条之一, 第533条之1 and 533之一 are 533之1; other text stays, trimmed."""
-    bare = F.regexp_replace(F.coalesce(c, F.lit("")), "[《》第条 ]", "")
-    core, more = F.substring_index(bare, "之", 1), F.regexp_extract(bare, "^[^之]*之(.*)$", 1)
-    number = to_int(core)
-    tail = F.when(more == "", "").otherwise(F.concat(F.lit("之"), F.coalesce(to_int(more).cast("string"), more)))
-    return F.when(number.isNull(), F.trim(F.coalesce(c, F.lit("")))).otherwise(F.concat(number.cast("string"), tail))
+    def key(x: Column) -> Column:
+        tail = F.when(x["more"] == "", "").otherwise(F.concat(F.lit("之"), let(to_int(x["more"]), lambda n: F.coalesce(n.cast("string"), x["more"]))))
+        return F.when(x["number"].isNull(), F.trim(F.coalesce(c, F.lit("")))).otherwise(F.concat(x["number"].cast("string"), tail))
+
+    return let(_parts(c), key)
 
 
 def article_name(c: Column) -> Column:
     """An article number in its standard form 第X条, with 之X after it; other text stays, trimmed."""
-    bare = F.regexp_replace(F.coalesce(c, F.lit("")), "[《》第条 ]", "")
-    core, more = F.substring_index(bare, "之", 1), F.regexp_extract(bare, "^[^之]*之(.*)$", 1)
-    name = from_int(to_int(core))
-    tail = F.when(more == "", "").otherwise(F.concat(F.lit("之"), F.coalesce(from_int(to_int(more)), more)))
-    return F.when(name.isNull(), F.trim(F.coalesce(c, F.lit("")))).otherwise(F.concat(F.lit("第"), name, F.lit("条"), tail))
+    def name(x: Column) -> Column:
+        tail = F.when(x["more"] == "", "").otherwise(F.concat(F.lit("之"), let(from_int(to_int(x["more"])), lambda n: F.coalesce(n, x["more"]))))
+        return let(from_int(x["number"]), lambda n: F.when(n.isNull(), F.trim(F.coalesce(c, F.lit("")))).otherwise(F.concat(F.lit("第"), n, F.lit("条"), tail)))
+
+    return let(_parts(c), name)

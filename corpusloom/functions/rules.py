@@ -6,12 +6,12 @@ narrow projection that Catalyst keeps inside the scan's stage.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from corpusloom.functions.text import compact, text_of
+from corpusloom.functions.text import compact, let, text_of
 
 Rules = Mapping[str, Sequence[str]]
 
@@ -155,11 +155,6 @@ def template_relevance(title: Column, number: Column, keywords: Column, policy:
 PLACEHOLDERS, COUNTED_AGAIN = r"[_＿]{2,}|□|（\s*）|\(\s*\)|年\s*月\s*日", "[_＿□]"
 
 
-def let(value: Column, then: Callable[[Column], Column]) -> Column:
-    """``then`` of a value that is worked out once a row, however often ``then`` names it."""
-    return F.get(F.transform(F.array(value), then), F.lit(0))
-
-
 def placeholder_share(c: Column, pattern: str = PLACEHOLDERS, again: str = COUNTED_AGAIN, tight: Column | None = None) -> Column:
     """Share of placeholder characters: what ``pattern`` matches plus, counted again, blanks and boxes; at most 1, and 1 for no text.
 

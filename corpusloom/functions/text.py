@@ -6,6 +6,8 @@ White space is Unicode white space (ideographic and no-break spaces included) in
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -15,6 +17,11 @@ def text_of(c: Column) -> Column:
     return F.coalesce(c, F.lit(""))
 
 
+def let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then`` of a value that is worked out once a row, however often ``then`` names it."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def present(c: Column) -> Column:
     """The value, or null if it is empty."""
     return F.nullif(c, F.lit(""))
@@ -286,5 +293,4 @@ def table_markdown(rows: Column, most_columns: int = 6, least_full: float = 0.5)
         whole = F.array_join(F.concat(F.slice(lines, 1, 1), F.array(rule), F.slice(lines, F.lit(2), F.greatest(F.size(lines) - 1, F.lit(0)))), "\n")
         return F.when(F.size(s["rows"]) == 0, "").when(sparse, plain).otherwise(whole)
 
-    once = lambda value, then: F.get(F.transform(F.array(value), then), F.lit(0))
-    return once(once(tidy, shaped), said)
+    return let(let(tidy, shaped), said)
