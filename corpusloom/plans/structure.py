@@ -165,3 +165,13 @@ def split_tables(spark, sf_dir):
     """Tables in pieces within a budget, each with the header."""
     lines = _numbered(spark, sf_dir, F.concat(F.lit("| "), F.lpad(F.col("n").cast("string"), 4, "0"), F.lit(" |")))
     return packing.split_tables(lines, "l_orderkey", "pos", "line", 1, 40)
+
+
+@query(_NUMBERED + """, c as (select l_orderkey, n, '第' || n || '条' as number, '标的' || q as title, '第' || (n - (n - 1) % 3) || '部分 货物' as p, n - (n - 1) % 3 as first, '第' || n || '条 标的' || q || chr(10) || '1.1 小项' || chr(10) || '续' as text from i)
+select l_orderkey, row_number() over (partition by l_orderkey order by n) as nth, number, title,
+  array_to_string(list_transform(list_filter(range(1, 40, 3), lambda k: k <= first and k > first - 12), lambda k: '第' || k || '部分 货物'), ' / ') as section_path, text from c""")
+def template_clauses(spark, sf_dir):
+    """Clauses of contract templates below the last four part headings, with numbers inside them."""
+    n = F.col("n")
+    lines = _numbered(spark, sf_dir, F.when(n % 3 == 1, F.concat(F.lit("第"), n, F.lit("部分 货物"))), F.concat(F.lit("第"), n, F.lit("条  标的"), "q"), F.lit("1.1 小项"), F.lit("续")).withColumn("title", F.lit("某合同"))
+    return laws.template_rows(lines, "l_orderkey", "pos", "line", "title")

@@ -335,3 +335,15 @@ def test_let_and_shares(spark):
     assert one(spark, rules.placeholder_share(F.col("t")), t="") == 1.0
     assert one(spark, text.compact(F.col("t")), t="a　b  c\n") == "abc"
     assert math.isclose(one(spark, rules.placeholder_share(F.col("t")), t="年 月 日abc"), 0.5)
+
+
+def test_template_clauses():
+    lines = ["使用说明", "本示范文本供当事人参考使用，双方可以作出调整。", "根据《某法》订立本合同，当事人应当遵守下列约定：", "通用条款", "第一条 标的", "1.1 小项", "1. 价款", "短", "第二章 杂项", "2.1 通知：书面", "x", "第三条 a"]
+    assert sections.template_clauses(lines) == [
+        ("", "", "使用说明", lines[1]),
+        ("", "", "合同正文", lines[2]),
+        ("第一条", "标的", "合同正文 / 通用条款", "第一条 标的\n1.1 小项\n1. 价款\n短"),
+        ("2.1", "通知：书面", "合同正文 / 通用条款 / 第二章 杂项", "2.1 通知：书面\nx"),
+    ]
+    assert sections.template_clauses(["没有条号"], "某文本") == [("", "某文本", "未编号文本", "没有条号")]
+    assert sections.template_clauses([]) == []
