@@ -120,3 +120,10 @@ def distribution(df: DataFrame, column: str, levels: Sequence[str], none: str) -
 def failures(df: DataFrame, labels: Sequence[str] = LABELS) -> DataFrame:
     """Rows that failed or whose label is below the gold one."""
     return df.filter(~F.col("success") | (_level(F.col("predicted"), labels) < _level(F.col("gold"), labels)))
+
+
+def report(df: DataFrame, group: str) -> DataFrame:
+    """(group, metric, value) of all rates, a row each, for a metrics file."""
+    out = rates(df, [group])
+    values = [c for c in out.columns if c != group]
+    return out.select(group, *(F.col(c).cast("double").alias(c) for c in values)).unpivot(group, values, "metric", "value")

@@ -7,8 +7,9 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from corpusloom.operators.windows import keep_least
 
@@ -59,3 +60,19 @@ def audit(table: DataFrame, checks: Mapping[str, Column], unique: Mapping[str, S
         lost = table.filter(F.col(column).isNotNull()).join(parent.select(F.col(key).alias(column)).distinct(), column, "left_anti").agg(F.count(F.lit(1)).alias("violations"))
         counted = counted.unionByName(lost.select(F.lit(name).alias("constraint"), "violations"))
     return counted
+
+
+def migrated(table: DataFrame, schema: StructType, defaults: Mapping[str, object] | None = None) -> DataFrame:
+    """A table of an older shape in a newer one: columns that are missing have their default, or null; others are cast and stay last."""
+    own = {c: F.col(f"`{c}`") for c in table.columns}
+    made = [own.get(f.name, F.lit((defaults or {}).get(f.name))).cast(f.dataType).alias(f.name) for f in schema.fields]
+    return table.select(*made, *(c for n, c in own.items() if n not in schema.names))
+
+
+def ensure_table(spark: SparkSession, name: str, schema: StructType) -> None:
+    """Creates a catalog table if it isn't there, and adds columns that it lacks; run again, it changes nothing."""
+    columns = lambda fields: ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
+    spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({columns(schema.fields)}) USING parquet")
+    there = set(spark.table(name).columns)
+    if lacking := [f for f in schema.fields if f.name not in there]:
+        spark.sql(f"ALTER TABLE {name} ADD COLUMNS ({columns(lacking)})")

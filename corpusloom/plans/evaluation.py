@@ -155,3 +155,9 @@ def trace_means(spark, sf_dir):
     """Calls per trace."""
     c = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.filter(F.collect_list("role"), lambda r: r != "system").alias("calls"))
     return aggregates.trace_counts(c, "conv_id", "calls")[1]
+
+
+@query(_RATES + "select system, metric, value from (unpivot (select system, columns(* exclude (system))::double from m) on columns(* exclude (system)) into name metric value value)")
+def eval_report(spark, sf_dir):
+    """All rates of both systems as rows, for a metrics file."""
+    return evaluation.report(runs(spark, sf_dir), "system")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from corpusloom.operators import joins, store
 from corpusloom.plans.registry import query
@@ -187,3 +188,10 @@ def dataset_merge(spark, sf_dir):
     """Two datasets by id, the generated row where both have it (E18): even ids exist, all but each second of those are generated."""
     d = table(spark, sf_dir, "documents").select("doc_id", "source")
     return joins.merged_datasets(d.filter("doc_id % 2 = 0").withColumn("origin", F.lit("existing")), d.filter("doc_id % 4 <> 2").withColumn("origin", F.lit("generated")), "doc_id")
+
+
+@query("""select doc_id, coalesce(n_chars, 0)::bigint as n_chars, 'active' as status, null::varchar as note, source from documents""")
+def migrated_table(spark, sf_dir):
+    """A table of an older shape in the newer one."""
+    wanted = StructType([StructField("doc_id", LongType()), StructField("n_chars", LongType()), StructField("status", StringType()), StructField("note", StringType())])
+    return store.migrated(table(spark, sf_dir, "documents").select("source", "n_chars", "doc_id"), wanted, {"status": "active"})

@@ -347,3 +347,16 @@ def test_template_clauses():
     ]
     assert sections.template_clauses(["没有条号"], "某文本") == [("", "某文本", "未编号文本", "没有条号")]
     assert sections.template_clauses([]) == []
+
+
+def test_tables_are_made_once(spark):
+    from pyspark.sql.types import LongType, StringType, StructField, StructType
+
+    from corpusloom.operators import store
+
+    old = StructType([StructField("id", LongType())])
+    spark.sql("DROP TABLE IF EXISTS made_once")
+    for schema in (old, old, StructType([*old.fields, StructField("name", StringType())]), old):
+        store.ensure_table(spark, "made_once", schema)
+    assert spark.table("made_once").columns == ["id", "name"] and spark.table("made_once").count() == 0
+    spark.sql("DROP TABLE made_once")
