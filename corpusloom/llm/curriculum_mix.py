@@ -6,8 +6,8 @@ cumulative demand: with the schedule's integral ``D`` and a document copy whose
 source's target, its position is the time ``t`` with ``D(t) / D(1) = u``. Documents are range-sorted by position.
 
 All of it is DataFrame expressions. Running sums within a source, however large, are two-level: a source's documents are
-dealt to 16^``SLOT_DIGITS`` slots by the front of their md5, the slots are summed, and only the slot totals and the documents of
-one slot are ever ordered together. So one source with a third of all rows is many tasks, not one. :func:`mix_table` counts words
+dealt to 16^``SLOT_DIGITS`` slots by the front of their md5, the slots are summed, and only the totals of slots with one front, of a
+source's fronts, and the documents of one slot are ever ordered together. So one source with a third of all rows is many tasks, not one. :func:`mix_table` counts words
 in one scan of the texts, writes them, and reads only narrow columns from then on; :func:`curriculum` reads the texts once to sum
 the slots and once to deal them out.
 
@@ -110,8 +110,13 @@ def _placed(sized: DataFrame, weights, share, most) -> DataFrame:
     totals = kept(sized.groupBy("key", "source", "slot").agg(F.sum("size").alias("slot_size"), F.count(F.lit(1)).alias("slot_rows")), "slots")
     sizes = totals.groupBy("key", "source").agg(F.sum("slot_size").alias("source_size"), F.sum("slot_rows").alias("source_rows"))
     goals = targets(sizes, weights, share, most).select("key", "source_size", "weight_class", "target")
-    before = Window.partitionBy("key").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
-    begins = totals.select("key", "slot", F.coalesce(F.sum("slot_size").over(before), F.lit(0)).alias("slot_begin")).join(goals, "key")
+    # slots are summed up in two steps as well: those of one front, and the fronts of a source
+    totals = totals.withColumn("front", F.substring("slot", 1, (SLOT_DIGITS + 1) // 2))
+    before = lambda *keys: Window.partitionBy(*keys[:-1]).orderBy(keys[-1]).rowsBetween(Window.unboundedPreceding, -1)
+    fronts = totals.groupBy("key", "front").agg(F.sum("slot_size").alias("front_size"))
+    fronts = fronts.select("key", "front", F.coalesce(F.sum("front_size").over(before("key", "front")), F.lit(0)).alias("front_begin")).join(goals, "key")
+    begins = totals.select("key", "front", "slot", F.coalesce(F.sum("slot_size").over(before("key", "front", "slot")), F.lit(0)).alias("in_front")).join(fronts, ["key", "front"])
+    begins = begins.withColumn("slot_begin", F.col("front_begin") + F.col("in_front")).drop("front", "front_begin", "in_front")
     inside = Window.partitionBy("key", "slot").orderBy("draw", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     placed = sized.withColumn("in_slot", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(begins, ["key", "slot"])
     return placed.withColumn("begin", F.col("slot_begin") + F.col("in_slot")).drop("key", "slot", "slot_begin", "in_slot", "draw")
