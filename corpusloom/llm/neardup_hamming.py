@@ -313,10 +313,12 @@ def _late_links(late: DataFrame) -> DataFrame:
     counts = families.groupBy("family", "label").agg(F.count(F.lit(1)).alias("n"))
     pooled = counts.filter(F.col("n") < CELL).groupBy("family").agg(F.sum("n").alias("pool"))
     counts = counts.join(pooled, "family", "left")
-    own = F.col("n") >= CELL
-    placed = families.join(counts, ["family", "label"])
+    own = F.col("size") >= CELL
+    both = F.xxhash64("family", "label")
+    counts = kept(counts.select(both.alias("both"), "n", F.col("n").alias("size"), "pool"), "counts")
+    placed = spread(families.withColumn("both", both), counts, "both", ["size", "pool"], families.count())
     # a label of CELL members or more has blocks of its own; smaller labels share blocks
-    placed = placed.select("family", "node", "label", F.when(own, F.col("label")).alias("single"), F.when(own, F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / CELL))).otherwise(F.pmod(F.xxhash64("label"), F.ceil(F.col("pool") / CELL))).alias("part"))
+    placed = placed.select("family", "node", "label", F.when(own, F.col("label")).alias("single"), F.when(own, F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / CELL))).otherwise(F.pmod(F.xxhash64("label"), F.ceil(F.col("pool") / CELL))).alias("part"))
     placed = kept(placed.withColumn("block", F.xxhash64("single", "part")), "placed")
     blocks = placed.select("family", "block", "single").distinct()
     pairs = blocks.join(blocks.select("family", F.col("block").alias("block2"), F.col("single").alias("single2")), "family")
