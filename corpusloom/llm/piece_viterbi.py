@@ -19,7 +19,6 @@ are replaced, all others kept. Memory: a text's words and its ids, at 4 bytes ea
 
 from __future__ import annotations
 
-import math
 import re
 from array import array
 
@@ -65,7 +64,7 @@ class Pieces:
         self.words = _Remembered(self)
         bpe = self.kind == _BPE
         # the last entries are those of a character that no piece covers, -1
-        self.gains = [*([0.0] * len(self.scores) if bpe else self.scores), min(self.scores, default=0.0) - 10.0]
+        self.gains = [*self.scores, min(self.scores, default=0.0) - 10.0]
         self.sizes = [*(len(t) for t in self.texts), 1]
         self.letters = {t for t in self.ids if len(t) == 1}
         self._parts: dict[str, tuple[str, str] | None] = {}
@@ -127,37 +126,56 @@ class Pieces:
                 return False
             symbols[at : at + 2] = [symbols[at] + symbols[at + 1]]
 
-    def best_path(self, text: str) -> list[int]:
-        """The pieces of the best path over a text; -1 for a character that no piece covers.
+    def relaxed(self, text: str, hits) -> list[int]:
+        """The piece that ends the best path to each position, -1 where there is none, by relaxing scores over output links.
 
-        Pieces that end at a position come from the longest to the shortest, as the output links lead; a border's term is looked
-        up only where the score could become better.
+        hits: (end, (piece, size)), a position's from the longest to the shortest. None stands for a score of minus infinity. In a
+        BPE model no score is above 0, so a position that has one is settled.
         """
-        hits = self.automaton.iter(text) if self.ids else ()
-        if not self.letters.issuperset(text):
-            hits = sorted([*hits, *((k, (-1, 1)) for k, c in enumerate(text) if c not in self.letters)], key=lambda h: (h[0], -h[1][1]))
-        bpe, gains, apart = self.kind == _BPE, self.gains, self._apart
-        best, last = [0.0] + [-math.inf] * len(text), [-1] * (len(text) + 1)
+        bpe, gains, apart, settled = self.kind == _BPE, self.gains, self._apart, 0
+        best: list[float | None] = [None] * (len(text) + 1)
+        last = [-1] * (len(text) + 1)
+        best[0] = 0.0
         for end, (k, size) in hits:
+            if end < settled:
+                continue
             begin = end + 1 - size
-            score = best[begin] + gains[k]
-            if score <= best[end + 1]:
+            score = best[begin]
+            if score is None:
                 continue
-            if bpe and begin:
-                before = last[begin]
-                if before < 0 or k < 0:
-                    stay = self._stay(text[begin - self.sizes[before] : begin], text[begin : end + 1])
-                else:
-                    stay = apart.get(before << 20 | k)
-                    if stay is None:
-                        stay = self.apart(before, k)
-                if not stay:
+            if bpe:
+                if begin:
+                    before = last[begin]
+                    if before < 0 or k < 0:
+                        stay = self._stay(text[begin - self.sizes[before] : begin], text[begin : end + 1])
+                    else:
+                        stay = apart.get(before << 20 | k)
+                        if stay is None:
+                            stay = self.apart(before, k)
+                    if not stay:
+                        continue
+                settled = end + 1
+            else:
+                score += gains[k]
+                now = best[end + 1]
+                if now is not None and score <= now:
                     continue
-            best[end + 1], last[end + 1] = score, k
-        out, at = [], len(text)
+            best[end + 1] = score
+            last[end + 1] = k
+        return last
+
+    def best_path(self, text: str) -> list[int]:
+        """The pieces of the best path over a text; -1 for a character that no piece covers."""
+        covered = self.kind == _BPE or self.letters.issuperset(text)
+        last = self.relaxed(text, self.automaton.iter(text)) if covered and self.ids else None
+        if last is None or (text and last[-1] < 0):
+            found = self.automaton.iter(text) if self.ids else ()
+            last = self.relaxed(text, sorted([*found, *((k, (-1, 1)) for k, c in enumerate(text) if c not in self.letters)], key=lambda h: (h[0], -h[1][1])))
+        out, at, sizes = [], len(text), self.sizes
         while at:
-            out.append(last[at])
-            at -= self.sizes[last[at]]
+            k = last[at]
+            out.append(k)
+            at -= sizes[k]
         out.reverse()
         return out
 
