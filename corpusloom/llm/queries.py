@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from corpusloom.llm import chat_prefix, curriculum_mix, jpeg_media, language_mixture, lcp_fingerprint, neardup_hamming, piece_viterbi, quality_fm, token_index, toxicity_counterfactual
+from corpusloom.llm import chat_prefix, curriculum_mix, divergence_audit, grace_dedup, jpeg_media, language_mixture, lcp_fingerprint, neardup_hamming, piece_viterbi, quality_fm, token_index, toxicity_counterfactual
 from corpusloom.llm._learn import held_out
 from corpusloom.llm._store import kept
 
@@ -84,6 +84,16 @@ def op10_neardup_hamming(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup_hamming.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op11_divergence_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far each pair of a language's sources differ, and the terms that tell each source from its language."""
+    return divergence_audit.audit(_table(spark, sf_dir, "documents"))
+
+
+def op13_grace_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact-duplicate group of every document."""
+    return grace_dedup.groups(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -97,6 +107,8 @@ QUERIES = {
         op8_toxicity_counterfactual,
         op9_piece_viterbi,
         op10_neardup_hamming,
+        op11_divergence_audit,
+        op13_grace_dedup,
     )
 }
 
@@ -152,4 +164,35 @@ reach(doc_id, other) as (
   select a, b from sides union select r.doc_id, s.b from reach r join sides s on r.other = s.a)
 select d.doc_id, len(s)::bigint as n_shingles, least(d.doc_id, coalesce(m.low, d.doc_id)) as component_id, d.doc_id <= coalesce(m.low, d.doc_id) as kept
 from sets d left join (select doc_id, min(other) as low from reach group by doc_id) m on d.doc_id = m.doc_id""",
+    "op11_divergence_audit": r"""
+with d as (
+  select row_number() over () as r, coalesce(lang, '') as lang, coalesce(source, '') as source,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') as w from documents),
+each_term as (select r, lang, source, unnest(w) as term from d),
+in_doc as (select r, lang, source, term, count(*) as n from each_term group by all),
+vocabulary as (select lang, term, sum(n)::hugeint as all_n from in_doc group by lang, term having count(*) >= 10),
+by_lang as (select lang, count(*)::hugeint as v, sum(all_n)::hugeint as total from vocabulary group by lang),
+own as (select i.lang, i.source, i.term, sum(i.n)::hugeint as n from in_doc i join vocabulary k on i.lang = k.lang and i.term = k.term group by all),
+sizes as (
+  select g.lang, g.source, coalesce(o.total, 0)::hugeint as total from (select distinct lang, source from d) g
+  left join (select lang, source, sum(n) as total from own group by all) o on g.lang = o.lang and g.source = o.source),
+shares as (
+  select s.lang, s.source, k.term, coalesce(o.n, 0) as n, 1 + (1000000000::hugeint * (coalesce(o.n, 0) + 2)) // (s.total + 2 * l.v) as p,
+    1 + (1000000000::hugeint * (k.all_n + 2)) // (l.total + 2 * l.v) as q
+  from sizes s join by_lang l on s.lang = l.lang join vocabulary k on s.lang = k.lang
+  left join own o on o.lang = s.lang and o.source = s.source and o.term = k.term),
+differences as (select a.lang, a.source, b.source as item, sum(((a.p - b.p) * (a.p - b.p)) // (a.p + b.p)) as value
+  from shares a join shares b on a.lang = b.lang and a.term = b.term and a.source <> b.source group by all),
+pairs as (select a.lang, a.source, 'pair' as part, b.source as item, coalesce(v.value, 0)::bigint as value
+  from sizes a join sizes b on a.lang = b.lang and a.source <> b.source
+  left join differences v on v.lang = a.lang and v.source = a.source and v.item = b.source),
+terms as (select lang, source, 'term' as part, term as item, (((p - q) * (p - q)) // (p + q))::bigint as value from shares where n > 0 and p > q),
+ranked as (select *, (row_number() over (partition by lang, source, part order by value desc, item))::int as rank from (select * from pairs union all select * from terms))
+select lang, source, part, item, value, rank from ranked where part = 'pair' or rank <= 10""",
+    "op13_grace_dedup": r"""
+with normalised as (
+  select doc_id, coalesce(text, '') as text, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') as norm from documents),
+ranked as (
+  select *, row_number() over (partition by norm order by length(text) desc, doc_id nulls last, md5(text)) as nth, count(*) over (partition by norm) as group_size from normalised)
+select doc_id, first_value(doc_id) over (partition by norm order by nth) as keep_id, group_size, nth = 1 as kept, sha256(norm) as text_sha256 from ranked""",
 }
