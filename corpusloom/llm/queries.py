@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from corpusloom.llm import chat_prefix, curriculum_mix, divergence_audit, grace_dedup, jpeg_media, language_mixture, lcp_fingerprint, neardup_hamming, piece_viterbi, quality_fm, token_index, toxicity_counterfactual
+from corpusloom.llm import chat_prefix, curriculum_mix, divergence_audit, grace_dedup, jpeg_media, language_mixture, lcp_fingerprint, neardup_hamming, piece_viterbi, quality_fm, token_alignment, token_index, toxicity_counterfactual
 from corpusloom.llm._learn import held_out
 from corpusloom.llm._store import kept
 
@@ -89,6 +89,11 @@ def op11_divergence_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence_audit.audit(_table(spark, sf_dir, "documents"))
 
 
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's tokens by a byte-level and a SentencePiece vocabulary, aligned and linked."""
+    return token_alignment.alignment(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op13_grace_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact-duplicate group of every document."""
     return grace_dedup.groups(_table(spark, sf_dir, "documents"))
@@ -108,6 +113,7 @@ QUERIES = {
         op9_piece_viterbi,
         op10_neardup_hamming,
         op11_divergence_audit,
+        op12_token_alignment,
         op13_grace_dedup,
     )
 }
