@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import contextvars
 import ctypes
 import tempfile
 import uuid
@@ -32,6 +33,8 @@ def shared_dir(spark: SparkSession) -> str:
             sc.setCheckpointDir(base)
         elif sc.getCheckpointDir() is None:
             sc.setCheckpointDir(base)
+        path = sc._jvm.org.apache.hadoop.fs.Path(base)  # with the scheme that the cluster's settings give it, if it has none
+        base = path.getFileSystem(sc._jsc.hadoopConfiguration()).makeQualified(path).toString()
         _ours[sc.applicationId] = f"{base.rstrip('/')}/corpusloom-{sc.applicationId}"
         atexit.register(_forget, sc, _ours[sc.applicationId])
     return _ours[sc.applicationId]
@@ -47,19 +50,19 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-#: Of each open scope, the folders that end with it.
-_scopes: list[list[str]] = []
+#: Of each open scope of this thread or task, the folders that end with it.
+_scopes: contextvars.ContextVar[tuple[list[str], ...]] = contextvars.ContextVar("scopes", default=())
 
 
 @contextlib.contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
     """A scope at whose end the tables that :func:`kept` wrote in it are deleted, but for those it gave to the scope around it."""
     mine: list[str] = []
-    _scopes.append(mine)
+    before = _scopes.set((*_scopes.get(), mine))
     try:
         yield
     finally:
-        _scopes.remove(mine)
+        _scopes.reset(before)
         for path in mine:
             _forget(spark.sparkContext, path)
 
@@ -72,7 +75,7 @@ def kept(df: DataFrame, name: str, outlives: bool = False) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.parquet(path)
-    around = _scopes[:-1] if outlives else _scopes
+    around = _scopes.get()[:-1] if outlives else _scopes.get()
     if around:
         around[-1].append(path)
     out = spark.read.schema(df.schema).parquet(path)

@@ -12,7 +12,7 @@ in one scan of the texts, writes them, and reads only narrow columns from then o
 the slots and once to deal them out.
 
 Defined results: null text has size 0 and is taken 0 times; a null source is a source of its own, last; a source whose texts
-are all empty has target 0; repeated rows (equal ids) are separate documents, which follow each other; rows without an id are drawn
+are all empty has target 0; repeated rows (equal ids) are separate documents, which follow each other in an order of their texts; rows without an id are drawn
 by their text; an empty table gives no row; other columns are ignored by :func:`mix_table` and kept by :func:`curriculum`, where
 ``mix_position`` and ``mix_pass`` are replaced if present. Memory: a task holds a text and, where the target cuts it, its words.
 """
@@ -99,6 +99,7 @@ def _sized(documents: DataFrame, *carried: Column) -> DataFrame:
     """Of each document (doc_id, source, text): size, its source as a key, its slot there, and ``draw``, its place in the source's fixed order."""
     key = F.coalesce(F.concat(F.lit("="), "source"), F.lit("null"))
     draw = F.md5(F.coalesce(F.col("doc_id").cast("string"), "text", F.lit("")))
+    draw = F.concat(draw, F.md5(F.coalesce("text", F.lit(""))))  # rows that share an id follow each other by their texts
     return documents.select(*carried, "doc_id", "source", key.alias("key"), draw.alias("draw"), words(F.col("text")).alias("size")).withColumn("slot", F.substring("draw", 1, SLOT_DIGITS))
 
 

@@ -13,7 +13,8 @@ No piece has a space sign but at its front (runs of only space signs apart), so
 sign, which are encoded alone; each task remembers the words that it has met, up to ``REMEMBERED``.
 
 Defined results: null text is encoded as empty text, without ids; characters that no piece covers become their UTF-8 bytes'
-pieces; decoding an encoding gives the text back (a model's dummy prefix is taken off again); columns named ids or n_pieces
+pieces; decoding an encoding gives the text back (a model's dummy prefix is taken off again), but for U+2581 in a text, which comes back as a
+space, as with the library; columns named ids or n_pieces
 are replaced, all others kept. Memory: a text's words and its ids, at 4 bytes each, are held at once.
 """
 

@@ -138,7 +138,7 @@ select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || said |
 from running group by conv_id""",
     "op6_curriculum_mix": r"""
 with sized as (
-  select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) as size, md5(coalesce(doc_id::varchar, text, '')) as draw from documents),
+  select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) as size, md5(coalesce(doc_id::varchar, text, '')) || md5(coalesce(text, '')) as draw from documents),
 sizes as (select source, sum(size) as source_size from sized group by source),
 ranked as (
   select *, [5.0, 2.0, 1.0][1 + (row_number() over (order by source nulls last) - 1) % 3]::double as weight, 2.0::double * source_size as cap from sizes),

@@ -12,7 +12,8 @@ and renamed when complete, so a task that is run again replaces its file with th
 all files follow from the documents alone.
 
 Defined results: null text is encoded as empty text, just the end id; a null doc_id is a key like any other, first in order;
-an empty table makes no file; other columns are ignored. Rows of one doc_id follow each other, so they are one task's. Memory:
+an empty table makes no file; other columns are ignored; a folder in a store other than ``STORES`` raises ValueError, as does one without a
+scheme (:func:`stored` takes the shared folder with the scheme that Spark gives it). Rows of one doc_id follow each other, so they are one task's. Memory:
 long texts are encoded in segments of about ``SEGMENT`` characters where they have single spaces to cut at; a text's ids are held.
 """
 
@@ -47,6 +48,8 @@ REMEMBERED = 700_000
 SEGMENT = 1 << 19
 #: Keys of a bucket for each one asked for, up to which its file is read whole.
 WHOLE_FROM = 64
+#: Stores of shard files, by the scheme of their folder. A file:// folder has to be one that all machines share.
+STORES = ("file", "hdfs")
 #: The id that ends a document.
 END_ID = 2
 
@@ -83,6 +86,7 @@ class Encoder(dict):
     def __init__(self, model: str):
         super().__init__()
         self.whole = Tokenizer.from_str(model)
+        self.whole.no_padding()
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         rest = [b for b in range(256) if b not in plain]
         self.letters = {b: b for b in plain} | {b: 256 + k for k, b in enumerate(rest)}
@@ -169,11 +173,19 @@ def _encoder(model: str) -> Encoder:
     return _encoders[model]
 
 
+def _opened(folder: str) -> tuple[fs.FileSystem, str]:
+    """The store and path of a folder with a scheme; a store that pyarrow and Spark wouldn't reach alike raises ValueError."""
+    scheme, _, rest = folder.partition(":")
+    if scheme not in STORES or not rest.startswith("/"):
+        raise ValueError(f"shards can be written to {', '.join(STORES)} only, not to {folder}")
+    return fs.FileSystem.from_uri("file://" + rest if scheme == "file" and not rest.startswith("//") else folder)
+
+
 class _Shard:
     """A file that appears under its name only when it is complete."""
 
     def __init__(self, folder: str, name: str):
-        self.files, base = fs.FileSystem.from_uri(folder)
+        self.files, base = _opened(folder)
         self.files.create_dir(base, recursive=True)
         self.path, self.draft = f"{base}/{name}", f"{base}/.{name}.{uuid.uuid4().hex}"
         self.out = self.files.open_output_stream(self.draft)
@@ -197,6 +209,7 @@ def write_shards(documents: DataFrame, folder: str, tokenizer_path: str, end_id:
 
     offset counts the ids before it in the shard, start those in all shards; n counts the document's, with the end id.
     """
+    _opened(folder)
     with open(tokenizer_path, encoding="utf-8") as f:
         model = f.read()
     modest_batches(documents.sparkSession)
@@ -395,7 +408,7 @@ def lookup(keys: DataFrame, folder: str, buckets: int) -> DataFrame:
     kind = keys.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
-        files, base = fs.FileSystem.from_uri(folder)
+        files, base = _opened(folder)
         for t in _runs(batches, "bucket"):
             h1, h2 = (t.column(c).to_numpy().astype(np.uint64) for c in ("h1", "h2"))
             path = f"{base}/index-{t.column('bucket')[0].as_py():08d}.mph"
@@ -429,7 +442,7 @@ def fetch(places: DataFrame, folder: str, code: str) -> DataFrame:
     places = places.drop("payload")
 
     def run(batches):
-        files, base = fs.FileSystem.from_uri(folder)
+        files, base = _opened(folder)
         opened, file = None, None
         for batch in batches:
             payloads = []
