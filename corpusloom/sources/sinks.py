@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 from collections.abc import Sequence
@@ -45,13 +46,32 @@ def read_csv(spark: SparkSession, path: str) -> DataFrame:
 
 
 def work_folder(spark: SparkSession, name: str) -> str:
-    """A new folder that all executors see: under spark.checkpoint.dir, or for a local master without it, a temporary one."""
+    """A new folder that all executors see: under spark.checkpoint.dir, or for a local master without it, a temporary one.
+
+    It is deleted when the driver's Python ends, if its session hasn't ended before.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="corpusloom-work-")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+    folder = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+    atexit.register(_delete, spark.sparkContext, folder)
+    atexit.register(_delete, spark.sparkContext, f"{folder}-checkpoint")
+    return folder
+
+
+def _delete(sc, folder: str) -> None:
+    if sc._jsc is not None:
+        path = sc._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def held(df: DataFrame, name: str) -> DataFrame:
+    """A table written once and read back: its lineage is cut, and a lost executor loses none of it. It goes when the driver's Python ends."""
+    folder = work_folder(df.sparkSession, name)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
 def routed(df: DataFrame, kind: str, route: str, path: str) -> None:
@@ -76,10 +96,14 @@ def front_matter(**fields: Column) -> Column:
 
 
 def append_new(df: DataFrame, path: str, key: str) -> None:
-    """Appends rows whose key isn't there yet, each key once."""
+    """Appends rows whose key isn't there yet, each key once: of rows with one key the least by all columns, whenever it is run again.
+
+    One writer at a time: two that run side by side may both find a key missing and append it.
+    """
     from corpusloom.sources.readers import exists
 
-    fresh = df.dropDuplicates([key])
+    whole = F.struct(*(F.col(f"`{c}`") for c in df.columns))
+    fresh = df.groupBy(F.col(key).alias("__key")).agg(F.min(whole).alias("__row")).select("__row.*")
     if exists(df.sparkSession, path):
         fresh = fresh.join(df.sparkSession.read.parquet(path).select(key), key, "left_anti")
     fresh.write.mode("append").parquet(path)
