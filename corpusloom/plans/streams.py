@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from corpusloom.plans.registry import query
 from corpusloom.sources import sinks
 from corpusloom.sources.readers import table
-from corpusloom.streaming import events
+from corpusloom.streaming import events, runs
 
 
 def _events(spark, sf_dir):
@@ -95,3 +95,36 @@ def stream_idle(spark, sf_dir):
     """Sessions that an idle hour ends, over the log as a stream (Q4)."""
     sessions = events.idle_sessions(_log(spark, sf_dir), "user_id", "ts", "1 hour", "30 days")
     return events.settled(sessions, sinks.work_folder(spark, "idle")).select("user_id", F.col("started").cast("timestamp_ntz").alias("started"), F.col("last").cast("timestamp_ntz").alias("last"), "n")
+
+
+_PAUSED = """with n as (select user_id as key, event_id as id, event_type as kind, row_number() over (partition by user_id order by ts, event_id) as nth from events),
+s as (select *, coalesce(last_value(case kind when 'error' then true when 'signup' then false end ignore nulls) over (partition by key order by nth rows between unbounded preceding and 1 preceding), false) as waits from n),
+e as (select * from (select *, min(case when kind = 'purchase' and waits then nth end) over (partition by key) as ended from s) where ended is null or nth <= ended),
+k as (select *, waits and kind not in ('signup', 'purchase') as held from e where not (kind = 'error' and waits) and not (kind in ('signup', 'purchase') and not waits)),
+d as (select *, case when not held then nth else min(case when kind = 'signup' then nth end) over (partition by key order by nth rows between 1 following and unbounded following) end as due from k)
+select key, row_number() over (partition by key order by due, held::int, nth) as seq, id, kind from d where due is not null"""
+_KINDS = runs.Kinds(asks=("error",), resumes=("signup",), cancels=("purchase",))
+
+
+def _run_rows(e):
+    return e.select(F.col("user_id").alias("key"), F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), F.col("event_id").alias("id"), F.col("event_type").alias("kind"))
+
+
+@query(_PAUSED)
+def paused_runs(spark, sf_dir):
+    """Runs that wait for an answer, hold what comes and go on, or are cancelled (Q8)."""
+    return runs.replayed(_run_rows(_events(spark, sf_dir)), _KINDS)
+
+
+@query(_PAUSED)
+def stream_paused_runs(spark, sf_dir):
+    """The same over a stream of events and one of answers, in order whatever their micro-batches, with durable state (Q1, Q8)."""
+    folder = sinks.work_folder(spark, "runs")
+    # a row of no run, later than all others, at which the watermark passes them
+    spark.createDataFrame([(-1, 1 << 52, -1, "step")], "key long, at long, id long, kind string").write.parquet(f"{folder}/end")
+    end = lambda: spark.readStream.schema("key long, at long, id long, kind string").parquet(f"{folder}/end")
+    answers = F.col("kind").isin(*_KINDS.resumes, *_KINDS.cancels)
+    both = [_run_rows(_log(spark, sf_dir)).filter(x).unionByName(end()) for x in (~answers, answers)]
+    with runs.durable(spark):
+        runs.settle(runs.streamed(*both, _KINDS), f"{folder}/out", f"{folder}/checkpoint")
+    return spark.read.schema("key long, seq long, id long, kind string").parquet(f"{folder}/out").filter("key != -1")
