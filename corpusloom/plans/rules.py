@@ -104,11 +104,12 @@ _KINDS = {
     3: """'甲方签字 乙方盖章 日期 ' || text""",
     4: """'所称货物是指 ' || replace(replace(translate(text, '$€|@', ''), 'License', ''), 'the', '')""",
     5: """'包括类别 ' || replace(translate(text, '$€|@', ''), 'License', '')""",
-    6: """left(translate(text, '$€|@', ''), 20)""",
 }
+# and short candidates: the sources of all documents, under ids of their own
+_CANDIDATES = "select doc_id, text from documents union all select -1 - doc_id, source from documents"
 
 
-@query("with k as (select doc_id, case doc_id % 7 " + " ".join(f"when {k} then {sql}" for k, sql in _KINDS.items()) + f""" else text end as text from documents),
+@query("with k as (select doc_id, case when doc_id < 0 then text else case doc_id % 7 " + " ".join(f"when {k} then {sql}" for k, sql in _KINDS.items()) + f""" else text end end as text from ({_CANDIDATES})),
 c as (select doc_id, text, {_TIGHT} as tight, {_DIMS} as dims, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '\\S')) as l from k), s as (
   select *, 3 * dims + {' + '.join(f"contains(tight, '{w}')::int" for w in DUTIES)} + case when length(tight) >= 180 then 2 when length(tight) >= 100 then 1 else 0 end as score,
     case when length(tight) = 0 then 1.0 else least(1.0, 2.0 * (length(tight) - length(replace(tight, '□', ''))) / length(tight)) end as blank,
@@ -126,14 +127,15 @@ def rule_filter_reasons(spark, sf_dir):
         3: F.concat(F.lit("甲方签字 乙方盖章 日期 "), "text"),
         4: F.concat(F.lit("所称货物是指 "), F.replace(F.replace(plain, F.lit("License"), F.lit("")), F.lit("the"), F.lit(""))),
         5: F.concat(F.lit("包括类别 "), F.replace(plain, F.lit("License"), F.lit(""))),
-        6: F.left(plain, F.lit(20)),
     }
     text = F.col("text")
     for k, made in kinds.items():
-        text = F.when(F.col("doc_id") % 7 == k, made).otherwise(text)
+        text = F.when((F.col("doc_id") >= 0) & (F.col("doc_id") % 7 == k), made).otherwise(text)
     title = F.when(F.col("doc_id") % 7 == 5, "释义").otherwise("正文")
     judged = rules.let(text, lambda t: rules.clause_judgement(title, t, DIMENSIONS, DUTIES, ("签字", "盖章", "日期", "附件"), ("释义",), "□", "□"))
-    return _docs(spark, sf_dir).select("doc_id", rules.let(judged, lambda j: F.struct(j["score"].alias("score"), F.array_join(j["reasons"], ",").alias("reasons"))).alias("j")).select("doc_id", "j.*")
+    docs = _docs(spark, sf_dir)
+    candidates = docs.select("doc_id", "text").unionAll(docs.select(-1 - F.col("doc_id"), "source"))
+    return candidates.select("doc_id", rules.let(judged, lambda j: F.struct(j["score"].alias("score"), F.array_join(j["reasons"], ",").alias("reasons"))).alias("j")).select("doc_id", "j.*")
 
 
 @query(r"""with m as (select doc_id, regexp_replace(text, '\s+', '', 'g') as tight, list_sum(list_transform(regexp_extract_all(text, '[|%]{2,}|[*]'), lambda x: length(x))) as n from documents)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -101,6 +102,13 @@ def split_oversize(spark, sf_dir):
     return packing.split_documents(_docs(spark, sf_dir), "doc_id", "text", 1500)
 
 
+@query()
+def split_by_tokens(spark, sf_dir):
+    """Oversize documents in pieces of at most 512 tokens of a public byte-level tokenizer."""
+    size = packing.Tokens(public_tokenizers.path("byte_bpe_50k.json"))
+    return packing.split_documents(_docs(spark, sf_dir), "doc_id", "text", 512, size)
+
+
 @query("""with i as (select l_orderkey, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_extendedprice) as item, l_quantity as score, l_returnflag as f, l_linestatus as s from lineitem),
 r as (select *, row_number() over (partition by l_orderkey order by score desc, item) as rank from i), one as (select * from r where rank = 1),
 two as (select r.l_orderkey, arg_min(r.item, (r.f in (one.f, one.s) and r.s in (one.f, one.s), r.rank)) as item from r join one on one.l_orderkey = r.l_orderkey where r.rank > 1 group by r.l_orderkey)
