@@ -120,8 +120,19 @@ LAW = """# 某法
 """
 
 
-def test_law_units():
-    units = sections.law_units(LAW.split("\n"), "某法")
+def _lines(spark, lines, columns="doc int, pos int, line string"):
+    return spark.createDataFrame([(1, k, x) for k, x in enumerate(lines)], columns)
+
+
+def law_units(spark, lines, name="", **how):
+    """(type, label, path, body) of one law's units."""
+    rows = sections.structural_units(_lines(spark, lines), "doc", "pos", "line", name=name, **how).orderBy("nth").collect()
+    assert [r["nth"] for r in rows] == list(range(1, len(rows) + 1))
+    return [(r["type"], r["label"], r["path"], r["body"]) for r in rows]
+
+
+def test_law_units(spark):
+    units = law_units(spark, LAW.split("\n"), "某法")
     assert [(u[0], u[1], u[2]) for u in units] == [
         ("article", "第一条", "第一编 总则 > 第一章 基本规定"),
         ("article", "第二条", "第一编 总则 > 第一章 基本规定"),
@@ -135,18 +146,36 @@ def test_law_units():
 
 def test_law_preamble_annex_and_tables(spark):
     rows = "前面的话\n## 附件一 名单\n列\n## 附表一 税额\n| a |\n**第一条** x\n附件二 又一\ny".split("\n")
-    units = sections.law_units(rows)
+    units = law_units(spark, rows)
     assert units[0] == ("preamble", "", "", "前面的话")
     assert [(u[0], u[2]) for u in units[1:]] == [("section_text", "附件一 名单"), ("table", "附表一 税额"), ("article", "附表一 税额")]
     df = sections.structural_units(spark.createDataFrame([(1, k, x) for k, x in enumerate(rows)], "doc int, pos int, line string"), "doc", "pos", "line")
     assert [r["path"] for r in sections.kept_units(df).orderBy("nth").collect()] == ["", "附表一 税额", "附表一 税额"]
 
 
-def test_long_lead_of_a_table():
-    units = sections.law_units(["## 第一章 x", "长" * 50, "表一：", "| a |"], budget=20)
+def test_long_lead_of_a_table(spark):
+    units = law_units(spark, ["## 第一章 x", "长" * 50, "表一：", "| a |"], budget=20)
     assert [(u[0], u[3]) for u in units] == [("section_text", "长" * 50), ("table", "表一：\n\n| a |")]
 
 
+def test_partial_lead_of_a_table(spark):
+    """Not all of the lead fits: its last lines up to the lead's own limit; of one long line the last sentences; else none."""
+    lines = ["## 第一章 x", "长" * 40, *("行" * 9 for _ in range(4)), "| a |"]
+    assert [u[3] for u in law_units(spark, lines, budget=60, most_lead=25)] == ["\n".join(lines[1:4]), "\n".join(lines[4:6]) + "\n\n| a |"]
+    long = ["## 第一章 x", "长" * 40 + "。" + "短" * 5 + "。见下表：", "| a |"]
+    assert [u[3] for u in law_units(spark, long, budget=30)] == ["长" * 40 + "。", "短短短短短。见下表：\n\n| a |"]
+    assert [u[3] for u in law_units(spark, ["## 第一章 x", "长" * 40, "| a |"], budget=30)] == ["长" * 40, "| a |"]
+
+
+def test_lines_of_no_law(spark):
+    """Null keys are a document, null lines are blank, an empty table gives no unit; other columns don't matter."""
+    rows = [(None, 1, "**第一条** a"), (None, 2, None), (None, 3, "b"), (2, 1, None)]
+    df = spark.createDataFrame(rows, "doc int, pos int, line string").selectExpr("*", "1 as block", "2 as kind", "3 as path")
+    assert [(r["doc"], r["body"]) for r in sections.structural_units(df, "doc", "pos", "line").collect()] == [(None, "**第一条** a\nb")]
+    for f in (sections.structural_units(df.limit(0), "doc", "pos", "line"), sections.parsed_blocks(df.limit(0), "doc", "pos", "line", ("x",), ()), sections.template_rows(df.limit(0).withColumn("title", F.lit("")), "doc", "pos", "line", "title")):
+        assert f.count() == 0
+
+
 def test_theme_sections_of_long_texts(spark):
     body = "\n".join(["第一章 甲", *("行" * 700 + str(k) for k in range(12)), "第二章 乙", "短", "第三章 丙", "长" * 9000])
     rows = sections.theme_sections(spark.createDataFrame([(1, body), (2, None), (3, "无标题" * 100)], "doc int, body string"), "doc", "body").collect()
@@ -159,9 +188,19 @@ def test_theme_sections_of_long_texts(spark):
     assert sum(t.count("长") for t in by[1, "第三章 丙"]) == 9000
 
 
-def test_contract_blocks():
+def contract_blocks(spark, lines, fields, tail):
+    return [(r["type"], r["text"]) for r in sections.parsed_blocks(_lines(spark, lines), "doc", "pos", "line", fields, tail).orderBy("nth").collect()]
+
+
+def test_contract_blocks(spark):
     lines = ["封面", "---", "# 买卖合同", "<h2>第一章</h2>", "| 项目 | 值 |", "|---|---|", "| 质量标准 | 符合国家标准并经双方确认为准 | x |", "附注", "第一条 甲；第二条 乙", "签 字盖章"]
-    assert sections.contract_blocks(lines, ("质量标准",), ("签字",)) == [("paragraph", "第一章"), ("paragraph", "| 项目 | 值 |"), ("heading", "质量标准：符合国家标准并经双方确认为准"), ("paragraph", "第一条 甲"), ("paragraph", "第二条 乙")]
+    assert contract_blocks(spark, lines, ("质量标准",), ("签字",)) == [("heading", "第一章"), ("paragraph", "| 项目 | 值 |"), ("heading", "质量标准：符合国家标准并经双方确认为准"), ("paragraph", "第一条 甲"), ("paragraph", "第二条 乙")]
+
+
+def test_contract_blocks_of_scanned_pages(spark):
+    """Blanks in a field's name, full-width bars, bold article numbers, HTML headings, and what a field's row mutes."""
+    lines = ["| 质 量标准 | 符合国家标准并经双方确认为准 |", "被略去", "甲方义务：付款｜乙方义务：交货", "**第一条** 标的", "<h3>附则</h3>", "买方 ｜ 卖方", "|质量标准：按样品封存的办法执行|其他|", "# 合同尾页", "2. 价款"]
+    assert contract_blocks(spark, lines, ("质量标准",), ()) == [("heading", "质 量标准：符合国家标准并经双方确认为准"), ("paragraph", "第一条 标的"), ("heading", "附则"), ("paragraph", "买方"), ("paragraph", "卖方"), ("heading", "质量标准：按样品封存的办法执行"), ("paragraph", "2. 价款")]
 
 
 def test_interpretations_of_odd_documents(spark):
@@ -337,16 +376,21 @@ def test_let_and_shares(spark):
     assert math.isclose(one(spark, rules.placeholder_share(F.col("t")), t="年 月 日abc"), 0.5)
 
 
-def test_template_clauses():
+def template_clauses(spark, lines, title=None):
+    rows = sections.template_rows(_lines(spark, lines).withColumn("title", F.lit(title)), "doc", "pos", "line", "title").orderBy("nth").collect()
+    return [(r["number"], r["title"], r["section_path"], r["text"]) for r in rows]
+
+
+def test_template_clauses(spark):
     lines = ["使用说明", "本示范文本供当事人参考使用，双方可以作出调整。", "根据《某法》订立本合同，当事人应当遵守下列约定：", "通用条款", "第一条 标的", "1.1 小项", "1. 价款", "短", "第二章 杂项", "2.1 通知：书面", "x", "第三条 a"]
-    assert sections.template_clauses(lines) == [
+    assert template_clauses(spark, lines) == [
         ("", "", "使用说明", lines[1]),
         ("", "", "合同正文", lines[2]),
         ("第一条", "标的", "合同正文 / 通用条款", "第一条 标的\n1.1 小项\n1. 价款\n短"),
         ("2.1", "通知：书面", "合同正文 / 通用条款 / 第二章 杂项", "2.1 通知：书面\nx"),
     ]
-    assert sections.template_clauses(["没有条号"], "某文本") == [("", "某文本", "未编号文本", "没有条号")]
-    assert sections.template_clauses([]) == []
+    assert template_clauses(spark, ["没有条号"], "某文本") == [("", "某文本", "未编号文本", "没有条号")]
+    assert template_clauses(spark, []) == []
 
 
 def test_tables_are_made_once(spark):
