@@ -7,7 +7,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions.text import sentences
-from corpusloom.operators import packing, segments
+from corpusloom.operators import markdown, packing, segments
 from corpusloom.operators import sections as laws
 from corpusloom.plans.registry import query
 from corpusloom.sources.readers import table
@@ -182,3 +182,18 @@ def template_clauses(spark, sf_dir):
     n = F.col("n")
     lines = _numbered(spark, sf_dir, F.when(n % 3 == 1, F.concat(F.lit("第"), n, F.lit("部分 货物"))), F.concat(F.lit("第"), n, F.lit("条  标的"), "q"), F.lit("1.1 小项"), F.lit("续")).withColumn("title", F.lit("某合同"))
     return laws.template_rows(lines, "l_orderkey", "pos", "line", "title")
+
+
+@query(_NUMBERED + """, b as (select l_orderkey, 0 as n, 1 as k, '某合同' as x from i where n = 1 union all select l_orderkey, 0, 2, '## 目录' from i where n = 1
+  union all select l_orderkey, 0, 3, '- 第1章 总则' || chr(10) || '- 第2章 分则' || chr(10) || '- 附件一' from i where n = 1
+  union all select l_orderkey, n, 1, '## 第' || n || '章　' || case n when 1 then '总则' else '分则' end from i where n <= 2 union all select l_orderkey, n, 2, '### 第' || n || '节　货物' from i where n % 2 = 0
+  union all select l_orderkey, n, 3, '**第' || n || '条**　数量' || q || case when n % 3 = 0 then '____；' else '' end from i union all select l_orderkey, 1000, 1, '## 附件一' from i where n = 1)
+select l_orderkey, string_agg(x, chr(10) || chr(10) order by n, k) as markdown from b group by l_orderkey""")
+def text_markdown(spark, sf_dir):
+    """Texts with tables of contents, torn articles, blanks and page numbers as Markdown."""
+    n = F.col("n")
+    start = [F.when(n == 1, x) for x in ("某合同", "目 录", "第1章 总则……1 第2章 分则……7", "附件一 ... 9")]
+    chapter = F.when(n <= 2, F.concat(F.lit("第"), n, F.lit("章 "), F.when(n == 1, "总则").otherwise("分则")))
+    lines = _numbered(spark, sf_dir, *start, chapter, F.when(n % 2 == 0, F.concat(F.lit("第"), n, F.lit("节　货物"))), F.concat(F.lit("第"), n, F.lit("条")), F.when(n % 5 == 0, "- 12 -"), F.concat(F.lit("数量"), "q"), F.when(n % 3 == 0, "____；"))
+    ends = lines.select("l_orderkey").distinct().select("l_orderkey", F.lit(1_000_000).alias("pos"), F.lit("附件一").alias("line"))
+    return markdown.documents(lines.unionByName(ends), "l_orderkey", "pos", "line")
