@@ -40,7 +40,7 @@ from corpusloom.llm.token_index import Encoder
 #: Pairs whose counts are broadcast, at most: each has more than one in so many of all rows.
 HUBS = 200_000
 #: Bytes of text in a block, whose equal parts are aligned once.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 1 << 18
 #: Characters that are tokenised at once.
 ENCODED = 1 << 16
 
@@ -190,24 +190,27 @@ def aligned(blocks: DataFrame, b_size: int) -> DataFrame:
 
     ``pairs`` are a * b_size + b, sorted and distinct; ``times`` says how many links each has.
     """
-    step = blocks.withColumn("cuts", F.array_intersect("a_ends", "b_ends"))
-    step = step.withColumns({**{f"{s}_both": F.sort_array(F.concat(f"{s}_ends", "cuts")) for s in "ab"}, "part_both": F.sort_array(F.concat("cuts", "part_ends"))})
-    step = step.withColumns({f"{s}_until": _until(F.col(f"{s}_both")) for s in ("a", "b", "part")})
-    zero = F.array(F.lit(0))
-    step = step.withColumns({f"{s}_from": F.concat(zero, f"{s}_until") for s in ("a", "b", "part")})
+    given = ["doc_ids", "n_as", "n_bs", "docs"]
+
+    def step(df, keep, new):
+        """Only what later steps read is carried on: each holds a block's row of its own."""
+        return df.select(*given, *keep, *(c.alias(k) for k, c in new.items()))
+
+    sides = [f"{s}_{c}" for c in ("ids", "from", "until") for s in "ab"]
+    at = blocks.withColumn("cuts", F.array_intersect("a_ends", "b_ends"))
+    both = {f"{s}_both": F.sort_array(F.concat(f"{s}_ends", "cuts")) for s in "ab"}
+    at = step(at, ["a_ids", "b_ids"], {**both, "part_both": F.sort_array(F.concat("cuts", "part_ends"))})
+    at = step(at, ["a_ids", "b_ids"], {f"{s}_until": _until(F.col(f"{s}_both")) for s in ("a", "b", "part")})
+    at = step(at, ["a_ids", "b_ids", "a_until", "b_until", "part_until"], {f"{s}_from": F.concat(F.array(F.lit(0)), f"{s}_until") for s in ("a", "b", "part")})
+    parts = ["part_from", "part_until"]
     wide = "int" if b_size <= 1 << 15 else "bigint"
-
     pair = lambda x, y: x.cast(wide) * b_size + y
     # the groups of one token each
-    step = step.withColumns({f"{s}_last": _lets([f"{s}_ids"], lambda ids: F.transform(f"{s}_until", lambda end: F.get(ids, end - 1))) for s in "ab"})
-    upto = F.zip_with("a_until", "b_until", lambda x, y: x + y)
-    step = step.withColumn("upto", upto).withColumn("single", _lets(["upto"], lambda upto: F.transform(upto, lambda x, g: F.when(g == 0, x == 2).otherwise(x - F.get(upto, g - 1) == 2))))
-    step = step.withColumns(
-        {
-            "name": F.zip_with(F.col("a_last").cast("array<string>"), F.col("b_last").cast("array<string>"), lambda x, y: F.concat(x, F.lit("|"), y)),
-            "link": F.zip_with("a_last", "b_last", lambda x, y: F.array(pair(x, y))),
-        }
-    )
+    last = {f"{s}_last": _lets([f"{s}_ids"], lambda ids, s=s: F.transform(f"{s}_until", lambda end: F.get(ids, end - 1))) for s in "ab"}
+    at = step(at, [*sides, *parts], {**last, "upto": F.zip_with("a_until", "b_until", lambda x, y: x + y)})
+    single = _lets(["upto"], lambda upto: F.transform(upto, lambda x, g: F.when(g == 0, x == 2).otherwise(x - F.get(upto, g - 1) == 2)))
+    name = F.zip_with(F.col("a_last").cast("array<string>"), F.col("b_last").cast("array<string>"), lambda x, y: F.concat(x, F.lit("|"), y))
+    at = step(at, [*sides[:4], *parts], {"single": single, "name": name, "link": F.zip_with("a_last", "b_last", lambda x, y: F.array(pair(x, y)))})
 
     def named(ids, first, end):
         return F.array_join(_range(first, end, lambda k: F.get(ids, k).cast("string")), ",")
@@ -222,7 +225,7 @@ def aligned(blocks: DataFrame, b_size: int) -> DataFrame:
         return F.transform("link", lambda link, g: F.when(F.get(single, g), link).otherwise(many(g)))
 
     of_groups = ["single", "a_ids", "b_ids", "a_from", "b_from"]
-    step = step.withColumns({"names": _lets(of_groups, names), "links": _lets(of_groups, links)})
+    at = step(at, parts, {"names": _lets(of_groups, names), "links": _lets(of_groups, links)})
 
     def part(names, links, starts):
         def of(end, k):
@@ -232,8 +235,8 @@ def aligned(blocks: DataFrame, b_size: int) -> DataFrame:
 
         return F.transform("part_until", of)
 
-    step = step.withColumn("found", _lets(["names", "links", "part_from"], part))
-    spread = step.withColumn("mine", _lets(["found"], lambda found: F.transform("docs", lambda d: F.transform(d, lambda p: F.get(found, p)))))
+    at = step(at, [], {"found": _lets(["names", "links", "part_from"], part)})
+    spread = step(at, [], {"mine": _lets(["found"], lambda found: F.transform("docs", lambda d: F.transform(d, lambda p: F.get(found, p))))})
     each = spread.select(F.inline(F.arrays_zip(F.col("doc_ids").alias("doc_id"), F.col("n_as").alias("n_a"), F.col("n_bs").alias("n_b"), F.col("mine").alias("mine"))))
     linked = each.select(
         "doc_id",
