@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions.numerals import article_key
-from corpusloom.functions.text import law_name, text_of
+from corpusloom.functions.text import law_name, let, text_of
+from corpusloom.sources import sinks
 
 
 def accepted(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
@@ -43,18 +44,42 @@ def latest_child(parents: DataFrame, children: DataFrame, key: str, value: str,
     return parents.join(newest, key, "left")
 
 
-def substrings(c: Column) -> Column:
-    """All distinct pieces of a text; for names, as there are about half the square of its length."""
-    n = F.length(c)
-    return F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), n), lambda k: F.transform(F.sequence(F.lit(1), n - k + 1), lambda m: F.substring(c, k, m)))))
+#: Characters of the longest pieces by which names meet.
+PIECE = 4
+
+
+def pieces(c: Column, sizes: Sequence[int]) -> Column:
+    """The distinct pieces of a text of the given sizes: as many as its characters for each size, whatever its length."""
+
+    def of(size: int, letters: Column) -> Column:
+        return F.array_compact(F.transform(letters, lambda x, i: F.concat(x, *(F.get(letters, i + k) for k in range(1, size)))))
+
+    return let(F.regexp_extract_all(c, F.lit("(?s)."), F.lit(0)), lambda letters: F.array_distinct(F.concat(*(of(size, letters) for size in sizes))))
+
+
+def contained(short: DataFrame, long: DataFrame) -> DataFrame:
+    """(name, within) of distinct names where one of ``short`` (name) is a piece of one of ``long`` (within).
+
+    Of a name the piece of ``PIECE`` characters that the fewest longer names have (the name itself, if it is no longer) is looked up
+    among the longer names' pieces, and what meets is compared. A name with a piece that no longer name has is in none.
+    """
+    longer, shorter = long.withColumn("w", F.xxhash64("within")), short.withColumn("s", F.xxhash64("name"))
+    keys = longer.select("w", F.explode(pieces(F.col("within"), range(1, PIECE + 1))).alias("piece"))
+    counts = keys.groupBy("piece").agg(F.count(F.lit(1)).alias("n"))
+    own = F.when(F.length("name") <= PIECE, F.array("name")).otherwise(pieces(F.col("name"), [PIECE]))
+    asked = shorter.select("s", F.explode(own).alias("piece")).join(counts, "piece", "left")
+    rarest = asked.groupBy("s").agg(F.min_by("piece", F.struct("n", "piece")).alias("piece"), F.count_if(F.col("n").isNull()).alias("unknown")).filter("unknown = 0")
+    # pieces carry a hash of their name, not the name; names that share one are told apart here
+    met = rarest.join(keys, "piece").select("s", "w").distinct()
+    return met.join(shorter, "s").join(longer, "w").filter(F.contains("within", F.col("name"))).select("name", "within")
 
 
 def names_within(left: DataFrame, right: DataFrame) -> DataFrame:
-    """(name, other) of distinct names of left and right where one is a piece of the other: equality joins on pieces, not a cross join."""
-    a, b = left.select(F.col("name")).filter("name != ''").distinct(), right.select(F.col("other")).filter("other != ''").distinct()
-    shorter = b.join(a.select("name", F.explode(substrings(F.col("name"))).alias("other")), "other").select("name", "other")
-    longer = a.join(b.select("other", F.explode(substrings(F.col("other"))).alias("name")), "name").select("name", "other")
-    return shorter.union(longer).distinct()
+    """(name, other) of distinct names of left (name) and right (other) where one is a piece of the other."""
+    a, b = left.select("name").filter("name != ''").distinct(), right.select("other").filter("other != ''").distinct()
+    longer = contained(a, b.select(F.col("other").alias("within"))).select("name", F.col("within").alias("other"))
+    shorter = contained(b.select(F.col("other").alias("name")), a.select(F.col("name").alias("within"))).select(F.col("within").alias("name"), F.col("name").alias("other"))
+    return longer.union(shorter.filter("name != other"))
 
 
 def verify_citations(cited: DataFrame, store: DataFrame) -> DataFrame:
@@ -63,18 +88,19 @@ def verify_citations(cited: DataFrame, store: DataFrame) -> DataFrame:
     Exact on normalised law and article first; what is left matches if exactly one law of the store has the same article and a
     name that contains, or is in, the cited one, and without a cited law if just one law has the article. Rows without law and
     article are dropped; verified rows carry the store's text. Names meet once, as distinct names, and then distinct (law, article),
-    so nothing is as large as the citations of an article times the laws that have it.
+    so nothing is as large as the citations of an article times the laws that have it. The distinct (law, article) of both sides are written
+    once, so that no step is planned again in each branch.
     """
     norm = lambda df: df.withColumn("__law", law_name(F.col("law"))).withColumn("__art", article_key(F.col("article")))
     wanted = norm(cited).filter((F.col("__law") != "") | (F.col("__art") != ""))
     known = norm(store).select(F.col("__law").alias("s_law"), F.col("__art").alias("__art"), F.struct("chunk_id", F.col("law").alias("law_name"), F.col("article").alias("article_no"), "article_text").alias("hit"))
-    best = known.groupBy("s_law", "__art").agg(F.min_by("hit", "hit.chunk_id").alias("hit"))
-    pairs = wanted.select("__law", "__art").distinct().join(best.select(F.col("s_law").alias("__law"), "__art", F.col("hit").alias("exact")), ["__law", "__art"], "left")
-    rest = pairs.filter("exact is null and __art != ''")
+    best = sinks.held(known.groupBy("s_law", "__art").agg(F.min_by("hit", "hit.chunk_id").alias("hit")), "articles")
+    pairs = sinks.held(wanted.select("__law", "__art").distinct().join(best.select(F.col("s_law").alias("__law"), "__art", F.col("hit").alias("exact")), ["__law", "__art"], "left"), "cited")
+    rest = pairs.filter("exact is null and __art != ''").select("__law", "__art")
     names = names_within(rest.select(F.col("__law").alias("name")), best.select(F.col("s_law").alias("other")))
-    loose = rest.filter("__law != ''").join(names, F.col("__law") == F.col("name")).select("__law", "__art", F.col("other").alias("s_law")).join(best, ["s_law", "__art"]).select("__law", "__art", "hit")
-    lawless = rest.filter("__law = ''").join(best, "__art").select("__law", "__art", "hit")
-    only = loose.union(lawless).groupBy("__law", "__art").agg(F.count(F.lit(1)).alias("n"), F.min_by("hit", "hit.chunk_id").alias("fuzzy")).filter("n = 1").drop("n")
+    loose = rest.filter("__law != ''").join(names.select(F.col("name").alias("__law"), F.col("other").alias("s_law")), "__law").join(best, ["s_law", "__art"])
+    either = loose.select("__law", "__art", "hit").unionAll(rest.filter("__law = ''").join(best, "__art").select("__law", "__art", "hit"))
+    only = either.groupBy("__law", "__art").agg(F.count(F.lit(1)).alias("n"), F.min_by("hit", "hit.chunk_id").alias("fuzzy")).filter("n = 1").drop("n")
     decided = pairs.join(only, ["__law", "__art"], "left").withColumn("hit", F.coalesce("exact", "fuzzy"))
     how = F.when(F.col("exact").isNotNull(), "exact").when(F.col("fuzzy").isNotNull(), "fuzzy").otherwise("none")
     out = wanted.join(decided.select("__law", "__art", "hit", how.alias("how")), ["__law", "__art"])

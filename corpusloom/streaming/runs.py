@@ -45,7 +45,8 @@ def replayed(rows: DataFrame, kinds: Kinds) -> DataFrame:
     """
     of, order = Window.partitionBy("key"), [F.col("at"), F.col("id")]
     before = of.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    after = of.orderBy(*order).rowsBetween(1, Window.unboundedFollowing)
+    # what follows, read backwards: a running value is enough
+    after = of.orderBy(F.desc("nth")).rowsBetween(Window.unboundedPreceding, -1)
     is_ = lambda names: F.col("kind").isin(*names) if names else F.lit(False)
     turn = F.when(is_(kinds.asks), True).when(is_(kinds.resumes), False)
     known = rows.select("key", "at", "id", F.coalesce("kind", F.lit("")).alias("kind")).filter("key is not null and at is not null")
