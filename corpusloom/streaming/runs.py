@@ -147,17 +147,19 @@ def streamed(events: DataFrame, answers: DataFrame, kinds: Kinds, late: str = "1
 
 
 class durable:
-    """While it is open, the session's streams keep their state in :data:`STORE`."""
+    """While it is open, the session's streams keep their state in :data:`STORE`, and timers that are due when all input is read still go off."""
 
     def __init__(self, spark: SparkSession):
-        self.spark = spark
+        self.spark, self.before = spark, {}
 
     def __enter__(self) -> None:
-        self.before = self.spark.conf.get(_CONF, None)
-        self.spark.conf.set(_CONF, STORE)
+        for key, value in ((_CONF, STORE), ("spark.sql.streaming.noDataMicroBatches.enabled", "true")):
+            self.before[key] = self.spark.conf.get(key, None)
+            self.spark.conf.set(key, value)
 
     def __exit__(self, *_) -> None:
-        self.spark.conf.unset(_CONF) if self.before is None else self.spark.conf.set(_CONF, self.before)
+        for key, value in self.before.items():
+            self.spark.conf.unset(key) if value is None else self.spark.conf.set(key, value)
 
 
 def settle(stream: DataFrame, folder: str, checkpoint: str, max_batches: int | None = None) -> None:
