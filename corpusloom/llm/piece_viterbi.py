@@ -9,8 +9,8 @@ term for each piece and one for each border between two pieces:
   infinity. Greedy merging is decided locally, so the merge order is the only path with a finite score, up to each position, and
   Viterbi gives exactly the library's ids.
 
-No piece has a space sign but at its front (runs of only space signs apart), so a text falls into words with their space
-sign, which are encoded alone; each task remembers the words that it has met, up to ``REMEMBERED``.
+No piece has a space sign but at its front (runs of only space signs apart), and few have an ASCII mark after a letter, so a text
+falls into words with their space sign, and marks that no piece joins to what is before them, which are encoded alone; each task remembers the words that it has met, up to ``REMEMBERED``.
 
 Defined results: null text is encoded as empty text, without ids; characters that no piece covers become their UTF-8 bytes'
 pieces; decoding an encoding gives the text back (a model's dummy prefix is taken off again), but for U+2581 in a text, which comes back as a
@@ -59,9 +59,14 @@ class Pieces:
         self.unknown = next(k for k, p in enumerate(proto.pieces) if p.type == _UNKNOWN)
         self.spelled[self.unknown] = " ⁇ ".encode()
         self.ids = {p.piece: k for k, p in enumerate(proto.pieces) if p.type in (_NORMAL, _USER)}
-        # a run of space signs with the word after it, up to a character that no piece has: nothing merges across these borders
-        never = "".join(map(re.escape, sorted(set(map(chr, range(128))) - set("".join(self.ids)))))
-        self.cut = re.compile(f"{_SIGN}*[^{_SIGN}{never}]+|{_SIGN}+" + (f"|[{never}]" if never else ""))
+        # a run of space signs with the word after it, up to a character that no piece has, or to a mark after a character that it
+        # follows in no piece: nothing merges across these borders
+        known = set("".join(self.ids))
+        marks = {c for c in known if c.isascii() and not c.isalnum()}
+        before = {x for piece in self.ids for x, y in zip(piece, piece[1:]) if y in marks} - {_SIGN}
+        listed = lambda cs: "".join(map(re.escape, sorted(cs)))
+        never, joined = listed(set(map(chr, range(128))) - known), f"|(?<=[{listed(before)}])[{listed(marks)}]" if before else ""
+        self.cut = re.compile(f"{_SIGN}*[^{_SIGN}{never}](?:[^{_SIGN}{never}{listed(marks)}]+{joined})*|{_SIGN}+" + (f"|[{never}]" if never else ""))
         self.words = _Remembered(self)
         bpe = self.kind == _BPE
         # the last entries are those of a character that no piece covers, -1
@@ -70,6 +75,7 @@ class Pieces:
         self.letters = {t for t in self.ids if len(t) == 1}
         self._parts: dict[str, tuple[str, str] | None] = {}
         self._apart: dict[int, bool] = {}
+        self._falling: dict[str, bool] = {}
         self.automaton = ahocorasick.Automaton()
         for text, k in self.ids.items():
             if not bpe or self._whole(text):  # a piece that merging alone doesn't make is never one of BPE's
@@ -107,11 +113,50 @@ class Pieces:
         key = left << 20 | right
         known = self._apart.get(key)
         if known is None:
-            known = self._stay(self.texts[left], self.texts[right])
+            known = self._separate(self.texts[left], self.texts[right])
             if len(self._apart) < REMEMBERED:
                 self._apart[key] = known
         return known
 
+    def _falls(self, piece: str) -> bool:
+        """Whether the merges that make a piece come with falling scores, as in every trained model."""
+        known = self._falling.get(piece)
+        if known is None:
+            made = None if len(piece) == 1 else self._made_of(piece)
+            score = self.scores[self.ids[piece]] if made else 0.0
+            known = len(piece) == 1 or (made is not None and all(self._falls(m) and (len(m) == 1 or self.scores[self.ids[m]] >= score) for m in made))
+            self._falling[piece] = known
+        return known
+
+    def _separate(self, left: str, right: str) -> bool:
+        """What ``_stay`` tells of two pieces, from the merges next to their border alone.
+
+        They are taken back, the latest first (of equal scores the right one, as merging starts at the left). Before each, the two
+        symbols at the border could have merged instead, if their score is better than that merge's, or as good and further left.
+        With falling scores no earlier moment needs a look; pieces with others are merged as a whole.
+        """
+        if not (self._falls(left) and self._falls(right)):
+            return self._stay(left, right)
+        ids, scores, made = self.ids, self.scores, self._made_of
+        if left + right in ids:
+            return False
+        of_left = scores[ids[left]] if len(left) > 1 else None
+        of_right = scores[ids[right]] if len(right) > 1 else None
+        while of_left is not None or of_right is not None:
+            if of_right is None or (of_left is not None and of_left < of_right):
+                left = made(left)[1]
+                pair = ids.get(left + right)
+                if pair is not None and scores[pair] > of_left:
+                    return False
+                of_left = scores[ids[left]] if len(left) > 1 else None
+            else:
+                right = made(right)[0]
+                pair = ids.get(left + right)
+                if pair is not None and scores[pair] >= of_right:
+                    return False
+                of_right = scores[ids[right]] if len(right) > 1 else None
+        return True
+
     def _stay(self, left: str, right: str) -> bool:
         symbols, border = list(left + right), len(left)
         while True:

@@ -194,6 +194,47 @@ def test_unigram_equals_library(spark, tmp_path):
         assert ids == want or theirs - 1e-4 <= ours <= theirs + 1e-6 * abs(theirs)
 
 
+def test_pieces_apart_by_their_border():
+    """What the merges next to a border tell is what merging both texts as a whole gives."""
+    model, rng = pieces(), np.random.default_rng(3)
+    whole = [t for t in model.ids if model._whole(t)]
+    told = set()
+    for _ in range(20_000):
+        text = whole[rng.integers(len(whole))] + whole[rng.integers(len(whole))]
+        at = rng.integers(1, len(text))
+        if text[:at] in model.ids and text[at:] in model.ids and model._whole(text[:at]) and model._whole(text[at:]):
+            assert model._separate(text[:at], text[at:]) == model._stay(text[:at], text[at:])
+            told.add(model._stay(text[:at], text[at:]))
+    assert told == {True, False}
+
+
+def test_pieces_with_rising_scores():
+    """A model in which a later merge has the better score is merged as a whole."""
+    from sentencepiece import sentencepiece_model_pb2 as pb
+
+    proto = pb.ModelProto()
+    proto.trainer_spec.model_type = 2
+    proto.normalizer_spec.remove_extra_whitespaces = False
+    for text, score, kind in [("<unk>", 0, 2), ("a", -9, 1), ("b", -9, 1), ("c", -9, 1), ("ab", -5, 1), ("abc", -1, 1), ("cc", -3, 1), ("bc", -6, 1)]:
+        proto.pieces.add(piece=text, score=score, type=kind)
+    model = piece_viterbi.Pieces(proto.SerializeToString())
+    assert not model._falls("abc") and model._falls("ab")
+    for left in model.ids:
+        for right in model.ids:
+            assert model.apart(model.ids[left], model.ids[right]) == model._stay(left, right)
+
+
+def test_pieces_of_marks():
+    """Words are cut before marks that no piece joins to what is before them; the ids are the library's still."""
+    import sentencepiece
+
+    library, rng = sentencepiece.SentencePieceProcessor(model_file=PIECES), np.random.default_rng(4)
+    signs = np.array(list("ab Z9é²,.;:!?()[]{}\"'`-_/\\*#%&$@+=<>|~^’“”…–— \t\n\u2581語"))
+    for n in rng.integers(1, 40, 3000):
+        text = "".join(rng.choice(signs, n))
+        assert memoryview(pieces().encode(text)).cast("i").tolist() == library.encode(text)
+
+
 def test_pieces_odd_rows(spark):
     rows = piece_viterbi.decoded(piece_viterbi.encoded(odd(spark).withColumn("ids", F.lit("old")), PIECES), PIECES).collect()
     assert all(r["decoded"] == (r["text"] or "") and r["n_pieces"] == len(r["ids"]) for r in rows)
