@@ -12,6 +12,18 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def round_exact(c: Column, places: int) -> Column:
+    """A double rounded by its exact binary value, halves to even: 2.675 is below its half and gives 2.67, 0.125 gives 0.12.
+
+    Spark's round goes by the shortest decimal that names the double, and halves up. NaN and infinities stay, null is null.
+    """
+    if places < 0:
+        raise ValueError("places must not be negative")
+    pattern = "0." + "0" * places if places else "0"
+    usual = F.abs(c) < F.lit(float("inf"))
+    return F.when(usual, F.call_function("format_number", c.cast("double"), F.lit(pattern)).cast("double")).otherwise(c.cast("double"))
+
+
 def text_of(c: Column) -> Column:
     """Null as empty text."""
     return F.coalesce(c, F.lit(""))

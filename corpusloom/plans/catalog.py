@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusloom.plans import artifacts, evaluation, legal, retrieval, rules, store, streams, structure, text, windows  # noqa: F401  they register
+from corpusloom.plans import artifacts, crawl, evaluation, legal, retrieval, rules, store, streams, structure, text, windows  # noqa: F401  they register
 from corpusloom.plans.registry import ORACLES, QUERIES  # noqa: F401
 
 

@@ -195,3 +195,11 @@ def migrated_table(spark, sf_dir):
     """A table of an older shape in the newer one."""
     wanted = StructType([StructField("doc_id", LongType()), StructField("n_chars", LongType()), StructField("status", StringType()), StructField("note", StringType())])
     return store.migrated(table(spark, sf_dir, "documents").select("source", "n_chars", "doc_id"), wanted, {"status": "active"})
+
+
+@query("""with o as (select max(o_orderkey) as last from orders)
+select last + row_number() over (order by l_shipdate, l_orderkey, l_linenumber) as o_orderkey, l_shipdate as o_orderdate, l_orderkey, l_linenumber from lineitem, o""")
+def insert_returning(spark, sf_dir):
+    """Rows inserted with gapless keys after the table's greatest, and given back with them."""
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_shipdate").alias("o_orderdate"), "l_orderkey", "l_linenumber")
+    return store.insert_returning(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate"), rows, "o_orderkey", ["o_orderdate", "l_orderkey", "l_linenumber"])[1]

@@ -277,3 +277,10 @@ def persisted_once(spark, sf_dir):
     for part in (rows.filter("user_id % 2 = 0"), rows.filter("user_id % 2 = 0"), rows):
         events.sink_once(folder, "key")(part, 0)
     return spark.read.parquet(folder).select("user_id", "event_type")
+
+
+@query("""select l_orderkey, l_linenumber, printf('%.2f', l_extendedprice * (1 - l_discount) / 8)::double as eighth, printf('%.1f', l_quantity / 4)::double as quarter, printf('%.0f', l_quantity / 2)::double as half from lineitem""")
+def rounded_exactly(spark, sf_dir):
+    """Doubles rounded by their binary value, halves to even."""
+    price = F.col("l_extendedprice") * (1 - F.col("l_discount")) / 8
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", text.round_exact(price, 2).alias("eighth"), text.round_exact(F.col("l_quantity") / 4, 1).alias("quarter"), text.round_exact(F.col("l_quantity") / 2, 0).alias("half"))

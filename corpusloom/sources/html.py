@@ -38,6 +38,13 @@ def links(html: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.coalesce(html, F.lit("")), F.lit(r"""(?i)<a\b[^>]*?href\s*=\s*["']([^"'#]+)["']"""), F.lit(1)))
 
 
+def anchors(html: Column) -> Column:
+    """A page's links in order, repeated ones too, as (href, title): what stands in the element, without tags, blanks folded."""
+    pattern, text = r"""(?is)<a\b[^>]*?href\s*=\s*["']([^"'#]+)["'][^>]*>(.*?)</a>""", F.coalesce(html, F.lit(""))
+    group = lambda g: F.regexp_extract_all(text, F.lit(pattern), F.lit(g))
+    return F.zip_with(group(1), group(2), lambda href, inner: F.struct(href.alias("href"), F.trim(F.regexp_replace(F.regexp_replace(inner, "<[^>]*>", " "), r"\s+", " ")).alias("title")))
+
+
 def absolute(base: Column, link: Column) -> Column:
     """A link as an absolute URL: with its scheme as it is, from the host, or from the page's folder."""
     host = F.regexp_extract(base, r"^([a-z]+://[^/]+)", 1)
