@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from corpusloom.operators import frontier
+from corpusloom.operators import frontier, records
 from corpusloom.plans.registry import query
+from corpusloom.sources import sinks
 from corpusloom.sources.readers import table
 
 _KEY = "regexp_replace(regexp_replace(trim({0}), '#.*$', ''), '^https://', 'http://', 'i')"
@@ -40,3 +42,40 @@ def crawl_probes(spark, sf_dir):
     """Guessed URLs of further pages of a list."""
     start = frontier.same_page(F.col("url"))
     return table(spark, sf_dir, "pages").select("page_id", F.explode(frontier.probes(start, ("page", "PageIndex", "p"), 2)).alias("url"))
+
+
+@query("""select doc_id, lang as lang_known, case when doc_id % 4 = 1 then null else n_chars end as n_known,
+case when doc_id % 4 = 1 then 'n/' || n_chars end as n_rescued, source as source_rescued, false as malformed from documents
+union all select event_id, null, null, null, null, true from events""")
+def rescued_fields(spark, sf_dir):
+    """JSON records by a schema; unknown fields, values that don't fit it, and what is no record aren't lost (E5)."""
+    d = table(spark, sf_dir, "documents")
+    size = F.when(F.col("doc_id") % 4 == 1, F.to_json(F.struct("lang", F.concat(F.lit("n/"), "n_chars").alias("n"), "source"))).otherwise(F.to_json(F.struct("lang", F.col("n_chars").alias("n"), "source")))
+    broken = table(spark, sf_dir, "events").select(F.col("event_id").alias("doc_id"), F.concat(F.lit("{"), "event_type").alias("json"))
+    rows = records.decoded(d.select("doc_id", size.alias("json")).unionByName(broken), "json", StructType([StructField("lang", StringType()), StructField("n", LongType())]))
+    part = lambda n: F.try_element_at("rescued", F.lit(n))
+    return rows.select("doc_id", F.col("record.lang").alias("lang_known"), F.col("record.n").alias("n_known"), part("n").alias("n_rescued"), part("source").alias("source_rescued"), "malformed")
+
+
+@query("""select doc_id, case when doc_id % 3 = 0 or doc_id % 5 = 0 then text else source end as holding, case when doc_id % 3 = 0 or doc_id % 5 = 0 then lang end as court, doc_id % 3 = 0 or doc_id % 5 = 0 as content_full from documents""")
+def case_records(spark, sf_dir):
+    """Records of a list with their contents, partial ones beyond the quota, settled against a second visit (E5)."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
+    items = d.select("doc_id", F.col("source").alias("holding"))
+
+    def visit(answers):
+        full = F.to_json(F.struct(F.lit(0).alias("code"), F.struct(F.struct(F.col("text").alias("gist"), F.col("lang").alias("court")).alias("data")).alias("data")))
+        response = F.when(answers, full).otherwise(F.lit('{"code": 500, "msg": "quota", "data": null}'))
+        return records.with_content(items, d.select("doc_id", response.alias("response")), "doc_id", {"holding": "gist", "court": "court"})
+
+    return records.settled(visit(F.col("doc_id") % 3 == 0), visit(F.col("doc_id") % 5 == 0), "doc_id")
+
+
+@query("""select source, count(*) as n, sum(coalesce(n_chars, 0)) as chars, (select count(*) from documents) as observed_rows, (select count(*) from documents where n_chars < 500) as observed_short from documents group by source""")
+def observed_write(spark, sf_dir):
+    """A table with counts that come from the pass that writes it (V4, K8)."""
+    folder = sinks.work_folder(spark, "observed")
+    d = table(spark, sf_dir, "documents").select("doc_id", "source", "n_chars")
+    seen = sinks.written(d, folder, short=F.count_if(F.col("n_chars") < 500))
+    sums = spark.read.parquet(folder).groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.sum(F.coalesce("n_chars", F.lit(0))).alias("chars"))
+    return sums.select("*", F.lit(seen["rows"]).cast("long").alias("observed_rows"), F.lit(seen["short"]).cast("long").alias("observed_short"))

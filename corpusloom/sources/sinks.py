@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import atexit
+import logging
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.errors import PySparkException
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQueryListener
 from pyspark.sql.types import ArrayType, MapType, StructType
 
 
@@ -107,3 +110,48 @@ def append_new(df: DataFrame, path: str, key: str) -> None:
     if exists(df.sparkSession, path):
         fresh = fresh.join(df.sparkSession.read.parquet(path).select(key), key, "left_anti")
     fresh.write.mode("append").parquet(path)
+
+
+def written(df: DataFrame, path: str, mode: str = "overwrite", **measures: Column) -> dict[str, object]:
+    """Writes df and gives ``rows`` and the aggregates asked for, from the pass that writes: nothing is scanned a second time."""
+    seen = Observation()
+    df.observe(seen, F.count(F.lit(1)).alias("rows"), *(m.alias(n) for n, m in measures.items())).write.mode(mode).parquet(path)
+    return dict(seen.get)
+
+
+def written_each(tables: Mapping[str, DataFrame], folder: str, told: Callable[[str, int], None] | None = None) -> dict[str, int]:
+    """Writes tables one after another and gives the rows of each; one that fails has -1, and the others go on.
+
+    ``told`` hears of each when it is done. What a table that failed had written is not committed.
+    """
+    counts = {}
+    for name, df in tables.items():
+        try:
+            counts[name] = written(df, f"{folder}/{name}")["rows"]
+        except PySparkException as failure:
+            logging.getLogger(__name__).warning("%s wasn't written: %s", name, str(failure).split("\n", 1)[0])
+            counts[name] = -1
+        if told is not None:
+            told(name, counts[name])
+    return counts
+
+
+class Progress(StreamingQueryListener):
+    """Tells (rows done, batches done) after each micro-batch of the streams of one name, while they run."""
+
+    def __init__(self, name: str, told: Callable[[int, int], None]):
+        self.name, self.told, self.rows, self.batches = name, told, 0, 0
+
+    def onQueryStarted(self, event):
+        pass
+
+    def onQueryProgress(self, event):
+        if event.progress.name == self.name and event.progress.numInputRows:
+            self.rows, self.batches = self.rows + event.progress.numInputRows, self.batches + 1
+            self.told(self.rows, self.batches)
+
+    def onQueryIdle(self, event):
+        pass
+
+    def onQueryTerminated(self, event):
+        pass
