@@ -71,7 +71,7 @@ def case_records(spark, sf_dir):
     return records.settled(visit(F.col("doc_id") % 3 == 0), visit(F.col("doc_id") % 5 == 0), "doc_id")
 
 
-@query("""select source, count(*) as n, sum(coalesce(n_chars, 0)) as chars, (select count(*) from documents) as observed_rows, (select count(*) from documents where n_chars < 500) as observed_short from documents group by source""")
+@query("""select source, count(*) as n, sum(coalesce(n_chars, 0))::bigint as chars, (select count(*) from documents) as observed_rows, (select count(*) from documents where n_chars < 500) as observed_short from documents group by source""")
 def observed_write(spark, sf_dir):
     """A table with counts that come from the pass that writes it (V4, K8)."""
     folder = sinks.work_folder(spark, "observed")
