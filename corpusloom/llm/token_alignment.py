@@ -4,11 +4,10 @@ Tokenizer A is a byte-level BPE file of the tokenizers library and reads a space
 space before the text itself. Tokens of both cover the same bytes; where tokens of A and of B end at the same byte, all before it is cut off as a
 group. Each token of A is linked with each token of B in its group, occurrence by occurrence.
 
-Python only tokenises (:func:`tokenised`). No token of either reaches from one word over a single space into the next, so a text is given as
-the places of its parts, a part being a space and what follows up to the next such place; equal parts of a block of texts are tokenised
-and aligned once. All after that is array functions (:func:`aligned`): the cuts are the ``array_intersect`` of the end arrays; sorted together
-with an end array, a cut shows up as two equal neighbours, whose places are the cuts' token numbers; ``transform`` over ``sequence`` makes of
-these the groups and links, first of each part, then of each text, and ``aggregate`` sums them.
+No token of either reaches from one word over a single space into the next, so a text is a list of parts, a part being a space and what
+follows up to the next such place. A worker remembers the parts that it has met with their groups and links (:class:`Known`), up to ``REMEMBERED``,
+and then begins anew; new parts of a block of texts are tokenised and aligned together, by searching the end arrays in each other. A document's
+numbers are sums over its parts, its groups theirs in a row, its links theirs by pair (:func:`aligned`). Counting, ranking and joining pairs is Spark's.
 
 A pair's count is how many documents hold it linked. Pairs that more than one in ``HUBS`` of all (document, pair) rows have, ``HUBS`` at most,
 are broadcast to the documents, whose rows stay where they are; the rest meets its counts by a join, in which no key has more rows than that.
@@ -16,35 +15,37 @@ are broadcast to the documents, whose rows stay where they are; the rest meets i
 A text that is null or empty, or whose tokens' joined bytes aren't a space and the text for both, has no tokens: all its numbers are 0 and
 its digest is ''. (B writes a space as U+2581, so that a text with U+2581 itself is one of these.) Strings of special tokens are plain text.
 Repeated rows are documents of their own, an empty table gives no row, other columns are ignored.
-Memory: a block is ``BLOCK_BYTES`` of text or one longer text; a task holds its tokens, groups and links at once, about 100 bytes for each of
-its bytes. The links of a group are the product of its tokens, as the result asks.
+Memory: a block is ``BLOCK_BYTES`` of text or one longer text; a task holds its tokens, groups and distinct links at once, about 100 bytes for each of
+its bytes, beside what is remembered. The links of a group are the product of its tokens, as the result asks; they are held as the product of its
+distinct tokens with how often each occurs.
 """
 
 from __future__ import annotations
 
 import re
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 import sentencepiece
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
-from corpusloom.functions.text import let
 from corpusloom.llm._store import give_back, kept, modest_batches, scratch
 from corpusloom.llm.token_index import Encoder
 
 #: Pairs whose counts are broadcast, at most: each has more than one in so many of all rows.
 HUBS = 200_000
-#: Bytes of text in a block, whose equal parts are aligned once.
-BLOCK_BYTES = 1 << 18
+#: Bytes of text in a block, whose new parts are aligned at once, and bytes that a row counts for besides its text.
+BLOCK_BYTES, ROW_BYTES = 1 << 20, 64
 #: Characters that are tokenised at once.
-ENCODED = 1 << 16
+ENCODED = 1 << 12
+#: Parts, and their tokens and links, that a worker remembers before it begins anew.
+REMEMBERED, HELD = 400_000, 8_000_000
 
-_ENDS = ("a_ids", "a_ends", "b_ids", "b_ends", "part_ends")
 _GAP = re.compile(r"(?<=\S) (?=\S)")
 
 
@@ -64,14 +65,14 @@ class Pair:
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(k) else p.replace("▁", " ").encode() for k, p in enumerate(names)]
         self.kind = np.dtype("<u2" if self.a.code == "H" else "<u4")
         self.a_sizes, self.b_sizes = (np.array([len(x) for x in all_], np.int64) for all_ in (self.a_bytes, self.b_bytes))
-        #: Whether no piece reaches over a space, so that a text may be cut there.
-        self.apart = not any("▁" in p.lstrip("▁") for p in names)
+        #: Whether no token reaches over a space, so that a text may be cut there.
+        self.cut = self.a.usual and not any("▁" in p.lstrip("▁") for p in names)
 
     def parts(self, text: str) -> list[str]:
         """The text cut at its single spaces, or whole where tokens may reach over them; none if it has no tokens for sure."""
         if not text or "▁" in text:
             return []
-        return _GAP.split(text) if self.apart and self.a.usual else [text]
+        return _GAP.split(text) if self.cut else [text]
 
     def tokens(self, parts: list[str]) -> tuple[list[np.ndarray], np.ndarray, list[bool]]:
         """The ids of parts as one text by A and B, the bytes of each part, and which have tokens: those whose bytes aren't theirs by both have none."""
@@ -93,164 +94,183 @@ class Pair:
         return b"".join([table[k] for k in ids.tolist()])
 
 
-class Block:
-    """Texts with the places of their parts among the distinct parts of the block."""
+class Column:
+    """Numbers that are added at the end."""
+
+    def __init__(self, kind=np.int64):
+        self.all, self.n = np.zeros(1 << 10, kind), 0
+
+    def add(self, numbers: np.ndarray) -> None:
+        end = self.n + len(numbers)
+        if end > len(self.all):
+            self.all = np.concatenate([self.all[: self.n], np.zeros(max(end, 3 * self.n // 2) - self.n, self.all.dtype)])
+        self.all[self.n : end] = numbers
+        self.n = end
+
+
+def _before(ends: np.ndarray) -> np.ndarray:
+    return np.concatenate([np.zeros(1, ends.dtype), ends[:-1]])
+
+
+def _places(first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """first[0] .. first[0] + n[0] - 1, then those of first[1], and so on."""
+    return np.repeat(first - _before(np.cumsum(n)), n) + np.arange(n.sum())
+
+
+class Known:
+    """Parts with their tokens' numbers, groups as text, and links as distinct pairs with how often each occurs."""
 
     def __init__(self, pair: Pair):
-        self.pair, self.place, self.docs, self.bytes = pair, {}, [], 0
-
-    def add(self, doc_id, text: str) -> None:
-        place = self.place
-        self.docs.append((doc_id, [place.setdefault(p, len(place)) for p in self.pair.parts(text)]))
-        self.bytes += len(text)
-
-    def row(self, key: pa.DataType) -> pa.RecordBatch:
-        """One row: the documents' ids, token numbers and parts, and the tokens of all parts as if they were one text."""
-        parts, tokens, sizes, good, some, size = list(self.place), ([], []), [], [], [], 0
-        for part in [*parts, None]:
-            if part is None or size > ENCODED:
-                found, own, fine = self.pair.tokens(some) if some else ([np.zeros(0, np.int32)] * 2, np.zeros(0, np.int64), [])
-                for side, x in zip(tokens, found):
-                    side.append(x)
-                sizes.append(own)
-                good += fine
+        self.pair = pair
+        self.a_size, self.b_size = len(pair.a_bytes), len(pair.b_bytes)
+        self.kind = np.int32 if self.a_size * self.b_size < 1 << 31 else np.int64
+        #: How a token is written inside its side of a group, and at its end.
+        self.written = np.array([f"{k}{end}" for n, last in ((self.a_size, "|"), (self.b_size, ";")) for k in range(n) for end in (",", last)], object)
+        self.forget()
+
+    def forget(self) -> None:
+        self.place, self.names = {}, []
+        self.good, self.n = Column(bool), {k: Column() for k in ("n_a", "n_b", "n_groups", "n_links")}
+        self.first, self.pairs_of, self.pairs, self.times = Column(), Column(), Column(self.kind), Column()
+
+    def full(self) -> bool:
+        return len(self.names) > REMEMBERED or self.n["n_a"].all.sum() + self.n["n_b"].all.sum() + self.pairs.n > HELD
+
+    def places(self, texts: list[str]) -> list[list[int]]:
+        """The places of each text's parts, of which new ones are learnt."""
+        place, n, out = self.place, len(self.place), []
+        for text in texts:
+            parts = text.split(" ") if self.pair.cut else [""]
+            try:
+                out.append([place[p] for p in parts])
+            except KeyError:
+                if any(not p or p != p.strip() for p in parts) or "▁" in text:
+                    # a key with a space in front is none that split() gives
+                    parts = [p if p.strip() == p and " " not in p else " " + p for p in self.pair.parts(text)]
+                out.append([place.setdefault(p, len(place)) for p in parts])
+        new = list(islice(place, n, None))
+        self.learn([p[1:] if p[0] == " " else p for p in new])
+        return out
+
+    def learn(self, parts: list[str]) -> None:
+        """Adds parts in this order; those with spaces at an end are tokenised alone, those with others inside apart from the rest."""
+        kinds = [2 if p[0] == " " or p[-1] == " " else int(" " in p) for p in parts]
+        order = sorted(range(len(parts)), key=kinds.__getitem__)
+        found, some, size = [], [], 0
+        for i, k in enumerate(order, 1):
+            some.append(parts[k])
+            size += len(parts[k])
+            if i == len(order) or size > ENCODED or kinds[k] == 2 or kinds[order[i]] != kinds[k]:
+                found.append(self.pair.tokens(some))
                 some, size = [], 0
-            if part is not None:
-                some.append(part)
-                size += len(part)
-        ids = [np.concatenate(x) for x in tokens]
-        ends = [np.cumsum(size[x]) for size, x in zip((self.pair.a_sizes, self.pair.b_sizes), ids)]
-        part_ends = np.cumsum(np.concatenate(sizes))
-        number = [np.diff(np.searchsorted(x, part_ends, "right"), prepend=0) for x in ends]
-        bad = {k for k, fine in enumerate(good) if not fine}
-        rank = np.cumsum(good, dtype=np.int64) - 1
-        docs = [np.zeros(0, np.int64) if bad and not bad.isdisjoint(d) else np.array(d, np.int64) for _, d in self.docs]
-        lists = [[d for d, _ in self.docs], *([int(n[d].sum()) for d in docs] for n in number), [rank[d] for d in docs], ids[0], ends[0], ids[1], ends[1], part_ends[np.array(good, bool)]]
-        kinds = [pa.list_(key), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.list_(pa.int32())), *[pa.list_(pa.int32())] * 5]
-        return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(lists, kinds)], names=["doc_ids", "n_as", "n_bs", "docs", *_ENDS])
+        if found:
+            tokens, sizes, good = zip(*found)
+            a, b = (np.concatenate(x).astype(np.int64) for x in zip(*tokens))
+            self._align(a, b, np.cumsum(np.concatenate(sizes)), np.array([x for fine in good for x in fine]), np.argsort(order))
+        self.pair.a.clear()  # what it remembers is remembered here
+
+    def _align(self, a: np.ndarray, b: np.ndarray, part_ends: np.ndarray, good: np.ndarray, back: np.ndarray) -> None:
+        """Adds parts whose tokens follow each other, in the order ``back``."""
+        a_ends, b_ends = np.cumsum(self.pair.a_sizes[a]), np.cumsum(self.pair.b_sizes[b])
+        at = np.searchsorted(b_ends, a_ends)
+        cut = b_ends[at] == a_ends if len(b) else np.zeros(0, bool)
+        a_until, b_until = np.flatnonzero(cut) + 1, at[cut] + 1
+        a_from, b_from = _before(a_until), _before(b_until)
+        n_a, n_b, groups = a_until - a_from, b_until - b_from, np.arange(len(a_until))
+        a_group, b_group = np.repeat(groups, n_a), np.repeat(groups, n_b)
+        # a group's tokens as they are written, those of A first
+        codes = np.zeros(len(a) + len(b), np.int64)
+        a_last, b_last = np.zeros(len(a), np.int64), np.zeros(len(b), np.int64)
+        a_last[a_until - 1] = b_last[b_until - 1] = 1
+        codes[np.arange(len(a)) + b_from[a_group]] = 2 * a + a_last
+        codes[np.arange(len(b)) + a_until[b_group]] = 2 * (self.a_size + b) + b_last
+        written = self.written[codes].tolist()
+        # its links: each distinct token of A with each of B
+        (a_key, a_times), (b_key, b_times) = (np.unique(g * size + x, return_counts=True) for g, size, x in ((a_group, self.a_size, a), (b_group, self.b_size, b)))
+        own_a, own_b = (np.bincount(key // size, minlength=len(groups)) for key, size in ((a_key, self.a_size), (b_key, self.b_size)))
+        n_pairs = own_a * own_b
+        nth, width = _places(np.zeros(len(groups), np.int64), n_pairs), np.repeat(own_b, n_pairs)
+        i = np.repeat(_before(np.cumsum(own_a)), n_pairs) + nth // width
+        j = np.repeat(_before(np.cumsum(own_b)), n_pairs) + nth % width
+        pairs, times = a_key[i] % self.a_size * self.b_size + b_key[j] % self.b_size, a_times[i] * b_times[j]
+        # by parts
+        until = np.searchsorted(a_ends[cut], part_ends, "right")
+        upto = lambda n: np.concatenate([np.zeros(1, np.int64), np.cumsum(n)])[until]
+        ends = {"n_a": upto(n_a), "n_b": upto(n_b), "n_groups": until, "n_links": upto(n_a * n_b)}
+        token_ends, pair_ends = ends["n_a"] + ends["n_b"], upto(n_pairs)
+        names = ["".join(written[x:y])[:-1] for x, y in zip(_before(token_ends).tolist(), token_ends.tolist())]
+        self.names += [names[k] for k in back.tolist()]
+        self.good.add(good[back])
+        for k, x in ends.items():
+            self.n[k].add((x - _before(x))[back])
+        self.first.add(self.pairs.n + _before(pair_ends)[back])
+        self.pairs_of.add((pair_ends - _before(pair_ends))[back])
+        self.pairs.add(pairs)
+        self.times.add(times)
+
+    def batch(self, doc_ids: list, texts: list[str], schema: pa.Schema) -> pa.RecordBatch:
+        """The rows of :func:`aligned` for some documents."""
+        if self.full() or len(self.place) > len(self.names):  # the latter after a failure
+            self.forget()
+        docs = self.places(texts)
+        n, size = len(docs), self.a_size * self.b_size
+        part, doc = np.array([p for d in docs for p in d], np.int64), np.repeat(np.arange(n), [len(d) for d in docs])
+        bad = np.bincount(doc[~self.good.all[part]], minlength=n) > 0
+        part, doc = part[~bad[doc]], doc[~bad[doc]]
+        sums = [np.bincount(doc, x.all[part], n).astype(np.int64) for x in self.n.values()]
+        groups = ["" if lost else ";".join([self.names[p] for p in d]) for lost, d in zip(bad.tolist(), docs)]
+        own, often = np.unique(doc * max(1, len(self.names)) + part, return_counts=True)
+        doc, part = np.divmod(own, max(1, len(self.names)))
+        links = self.pairs_of.all[part]
+        at = _places(self.first.all[part], links)
+        key, times = np.repeat(doc, links) * size + self.pairs.all[at], self.times.all[at] * np.repeat(often, links)
+        order = np.argsort(key)
+        key, times = key[order], times[order]
+        begins = np.flatnonzero(np.diff(key, prepend=-1))
+        key, times = key[begins], np.add.reduceat(times, begins) if len(begins) else times
+        doc, pair = np.divmod(key, size)
+        edges = pa.array(np.searchsorted(doc, np.arange(n + 1)).astype(np.int32))
+        lists = [pa.ListArray.from_arrays(edges, pa.array(x)).cast(schema.field(c).type) for c, x in (("pairs", pair.astype(self.kind)), ("times", times))]
+        return pa.RecordBatch.from_arrays([pa.array(doc_ids, schema.field("doc_id").type), *map(pa.array, sums), pa.array(groups, schema.field("groups").type), *lists], schema=schema)
 
 
 @lru_cache(1)
-def _pair(a_model: str, b_model: bytes) -> Pair:
-    return Pair(a_model, b_model)
+def _known(a_model: str, b_model: bytes) -> Known:
+    return Known(Pair(a_model, b_model))
 
 
-def tokenised(documents: DataFrame, a_path: str, b_path: str) -> DataFrame:
-    """Blocks of documents: (doc_ids, n_as, n_bs, docs, a_ids, a_ends, b_ids, b_ends, part_ends), all arrays.
+def aligned(documents: DataFrame, a_path: str, b_path: str) -> DataFrame:
+    """A row for each document: doc_id, n_a, n_b, n_groups, n_links, groups (text), pairs and times.
 
-    docs has for each document the places of its parts, in order; a document without tokens has none. A part whose bytes aren't those of its
-    tokens has none either. The other arrays have the ids of all parts, one after another, and where tokens and parts end, in bytes.
+    ``pairs`` are A's id times the size of B and B's id, sorted and distinct; ``times`` says how many links each has.
     """
     with open(a_path, encoding="utf-8") as a, open(b_path, "rb") as b:
         a_model, b_model = a.read(), b.read()
     modest_batches(documents.sparkSession)
     source = documents.select("doc_id", "text")
-    key = source.schema["doc_id"].dataType
-    ints = ArrayType(IntegerType(), False)
-    out = StructType([StructField("doc_ids", ArrayType(key)), *(StructField(c, ArrayType(LongType(), False)) for c in ("n_as", "n_bs")), StructField("docs", ArrayType(ints, False)), *(StructField(c, ints) for c in _ENDS)])
-    arrow = to_arrow_schema(out)
+    pairs = IntegerType() if _known(a_model, b_model).kind == np.int32 else LongType()
+    lists = [StructField(c, ArrayType(kind, False)) for c, kind in (("pairs", pairs), ("times", LongType()))]
+    out = StructType([StructField("doc_id", source.schema["doc_id"].dataType), *(StructField(c, LongType()) for c in ("n_a", "n_b", "n_groups", "n_links")), StructField("groups", StringType()), *lists])
+    schema = to_arrow_schema(out)
 
     def run(batches):
-        pair = _pair(a_model, b_model)
-        block, kind = Block(pair), arrow.field("doc_ids").type.value_type
+        known, doc_ids, texts, size = _known(a_model, b_model), [], [], 0
         for batch in batches:
-            texts = batch.column("text")
+            column = batch.column("text")
             for k, doc_id in enumerate(batch.column("doc_id").to_pylist()):
-                block.add(doc_id, texts[k].as_py() or "")
-                if block.bytes >= BLOCK_BYTES:
-                    yield block.row(kind)
-                    block = Block(pair)
-        if block.docs:
-            yield block.row(kind)
+                doc_ids.append(doc_id)
+                texts.append(column[k].as_py() or "")
+                size += len(texts[-1]) + ROW_BYTES
+                if size >= BLOCK_BYTES:
+                    yield known.batch(doc_ids, texts, schema)
+                    doc_ids, texts, size = [], [], 0
+        if doc_ids:
+            yield known.batch(doc_ids, texts, schema)
         give_back()
 
     return source.mapInArrow(run, out)
 
 
-def _until(both: Column) -> Column:
-    """How many ends each cut is the last of, from the sorted ends and cuts: a cut is two equal neighbours."""
-    places = let(both, lambda x: F.transform(x, lambda end, i: F.when(end == F.get(x, i + 1), i)))
-    return F.transform(F.array_compact(places), lambda i, g: i - g + 1)
-
-
-def _range(first: Column, end: Column, of) -> Column:
-    """``of`` each place first .. end - 1."""
-    return F.transform(F.sequence(first, end - 1), of)
-
-
-def _lets(columns: list[str], then) -> Column:
-    """``then`` of columns that are each read once a row."""
-    if not columns:
-        return then()
-    return let(F.col(columns[0]), lambda x: _lets(columns[1:], lambda *more: then(x, *more)))
-
-
-def aligned(blocks: DataFrame, b_size: int) -> DataFrame:
-    """A row for each document of :func:`tokenised`: doc_id, n_a, n_b, n_groups, n_links, groups (text), pairs and times.
-
-    ``pairs`` are a * b_size + b, sorted and distinct; ``times`` says how many links each has.
-    """
-    given = ["doc_ids", "n_as", "n_bs", "docs"]
-
-    def step(df, keep, new):
-        """Only what later steps read is carried on: each holds a block's row of its own."""
-        return df.select(*given, *keep, *(c.alias(k) for k, c in new.items()))
-
-    sides = [f"{s}_{c}" for c in ("ids", "from", "until") for s in "ab"]
-    at = blocks.withColumn("cuts", F.array_intersect("a_ends", "b_ends"))
-    both = {f"{s}_both": F.sort_array(F.concat(f"{s}_ends", "cuts")) for s in "ab"}
-    at = step(at, ["a_ids", "b_ids"], {**both, "part_both": F.sort_array(F.concat("cuts", "part_ends"))})
-    at = step(at, ["a_ids", "b_ids"], {f"{s}_until": _until(F.col(f"{s}_both")) for s in ("a", "b", "part")})
-    at = step(at, ["a_ids", "b_ids", "a_until", "b_until", "part_until"], {f"{s}_from": F.concat(F.array(F.lit(0)), f"{s}_until") for s in ("a", "b", "part")})
-    parts = ["part_from", "part_until"]
-    wide = "int" if b_size <= 1 << 15 else "bigint"
-    pair = lambda x, y: x.cast(wide) * b_size + y
-    # the groups of one token each
-    last = {f"{s}_last": _lets([f"{s}_ids"], lambda ids, s=s: F.transform(f"{s}_until", lambda end: F.get(ids, end - 1))) for s in "ab"}
-    at = step(at, [*sides, *parts], {**last, "upto": F.zip_with("a_until", "b_until", lambda x, y: x + y)})
-    single = _lets(["upto"], lambda upto: F.transform(upto, lambda x, g: F.when(g == 0, x == 2).otherwise(x - F.get(upto, g - 1) == 2)))
-    name = F.zip_with(F.col("a_last").cast("array<string>"), F.col("b_last").cast("array<string>"), lambda x, y: F.concat(x, F.lit("|"), y))
-    at = step(at, [*sides[:4], *parts], {"single": single, "name": name, "link": F.zip_with("a_last", "b_last", lambda x, y: F.array(pair(x, y)))})
-
-    def named(ids, first, end):
-        return F.array_join(_range(first, end, lambda k: F.get(ids, k).cast("string")), ",")
-
-    def names(single, a_ids, b_ids, a_from, b_from):
-        many = lambda g: F.concat(named(a_ids, F.get(a_from, g), F.get(a_from, g + 1)), F.lit("|"), named(b_ids, F.get(b_from, g), F.get(b_from, g + 1)))
-        return F.transform("name", lambda name, g: F.when(F.get(single, g), name).otherwise(many(g)))
-
-    def links(single, a_ids, b_ids, a_from, b_from):
-        each = lambda i, g: _range(F.get(b_from, g), F.get(b_from, g + 1), lambda j: pair(F.get(a_ids, i), F.get(b_ids, j)))
-        many = lambda g: F.flatten(_range(F.get(a_from, g), F.get(a_from, g + 1), lambda i: each(i, g)))
-        return F.transform("link", lambda link, g: F.when(F.get(single, g), link).otherwise(many(g)))
-
-    of_groups = ["single", "a_ids", "b_ids", "a_from", "b_from"]
-    at = step(at, parts, {"names": _lets(of_groups, names), "links": _lets(of_groups, links)})
-
-    def part(names, links, starts):
-        def of(end, k):
-            first = F.get(starts, k)
-            whole = lambda x, join: F.when(first + 1 == end, F.get(x, first)).otherwise(join(_range(first, end, lambda g: F.get(x, g))))
-            return F.struct((end - first).alias("n"), whole(names, lambda x: F.array_join(x, ";")).alias("name"), whole(links, F.flatten).alias("links"))
-
-        return F.transform("part_until", of)
-
-    at = step(at, [], {"found": _lets(["names", "links", "part_from"], part)})
-    spread = step(at, [], {"mine": _lets(["found"], lambda found: F.transform("docs", lambda d: F.transform(d, lambda p: F.get(found, p))))})
-    each = spread.select(F.inline(F.arrays_zip(F.col("doc_ids").alias("doc_id"), F.col("n_as").alias("n_a"), F.col("n_bs").alias("n_b"), F.col("mine").alias("mine"))))
-    linked = each.select(
-        "doc_id",
-        "n_a",
-        "n_b",
-        F.aggregate("mine.n", F.lit(0).cast("long"), lambda sum_, n: sum_ + n).alias("n_groups"),
-        F.array_join("mine.name", ";").alias("groups"),
-        F.sort_array(F.flatten("mine.links")).alias("links"),
-    )
-    first = linked.withColumn("firsts", F.array_compact(_lets(["links"], lambda links: F.transform(links, lambda x, i: F.when((i == 0) | (x != F.get(links, i - 1)), i)))))
-    times = _lets(["firsts"], lambda firsts: F.transform(firsts, lambda i, k: F.coalesce(F.get(firsts, k + 1), F.size("links")) - i))
-    return first.select("doc_id", "n_a", "n_b", "n_groups", F.size("links").cast("long").alias("n_links"), "groups", F.array_distinct("links").alias("pairs"), times.alias("times"))
-
-
 def pair_counts(rows: DataFrame) -> DataFrame:
     """(pair, docs) of rows with distinct ``pairs``: how many of them hold a pair."""
     return rows.select(F.explode("pairs").alias("pair")).groupBy("pair").agg(F.count("*").alias("docs"))
@@ -271,7 +291,7 @@ def alignment(documents: DataFrame, a_path: str, b_path: str) -> DataFrame:
     b_size = sentencepiece.SentencePieceProcessor(model_file=b_path).get_piece_size()
     with scratch(spark):
         digest = F.when(F.col("n_a") > 0, F.sha2("groups", 256)).otherwise("")
-        rows = kept(aligned(tokenised(documents, a_path, b_path), b_size).select(F.monotonically_increasing_id().alias("row"), "*", digest.alias("groups_sha256")).drop("groups"), "aligned")
+        rows = kept(aligned(documents, a_path, b_path).select(F.monotonically_increasing_id().alias("row"), "*", digest.alias("groups_sha256")).drop("groups"), "aligned")
         of_a = Window.partitionBy(F.floor(F.col("pair") / b_size))
         counts = kept(pair_counts(rows).withColumn("best", F.col("docs") == F.max("docs").over(of_a)), "pairs")
         total = counts.agg(F.sum("docs")).first()[0] or 0

@@ -4,6 +4,7 @@ import hashlib
 from collections import Counter
 
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 from tokenizers import Tokenizer
@@ -109,3 +110,48 @@ def test_parts_that_fail_alone():
     assert good == [True, False, True] and sizes.tolist() == [4, 0, 6]
     alone = [pair.tokens([p])[0] for p in ("one", "three")]
     assert a_ids.tolist() == [i for x, _ in alone for i in x] and b_ids.tolist() == [i for _, x in alone for i in x]
+
+
+LISTS = {c: pa.list_(pa.field("element", kind, nullable=False)) for c, kind in (("pairs", pa.int32()), ("times", pa.int64()))}
+SCHEMA = pa.schema([(c, pa.int64()) for c in ("doc_id", "n_a", "n_b", "n_groups", "n_links")] + [("groups", pa.string()), *LISTS.items()])
+
+
+def known():
+    with open(A, encoding="utf-8") as a, open(B, "rb") as b:
+        return token_alignment.Known(token_alignment.Pair(a.read(), b.read()))
+
+
+def numbers(batches):
+    """(doc_id, n_a, n_b, n_groups, n_links, digest) of rows, whose links are as many as their pairs' times."""
+    rows = [r for b in batches for r in b.to_pylist()]
+    assert all(sum(r["times"]) == r["n_links"] and r["pairs"] == sorted(set(r["pairs"])) for r in rows)
+    return [(*(r[c] for c in SCHEMA.names[:5]), hashlib.sha256(r["groups"].encode()).hexdigest() if r["n_a"] else "") for r in rows]
+
+
+def test_parts_of_other_blocks_are_not_tokenised_again():
+    here, seen = known(), []
+    tokens = here.pair.tokens
+    here.pair.tokens = lambda parts: (seen.extend(parts), tokens(parts))[1]
+    blocks = [["some words", "more words"], ["words more some", "some  words"], ["more", "some  words some other"]]
+    for k, texts in enumerate(blocks):
+        here.batch([k] * len(texts), texts, SCHEMA)
+    assert sorted(seen) == ["more", "other", "some", "some  words", "words"]
+
+
+@pytest.mark.parametrize("remembered, held, encoded, cut", [(400_000, 8_000_000, 4096, True), (3, 8_000_000, 1, True), (400_000, 40, 20, True), (400_000, 8_000_000, 4096, False)])
+def test_what_is_remembered_changes_no_row(monkeypatch, remembered, held, encoded, cut):
+    """Begun anew between blocks, or with texts that aren't cut: words after texts that are one part with their white space, and back."""
+    monkeypatch.setattr(token_alignment, "REMEMBERED", remembered)
+    monkeypatch.setattr(token_alignment, "HELD", held)
+    monkeypatch.setattr(token_alignment, "ENCODED", encoded)
+    here = known()
+    here.pair.cut = here.pair.cut and cut
+    table = list(enumerate([*HARD, "x y\n", "\nz", "x", "y\n \nz", "y\n z", "x x y", "", "a\t \tb a", *HARD[::-1], "b\u2581 words", "words"]))
+    got = numbers(here.batch([k for k, _ in table[at : at + 3]], [t for _, t in table[at : at + 3]], SCHEMA) for at in range(0, len(table), 3))
+    assert got == [(*r[:5], r[7]) for r in sorted(brute(table))]
+
+
+def test_blocks_without_tokens():
+    here = known()
+    for texts in (["", ""], ["a\u2581b", ""], ["\ufb01", ""], []):
+        assert numbers([here.batch(list(range(len(texts))), texts, SCHEMA)]) == [(*r[:5], r[7]) for r in brute(list(enumerate(texts)))]
