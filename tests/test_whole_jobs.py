@@ -85,3 +85,10 @@ def test_tags_are_proven_by_title_and_body(spark, tmp_path):
     far = " " * 300
     got = run(spark, tmp_path, "pruned_tags", documents=documents([(0, f"{far}tion"), (2, "x"), (1, f"{far}tion"), (3, "x")]))
     assert {r["doc_id"]: r["kept"] for r in got} == {0: "service,other", 2: "other", 1: "service", 3: ""}
+
+
+def test_blocks_have_fields_without_blanks(spark, tmp_path):
+    """A field's name that has a blank in the text is found, and written without it."""
+    items = [{"l_orderkey": 7, "l_linenumber": n, "l_partkey": 1, "l_suppkey": 1, "l_quantity": float(n), "l_extendedprice": 1.0} for n in (1, 2, 3, 4, 5)]
+    got = run(spark, tmp_path, "contract_blocks", lineitem=items)
+    assert [(r["type"], r["text"]) for r in sorted(got, key=lambda r: r["nth"])] == [("paragraph", "第1条 数量1"), ("paragraph", "第1条 价款"), ("paragraph", "杂项2"), ("heading", "质量标准：" + "优" * 12 + "3"), ("paragraph", "第4条 数量4"), ("paragraph", "第4条 价款"), ("paragraph", "杂项5")]
