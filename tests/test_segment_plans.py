@@ -4,13 +4,13 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusloom.functions.text import runs
-from corpusloom.operators import sections
+from corpusloom.operators import markdown, sections
 from corpusloom.plans import catalog
 
 SF = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("query", ["template_clauses"])
+@pytest.mark.parametrize("query", ["template_clauses", "text_markdown"])
 def test_lines_are_shuffled_once(spark, query):
     plan = catalog.QUERIES[query](spark, SF)._jdf.queryExecution().sparkPlan().toString()
     assert "Join" not in plan
@@ -34,3 +34,15 @@ def test_templates_with_short_clauses_only(spark):
         (2, 1, "第二条", "长长长长", "合同正文", "第二条 长长长长"),
         (None, 1, "", "未编号文本", "未编号文本", "x"),
     ]
+
+
+def test_contents_that_repeat_an_entry(spark):
+    """An entry that comes again in its own table or line ends it; one of an earlier table doesn't, nor does a heading after a line between."""
+    docs = ["目录|第一章 甲|第二章 乙|目录|第一章 甲|第三章 丙|第一章 甲|丁", "目录|第一章 甲第一章 甲|第二章 乙", "目录|文|第一章 甲|第一章 甲"]
+    rows = [(k, n, x) for k, d in enumerate(docs) for n, x in enumerate(d.split("|"))]
+    got = {r.doc: r.markdown.split("\n\n") for r in markdown.documents(spark.createDataFrame(rows, "doc int, pos int, line string"), "doc", "pos", "line").collect()}
+    assert got == {
+        0: ["## 目录", "- 第一章 甲\n- 第二章 乙", "## 目录", "- 第一章 甲\n- 第三章 丙", "## 第一章　甲", "丁"],
+        1: ["## 目录", "## 第一章　甲第一章 甲", "## 第二章　乙"],
+        2: ["## 目录", "文", "## 第一章　甲", "## 第一章　甲"],
+    }
