@@ -10,7 +10,7 @@ from corpusloom.plans import catalog
 SF = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("query", ["template_clauses", "text_markdown"])
+@pytest.mark.parametrize("query", ["structural_units", "template_clauses", "text_markdown"])
 def test_lines_are_shuffled_once(spark, query):
     plan = catalog.QUERIES[query](spark, SF)._jdf.queryExecution().sparkPlan().toString()
     assert "Join" not in plan
@@ -46,3 +46,18 @@ def test_contents_that_repeat_an_entry(spark):
         1: ["## 目录", "## 第一章　甲第一章 甲", "## 第二章　乙"],
         2: ["## 目录", "文", "## 第一章　甲", "## 第一章　甲"],
     }
+
+
+def test_long_last_lines_stay_whole(spark):
+    """Sentences of a long line go to a table only if one follows: before, an article's or a text's last ones were lost or went on to the next unit."""
+    long = "长" * 300 + "。" + "末句。"
+    rows = [(1, k, x) for k, x in enumerate(["## 第一章 x", "**第一条** " + long, "**第二条** 乙", "## 第二章 y", long])]
+    got = sections.structural_units(spark.createDataFrame(rows, "doc int, pos int, line string"), "doc", "pos", "line").orderBy("nth").collect()
+    assert [(r.type, r.path, r.body) for r in got] == [("article", "第一章 x", "**第一条** " + long), ("article", "第一章 x", "**第二条** 乙"), ("section_text", "第二章 y", long)]
+
+
+def test_paths_after_contents_and_empty_headings(spark):
+    """A table of contents' heading isn't counted among those that paths are looked up by."""
+    rows = [(1, k, x) for k, x in enumerate(["## 第一章 x", "甲", "## 目 录", "第二章 在目录", "### 第二章 y", "乙"])]
+    got = sections.structural_units(spark.createDataFrame(rows, "doc int, pos int, line string"), "doc", "pos", "line").orderBy("nth").collect()
+    assert [(r.nth, r.path, r.body) for r in got] == [(1, "第一章 x", "甲"), (2, "第二章 y", "乙")]
